@@ -51,3 +51,10 @@ def total_bytes(docs: DataFrame, column: str) -> tuple[int, int]:
     """Rows, and UTF-8 bytes of a column: two sums, to choose the number of shards."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(column)))).first()
     return int(row[0]), int(row[1] or 0)
+
+
+def utf8(batch, name: str) -> list[bytes]:
+    """The bytes of a string column of an Arrow batch; null is empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import mixing, quality, urls
+from vocalith.llm import media, mixing, packing, quality, token_files, urls
 from vocalith.llm.common import table
 
 
@@ -17,6 +17,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.checksums(token_files.token_files(table(spark, sf_dir, "documents")))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return rows.select(
@@ -29,7 +41,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op8_mix_sources, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op3_lexical_packing, op4_media_columns, op7_token_files, op8_mix_sources, op9_url_filter,
+)}
 
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))
 
