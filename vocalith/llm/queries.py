@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import media, mixing, packing, quality, simhash, token_files, urls
+from vocalith.llm import media, mixing, packing, quality, repeats, simhash, token_files, urls
 from vocalith.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return members.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,7 +51,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_lexical_packing, op4_media_columns, op6_simhash_pivots, op7_token_files, op8_mix_sources, op9_url_filter,
+    op1_quality_rules, op3_lexical_packing, op4_media_columns, op5_suffix_repeats, op6_simhash_pivots, op7_token_files, op8_mix_sources, op9_url_filter,
 )}
 
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))
