@@ -21,6 +21,8 @@ from vocalith.llm.tokenize import WORD_BPE, Vocabulary, tokenizer
 
 END_ID = 1
 RANGE_BYTES = 24 << 20
+#: Up to so many files, their places (16 bytes each) are sent to all executors.
+BROADCAST_FILES = 1 << 18
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -64,9 +66,11 @@ def read(spark, path: str) -> DataFrame:
     """doc_id, ids, n_tokens, start: start is global. Only the counts are read to place the files."""
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # a row for each file that write() made
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     places = totals.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("at"))
+    # a row for each file that write() made: their number is known, and so is the size of what is sent
+    if len(rows.inputFiles()) <= BROADCAST_FILES:
+        places = F.broadcast(places)
     return rows.join(places, "file").select("doc_id", "ids", "n_tokens", (F.col("at") + F.col("before")).alias("start"))
 
 
