@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import media, mixing, packing, quality, repeats, simhash, token_files, urls
+from vocalith.llm import language_model, media, mixing, packing, quality, repeats, simhash, token_files, urls
 from vocalith.llm.common import table
 
 
@@ -50,8 +50,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_lexical_packing, op4_media_columns, op5_suffix_repeats, op6_simhash_pivots, op7_token_files, op8_mix_sources, op9_url_filter,
+    op1_quality_rules, op3_lexical_packing, op4_media_columns, op5_suffix_repeats, op6_simhash_pivots, op7_token_files, op8_mix_sources, op9_url_filter, op10_interpolated_lm,
 )}
 
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))
