@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import language_model, media, mixing, packing, quality, repeats, simhash, token_files, urls
+from vocalith.llm import language_model, media, mixing, packing, quality, repeats, simhash, style_tree, token_files, urls
 from vocalith.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = style_tree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_lexical_packing, op4_media_columns, op5_suffix_repeats, op6_simhash_pivots, op7_token_files, op8_mix_sources, op9_url_filter, op10_interpolated_lm,
+    op1_quality_rules, op2_style_tree_text, op3_lexical_packing, op4_media_columns, op5_suffix_repeats, op6_simhash_pivots, op7_token_files, op8_mix_sources, op9_url_filter, op10_interpolated_lm,
 )}
 
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))
