@@ -247,10 +247,13 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with kept (the remaining bytes), spans (removed runs) and n_bytes; docs needs doc_id and text."""
+    """docs with kept (the remaining bytes), spans (removed runs), n_bytes and kept_text; docs needs doc_id and text.
+
+    kept_text leaves out the bytes of a character of which only a part remains.
+    """
     size = size_of(docs)
     bits = bucket_bits(size)
-    own = [f for f in docs.schema.fields if f.name not in ("kept", "spans", "n_bytes")]
+    own = [f for f in docs.schema.fields if f.name not in ("kept", "spans", "n_bytes", "kept_text")]
     batches = batched(docs.select(*[F.col("doc_id").cast("long") if f.name == "doc_id" else F.col(f"`{f.name}`") for f in own]), size)
 
     def result(group, answered):
@@ -267,10 +270,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
             spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
             kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes() if len(edges) else text)
-        columns = [*(batch.rows.column(f.name) for f in own), pa.array(kept, pa.binary()), pa.array(spans, result_schema.field("spans").type), pa.array(map(len, batch.texts), pa.int64())]
+        columns = [*(batch.rows.column(f.name) for f in own), pa.array(kept, pa.binary()), pa.array(spans, result_schema.field("spans").type), pa.array(map(len, batch.texts), pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
         return pa.table(columns, schema=result_schema)
 
-    schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "doc_id" else f.dataType) for f in own] + [T.StructField("kept", T.BinaryType()), T.StructField("spans", SPANS), T.StructField("n_bytes", T.LongType())])
+    schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "doc_id" else f.dataType) for f in own] + [T.StructField("kept", T.BinaryType()), T.StructField("spans", SPANS), T.StructField("n_bytes", T.LongType()), T.StructField("kept_text", T.StringType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     result_schema = to_arrow_schema(schema)
@@ -294,8 +297,7 @@ def digest(rows: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with what remains of their texts; n_chars, if there is one, follows the text."""
     rows = remove_repeats(docs)
-    text = F.try_validate_utf8(F.decode("kept", "utf-8"))
-    kept = rows.withColumn("text", F.coalesce(text, F.lit("")))
+    kept = rows.withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(docs.columns)
