@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from vocalith.llm.common import total_bytes
 
-BATCH_BYTES = 12 << 20
-BUCKET_BYTES = 4 << 20
+BATCH_BYTES = 5 << 20
+BUCKET_BYTES = 1 << 20
 
 
 def batched(docs: DataFrame, size: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:

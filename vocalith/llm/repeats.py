@@ -231,7 +231,7 @@ def removed_bytes(batch: Batch, bits: int, answers: dict[int, bytes]) -> np.ndar
         windows = (np.repeat(begin[here], n) + nth)[hit]
         np.add.at(change, windows, 1)
         np.add.at(change, windows + SPAN, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def _table(rows: list, schema: str):
