@@ -9,7 +9,8 @@ from vocalith.functions import axioms, values
 from vocalith.operators import classify, diff, graph, groups, state
 from vocalith.plans import tables as t
 from vocalith.plans.tables import is_a, table
-from vocalith.schema import DEFAULT_UNGROUPED, IS_A, ROLE_GROUP
+from vocalith.schema import DEFAULT_UNGROUPED, IS_A
+from vocalith.sources.shared import stored
 
 #: Dates that split orders into a snapshot and a delta.
 CUTOFF = "1997-01-01"
@@ -301,7 +302,7 @@ def axiom_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 def axiom_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to rows and back to texts."""
     texts = class_axiom_text(spark, sf_dir).select(F.col("concept_id").cast("string").alias("axiom_id"), F.col("concept_id").alias("component"), "axiom")
-    rows = axioms.relationships(texts).filter("side = 'right' and error is null")
+    rows = stored(axioms.relationships(texts).filter("side = 'right' and error is null"), "axiom-rows")
     plain = rows.select(F.col("left_concept").alias("conceptId"), "grp", "typeId", "destinationId", "kind", "text")
     defined = rows.filter("not primitive").select(F.col("left_concept").alias("conceptId")).distinct()
     ungrouped = spark.createDataFrame([(103,)], "attributeId long")
