@@ -251,7 +251,6 @@ def normal_rows(text: str):
         sub, sup = operands
         if isinstance(sub, int):
             out.append(("role", sub, sup, None, None))
-            out.append(("told", sub, sup, None, None))
         elif len(sub) == 3:
             out.append(("chain", sub[1], sub[2], sup, None))
         else:
