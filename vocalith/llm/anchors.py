@@ -44,6 +44,13 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def spread(minima: np.ndarray) -> np.ndarray:
+    """Minima are small numbers; a bijection spreads them over all of the range, and so over all buckets."""
+    a = minima * _M2
+    a ^= a >> np.uint64(32)
+    return a * _M1
+
+
 def runs(texts: list[bytes]):
     """(text, start, count, anchor) arrays: `count` windows from byte `start` of a text share the anchor."""
     out = [[], [], [], []]
@@ -85,4 +92,4 @@ def _chunk(texts: list[bytes], first: int):
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         begin, owner, left = np.repeat(begin, parts) + nth * LONGEST, np.repeat(owner, parts), np.repeat(count, parts) - nth * LONGEST
         count = np.minimum(left, LONGEST)
-    return owner + first, begin - (ends - n)[owner], count, m[begin]
+    return owner + first, begin - (ends - n)[owner], count, spread(m[begin])

@@ -15,13 +15,21 @@ from pyspark.sql import functions as F
 
 from vocalith.llm.common import total_bytes
 
-BATCH_BYTES = 5 << 20
+#: Texts of a batch, and of those that a bucket's keys come from. Both grow with the root of the input, so that the
+#: packed arrays between them don't shrink to a few keys; the last bound is for executors with gigabytes for a task.
+BATCH_BYTES, LARGEST_BATCH = 5 << 20, 256 << 20
 BUCKET_BYTES = 1 << 20
+ROOT = 170
+
+
+def scaled(size: int) -> float:
+    """How many times the least size batches and buckets have, for so many bytes of text."""
+    return max(1.0, min(LARGEST_BATCH, ROOT * size**0.5) / BATCH_BYTES)
 
 
 def batched(docs: DataFrame, size: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(batch, blob): rows of docs by a hash of doc_id, as compressed Arrow streams. size: bytes of all texts."""
-    count = max(1, -(-size // batch_bytes))
+    count = max(1, -(-size // int(batch_bytes * scaled(size))))
 
     def blobs(parts):
         import pyarrow as pa
@@ -72,7 +80,7 @@ def ids_of(rows) -> np.ndarray:
 
 def bucket_bits(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets are named by so many leading bits of a 64-bit key."""
-    return max(1, (max(1, size // bucket_bytes) - 1).bit_length())
+    return max(1, (max(1, size // int(bucket_bytes * scaled(size))) - 1).bit_length())
 
 
 def by_bucket(keys: np.ndarray, bits: int):
