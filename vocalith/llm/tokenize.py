@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,13 @@ PIECES = {
     "leading": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"),
     "bare": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"),
 }
-BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]|<\|")
-CACHED_UNITS = 600_000
+BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]")
+#: Bytes without which a text has no odd white space; and runs or rare forms of ASCII white space.
+ODD_SIGNS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+RUNS = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+MARK = b"\x01"
+#: Bounds of a worker's memory; a full dictionary starts anew.
+CACHED_UNITS = 500_000
 CACHED_LENGTH = 48
 
 
@@ -70,33 +76,48 @@ class UnitTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def units(self, text: bytes) -> list[bytes] | None:
+        """The text's units; None if it must be encoded whole."""
+        if self.lower:
+            return text.split()
+        if any(c in text for c in ODD_SIGNS) and ODD_SPACE.search(text):
+            return None
+        # single spaces and line feeds start the next unit; runs and other white space take the pattern
+        if MARK in text or any(c in text for c in RUNS):
+            return self.unit.findall(text)
+        return text.replace(b" ", MARK + b" ").replace(b"\n", MARK + b"\n").split(MARK)
+
     def ids(self, text: bytes) -> np.ndarray:
         """uint16 ids of a text, without special tokens."""
-        if ODD_SPACE.search(text) and not self.lower:
+        units = self.units(text)
+        if units is None:
             return np.frombuffer(self._whole(text), np.uint16)
-        units = self.unit.findall(text)
         found = list(map(self.known.get, units))
         if None in found:
-            found = [self._new(u) if x is None else x for u, x in zip(units, found, strict=True)]
+            new = self._new
+            found = [new(u) if x is None else x for u, x in zip(units, found, strict=True)]
         return np.frombuffer(b"".join(found), np.uint16)
 
     def _new(self, unit: bytes) -> bytes:
         if (x := self.known.get(unit)) is not None:  # new a moment ago
             return x
-        if BEYOND_LATIN_1.search(unit) or self.lower and ODD_SPACE.search(unit):
+        if not unit.isascii() and BEYOND_LATIN_1.search(unit) or b"<|" in unit or self.lower and ODD_SPACE.search(unit):
             x = self._whole(unit)
         else:
             s = unit.decode()
-            x = b"".join([self.pieces.get(p) or self._merge(p) for p in self.piece.findall(s.lower() if self.lower else s)])
+            pieces, merge = self.pieces.get, self._merge
+            x = b"".join([pieces(p) or merge(p) for p in self.piece.findall(s.lower() if self.lower else s)])
         if len(unit) <= CACHED_LENGTH:
             if len(self.known) >= CACHED_UNITS:
-                self.known, self.pieces = {}, {}
+                self.known = {}
+                if len(self.pieces) >= CACHED_UNITS:
+                    self.pieces = {}
             self.known[unit] = x
         return x
 
     def _merge(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        x = np.array([t.id for t in tokens], np.uint16).tobytes()
+        text = piece.encode().decode("latin-1").translate(self.letters)
+        x = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
         if len(piece) <= CACHED_LENGTH:
             self.pieces[piece] = x
         return x
