@@ -3,9 +3,8 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id.  Equal 50-byte strings
 have one anchor (anchors.py), so batches first ask which anchors other documents have too.  The runs of shared
 anchors, a distinct string once for each batch with its smallest id, then go to the anchor's bucket.  There the
-suffixes are sorted by prefix doubling, the longest common prefixes of neighbours follow from the ranks, and the
-previous and next smaller document in suffix order give each suffix its longest match in an earlier document: the
-longest-previous-factor array.  50 or more marks the string, and the answer, a bit for each, returns to the batch.
+suffixes are sorted, neighbours have their longest common prefixes, and the previous and next smaller document in
+suffix order give each suffix its longest match in an earlier document: the longest-previous-factor array.  50 or more marks the string, and the answer, a bit for each, returns to the batch.
 
 Matches never cross documents, overlaps count, and strings are judged on the input.
 
@@ -58,41 +57,20 @@ def smaller_neighbours(value: np.ndarray, lcp: np.ndarray):
 def longest_previous_factors(data: np.ndarray, begin: np.ndarray, value: np.ndarray) -> np.ndarray:
     """For suffixes at `begin`, the longest match, up to SPAN bytes, with one of a smaller value.
 
-    Every suffix is followed by at least SPAN bytes of data.
+    Every suffix is followed by at least SPAN bytes of data; they are sorted by so many, equal ones by value.
     """
     if not len(begin):
         return np.zeros(0, np.int64)
-    padded = np.concatenate([data, np.zeros(64, np.uint8)])
-    eight = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        part = padded[i : i + (len(padded) - i) // 8 * 8].view(">u8")
-        eight[i::8] = part[: len(eight[i::8])]
-    levels = [(8, np.unique(eight, return_inverse=True)[1])]
-    for step in (8, 16):  # ranks of 16 and 32 bytes
-        rank = levels[-1][1]
-        after = np.concatenate([rank[step:], np.zeros(step, rank.dtype)])
-        levels.append((2 * step, np.unique(rank * (rank.max() + 1) + after, return_inverse=True)[1]))
-    last = levels[-1][1]
-    key = last[begin] * (last.max() + 1) + last[begin + SPAN - 32]
-    order = np.lexsort((value, key))
-    begin, value = begin[order], value[order]
+    by_value = np.argsort(value, kind="stable")
+    suffixes = np.lib.stride_tricks.sliding_window_view(data, SPAN)[begin[by_value]]
+    order = np.argsort(suffixes.view(f"S{SPAN}").ravel(), kind="stable")
+    suffixes, ranked = suffixes[order], by_value[order]
+    differ = suffixes[1:] != suffixes[:-1]
     lcp = np.zeros(len(begin), np.int64)
-    a, b = begin[:-1].copy(), begin[1:].copy()
-    got = np.zeros(len(a), np.int64)
-    whole = key[order][:-1] == key[order][1:]
-    for width, rank in reversed(levels):
-        same = ~whole & (got + width <= SPAN) & (rank[np.minimum(a, len(data) - 1)] == rank[np.minimum(b, len(data) - 1)])
-        got[same] += width
-        a[same] += width
-        b[same] += width
-    differ = eight[np.minimum(a, len(data) - 1)] ^ eight[np.minimum(b, len(data) - 1)]
-    zero = np.zeros(len(a), np.int64)
-    for i in range(1, 8):
-        zero += differ < np.uint64(1) << np.uint64(64 - 8 * i)
-    lcp[1:] = np.where(whole, SPAN, np.minimum(got + zero, SPAN - 1))
-    before, after = smaller_neighbours(value, lcp)
+    lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), SPAN)
+    before, after = smaller_neighbours(value[ranked], lcp)
     out = np.empty(len(begin), np.int64)
-    out[order] = np.maximum(before, after)
+    out[ranked] = np.maximum(before, after)
     return out
 
 
