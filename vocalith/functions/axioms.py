@@ -270,7 +270,8 @@ def normalised(axioms: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = [r for text in batch["axiom"] for r in normal_rows(text)]
-            frame = pd.DataFrame(out, columns=["rule", "a", "b", "c", "n"])
+            # as objects: numbers beside missing ones must not become floats
+            frame = pd.DataFrame(out, columns=["rule", "a", "b", "c", "n"], dtype=object)
             yield frame.astype({"a": "Int64", "b": "Int64", "c": "Int64", "n": "Int32"})
 
     return axioms.select("axiom").mapInPandas(normal, NORMAL).distinct()

@@ -46,7 +46,7 @@ def classify_release(spark: SparkSession, release: Release, infer: Callable[[Dat
     roles = normal.filter("rule = 'role'").select(F.col("a").alias("child"), F.col("b").alias("parent")).distinct()
     parents = stored(parents.unionByName(roles).distinct(), "parents")
     attributes = roles.select(F.col("child").alias("node")).unionByName(roles.select(F.col("parent").alias("node"))).distinct()
-    node = _walked(every, parents)
+    node = _walked(normal)
     same = lambda df: df.select(F.col("node").alias("child"), F.col("node").alias("ancestor"))
     is_a = _with_members(strict, sets).unionByName(same(node)).distinct()
     types = graph.closure(roles).unionByName(same(attributes)).distinct()
@@ -70,10 +70,11 @@ def classify_release(spark: SparkSession, release: Release, infer: Callable[[Dat
     return Classification(stored(delta, "delta"), sets, parents, every)
 
 
-def _walked(every: DataFrame, parents: DataFrame) -> DataFrame:
-    """node: classes and attributes that the ontology names."""
-    named = every.select(F.explode(values.signature(F.col("axiom"))).alias("node"))
-    return named.unionByName(parents.select(F.col("child").alias("node"))).filter(F.col("node") != schema.ROLE_GROUP).distinct()
+def _walked(normal: DataFrame) -> DataFrame:
+    """node: named classes, and attributes that have a place among the attributes; roles alone are no classes."""
+    of = lambda rules, c: normal.filter(F.col("rule").isin(*rules)).select(F.col(c).alias("node"))
+    named = of(("told", "member", "role"), "a").unionByName(of(("told", "role"), "b")).unionByName(of(("exists",), "c"))
+    return named.filter("node > 0").distinct()
 
 
 def _with_members(strict: DataFrame, sets: DataFrame) -> DataFrame:
