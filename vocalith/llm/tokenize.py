@@ -30,8 +30,8 @@ BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]")
 ODD_SIGNS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 RUNS = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 MARK = b"\x01"
-#: Bounds of a worker's memory; a full dictionary starts anew.
-CACHED_UNITS = 500_000
+#: Bounds of a worker's memory: entries of each of two dictionaries.
+CACHED_UNITS = 200_000
 CACHED_LENGTH = 48
 
 
@@ -74,12 +74,14 @@ class UnitTokenizer:
         self.unit, self.piece = UNITS[vocabulary.units], PIECES[vocabulary.units]
         self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def units(self, text: bytes) -> list[bytes] | None:
         """The text's units; None if it must be encoded whole."""
         if self.lower:
-            return text.split()
+            # capitals share their entry, but for the names of special tokens
+            return (text if b"<|" in text else text.lower()).split()
         if any(c in text for c in ODD_SIGNS) and ODD_SPACE.search(text):
             return None
         # single spaces and line feeds start the next unit; runs and other white space take the pattern
@@ -101,25 +103,39 @@ class UnitTokenizer:
     def _new(self, unit: bytes) -> bytes:
         if (x := self.known.get(unit)) is not None:  # new a moment ago
             return x
-        if not unit.isascii() and BEYOND_LATIN_1.search(unit) or b"<|" in unit or self.lower and ODD_SPACE.search(unit):
-            x = self._whole(unit)
-        else:
-            s = unit.decode()
-            pieces, merge = self.pieces.get, self._merge
-            x = b"".join([pieces(p) or merge(p) for p in self.piece.findall(s.lower() if self.lower else s)])
+        if (x := self.before.get(unit)) is None:
+            x = self._encode(unit)
         if len(unit) <= CACHED_LENGTH:
             if len(self.known) >= CACHED_UNITS:
-                self.known = {}
-                if len(self.pieces) >= CACHED_UNITS:
-                    self.pieces = {}
+                self.rest()
             self.known[unit] = x
         return x
 
-    def _merge(self, piece: str) -> bytes:
-        text = piece.encode().decode("latin-1").translate(self.letters)
-        x = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
-        if len(piece) <= CACHED_LENGTH:
-            self.pieces[piece] = x
+    def rest(self) -> None:
+        """Starts a new dictionary; entries of the last one are taken over as they are met."""
+        self.before, self.known = self.known, {}
+        if len(self.pieces) >= CACHED_UNITS:
+            self.pieces = {}
+
+    def _encode(self, unit: bytes) -> bytes:
+        # most units are one word, with its space and perhaps a comma or full stop behind
+        word = unit if self.lower else unit[1:] if unit[:1] == b" " else b""
+        plain = unit.lower() if self.lower else unit
+        if word.isalpha():
+            return self._piece(plain.decode())
+        if word[-1:] in (b",", b".") and word[:-1].isalpha():
+            return self._piece(plain[:-1].decode()) + self._piece(plain[-1:].decode())
+        if not unit.isascii() and BEYOND_LATIN_1.search(unit) or b"<|" in unit or self.lower and ODD_SPACE.search(unit):
+            return self._whole(unit)
+        s = unit.decode()
+        return b"".join([self._piece(p) for p in self.piece.findall(s.lower() if self.lower else s)])
+
+    def _piece(self, piece: str) -> bytes:
+        if (x := self.pieces.get(piece)) is None:
+            text = piece.encode().decode("latin-1").translate(self.letters)
+            x = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+            if len(piece) <= CACHED_LENGTH:
+                self.pieces[piece] = x
         return x
 
     def _whole(self, text: bytes) -> bytes:
