@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import words
+from vocalith.llm.common import stored, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
+#: Up to so many sources, their rates are sent to all executors; texts then never move.
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -55,7 +57,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) ->
     """docs with size, source_size, target and copies. Reads the texts twice and shuffles only their sizes."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "rate_")]
     sized = docs.select(*own, F.size(words(F.col("text"))).cast("long").alias("size"))
-    targets = source_targets(sized.select("source", "size"), weights, cap).withColumnRenamed("source", "source_")
+    targets = stored(source_targets(sized.select("source", "size"), weights, cap).withColumnRenamed("source", "source_"), "targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     return joined.withColumn("copies", copies(F.col("rate_"), seed)).drop("rate_")
 
