@@ -73,9 +73,10 @@ class UnitTokenizer:
         self.lower = vocabulary.units == "bare"
         self.unit, self.piece = UNITS[vocabulary.units], PIECES[vocabulary.units]
         self.letters = byte_letters()
+        self.space = "" if self.lower else self.letters[32]
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str | bytes, bytes] = {}
 
     def units(self, text: bytes) -> list[bytes] | None:
         """The text's units; None if it must be encoded whole."""
@@ -95,9 +96,10 @@ class UnitTokenizer:
         if units is None:
             return np.frombuffer(self._whole(text), np.uint16)
         found = list(map(self.known.get, units))
-        if None in found:
-            new = self._new
-            found = [new(u) if x is None else x for u, x in zip(units, found, strict=True)]
+        at, new = -1, self._new
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = new(units[at])
         return np.frombuffer(b"".join(found), np.uint16)
 
     def _new(self, unit: bytes) -> bytes:
@@ -119,17 +121,26 @@ class UnitTokenizer:
 
     def _encode(self, unit: bytes) -> bytes:
         # most units are one word, with its space and perhaps a comma or full stop behind
-        word = unit if self.lower else unit[1:] if unit[:1] == b" " else b""
         plain = unit.lower() if self.lower else unit
+        word = plain if self.lower else plain[1:] if plain[:1] == b" " else b""
         if word.isalpha():
-            return self._piece(plain.decode())
+            return self._word(word)
         if word[-1:] in (b",", b".") and word[:-1].isalpha():
-            return self._piece(plain[:-1].decode()) + self._piece(plain[-1:].decode())
+            return self._word(word[:-1]) + self._piece(word[-1:].decode())
         if not unit.isascii() and BEYOND_LATIN_1.search(unit) or b"<|" in unit or self.lower and ODD_SPACE.search(unit):
             return self._whole(unit)
         s = unit.decode()
         return b"".join([self._piece(p) for p in self.piece.findall(s.lower() if self.lower else s)])
 
+    def _word(self, word: bytes) -> bytes:
+        """ASCII letters, which stand for themselves, with the vocabulary's space before them."""
+        if (x := self.pieces.get(word)) is None:
+            tokens = self.model.tokenize(self.space + word.decode())
+            x = array("H", [t.id for t in tokens]).tobytes()
+            if len(word) <= CACHED_LENGTH:
+                self.pieces[word] = x
+        return x
+
     def _piece(self, piece: str) -> bytes:
         if (x := self.pieces.get(piece)) is None:
             text = piece.encode().decode("latin-1").translate(self.letters)
