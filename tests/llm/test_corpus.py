@@ -218,6 +218,16 @@ def test_links_in_crowded_buckets_are_exact(spark, monkeypatch, bound):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_rows_without_an_id_of_their_own_are_deduplicated_by_text(spark):
+    texts = [" ".join(f"{topic}{i * i}" for i in range(60)) for topic in ("sea", "hill", "road", "moon", "wood")]
+    made = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (1, texts[2]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (2, texts[4])]
+    kept = simhash.deduplicate(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[3]), (2, texts[4])]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+    one = spark.createDataFrame([(None, texts[0]), (1, texts[1]), (None, texts[1])], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.deduplicate(one).collect()) == sorted(texts[:2])
+
+
 # -- language model --------------------------------------------------------------------------------------------------------------
 
 

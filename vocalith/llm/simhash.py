@@ -25,6 +25,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vocalith.llm.common import stored, utf8
 
@@ -225,24 +226,48 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for each row."""
+def _members(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, root, component_id for each row; root, the component's smallest fingerprint, is unique to it."""
     marked = stored(fingerprints(docs), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp")
+    return marked.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id for each row."""
+    return _members(docs).select("fp", "doc_id", "component_id")
+
+
+def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    """docs and fp_."""
+
+    def hashed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            fp = np.array([fingerprint(t) for t in utf8(batch, "text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "fp_"])
+
+    return docs.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField("fp_", T.LongType())]))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id names its component; of repeated rows with that id, one."""
-    members = near_duplicates(docs)
-    keep = (
-        members.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_")).withColumnRenamed("doc_id", "keep_")
-    )
-    met = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_")))
-    once = met.filter("n_ = 1").select(docs.columns)
-    return once.unionByName(met.filter("n_ > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+    """Exactly one row of docs for each component: that of its smallest id (null last), then of the smallest fingerprint.
+
+    An id that one row has finds it.  Rows without an id, or with a repeated one, are told apart by their fingerprints;
+    of several with the same id and fingerprint one stays.
+    """
+    members = stored(_members(docs).select("doc_id", "fp", "root"), "members")
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
+    keep = first.select(F.col("k.doc_id").alias("keep_"), F.col("k.fp").alias("keep_fp_"))
+    several = members.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("several_"))
+    key = F.col("doc_id").cast("long")
+    plain = docs.join(keep.join(several, F.col("keep_") == F.col("several_"), "left_anti"), key == F.col("keep_")).select(docs.columns)
+    unsure = docs.filter(key.isNull()).unionByName(docs.join(several, key == F.col("several_"), "left_semi"))
+    once = _with_fingerprint(unsure).dropDuplicates(["doc_id", "fp_"])
+    met = once.join(keep, key.eqNullSafe(F.col("keep_")) & (F.col("fp_") == F.col("keep_fp_")), "left_semi")
+    return plain.unionByName(met.select(docs.columns))
