@@ -228,6 +228,45 @@ def test_rows_without_an_id_of_their_own_are_deduplicated_by_text(spark):
     assert sorted(r.text for r in simhash.deduplicate(one).collect()) == sorted(texts[:2])
 
 
+@pytest.mark.parametrize("small", [16, 2])
+def test_the_pipeline_finds_all_near_copies(spark, monkeypatch, small):
+    import corpus_pipeline
+
+    from vocalith.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    rng, made = random.Random(11), []
+    for g in range(8):
+        base = [f"w{g}x{rng.randrange(400)}" for _ in range(120)]
+        for i in range(14):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(120)] = f"new{rng.random()}"
+            made.append((g * 100 + i, " ".join(copy)))
+    made += [(2000, None), (2001, ""), (2002, "a b"), (2003, "A  b"), (None, made[0][1])]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [grams(t) for _, t in made], list(range(len(made)))
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(made):
+        least[find(i)] = min(least.get(find(i), 1 << 40), (1 << 40) if d is None else d)
+    assert len(least) < 60
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = stage(spark, spark.createDataFrame(made, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
 # -- language model --------------------------------------------------------------------------------------------------------------
 
 

@@ -241,33 +241,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _members(docs).select("fp", "doc_id", "component_id")
 
 
-def _with_fingerprint(docs: DataFrame) -> DataFrame:
+def _signed(text: bytes) -> int:
+    fp = fingerprint(text)
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def _with_fingerprint(docs: DataFrame, of) -> DataFrame:
     """docs and fp_."""
 
     def hashed(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in utf8(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "fp_"])
+            fp = pa.array(map(of, utf8(batch, "text")), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fp], [*batch.schema.names, "fp_"])
 
     return docs.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField("fp_", T.LongType())]))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, members_of=_members, fingerprint_of=_signed) -> DataFrame:
     """Exactly one row of docs for each component: that of its smallest id (null last), then of the smallest fingerprint.
 
     An id that one row has finds it.  Rows without an id, or with a repeated one, are told apart by their fingerprints;
-    of several with the same id and fingerprint one stays.
+    of several with the same id and fingerprint one stays.  members_of gives the rows' doc_id, fp and root;
+    fingerprint_of gives a text's fp.
     """
-    members = stored(_members(docs).select("doc_id", "fp", "root"), "members")
+    members = stored(members_of(docs).select("doc_id", "fp", "root"), "members")
     first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
     keep = first.select(F.col("k.doc_id").alias("keep_"), F.col("k.fp").alias("keep_fp_"))
     several = members.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("several_"))
     key = F.col("doc_id").cast("long")
     plain = docs.join(keep.join(several, F.col("keep_") == F.col("several_"), "left_anti"), key == F.col("keep_")).select(docs.columns)
     unsure = docs.filter(key.isNull()).unionByName(docs.join(several, key == F.col("several_"), "left_semi"))
-    once = _with_fingerprint(unsure).dropDuplicates(["doc_id", "fp_"])
+    once = _with_fingerprint(unsure, fingerprint_of).dropDuplicates(["doc_id", "fp_"])
     met = once.join(keep, key.eqNullSafe(F.col("keep_")) & (F.col("fp_") == F.col("keep_fp_")), "left_semi")
     return plain.unionByName(met.select(docs.columns))
