@@ -330,6 +330,16 @@ def test_broken_pages_are_read_to_their_end(page):
     assert style_tree.main_text("plain &lt;text&gt;") == "plain <text>"
 
 
+@pytest.mark.parametrize(
+    "page", ['<div class="layout has-sidebar"><article>T', '<article class="post comments-open">T', '<main class="search-results">T', '<div class="sidebar"><article>T', "<main id=comments>T"]
+)
+def test_class_words_around_the_article_leave_it(page):
+    assert style_tree.main_text(page) == "T"
+    assert style_tree.main_text("<p>if 3 < 5 then x") == "if 3 < 5 then x"
+    assert style_tree.main_text('<p>x <a href="cut') == "x"
+    assert style_tree.main_text("<main>T</main><div class=comments><article>C</article></div><div class=cookie-notice>N</div>") == "T"
+
+
 def test_site_trees_drop_what_all_pages_say(spark):
     rng = random.Random(4)
     made = []

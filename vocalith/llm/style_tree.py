@@ -8,7 +8,8 @@ page loses its branches at them.
 
 A host's tree says little if it has few pages, and nothing that a page's own markup can't overrule: navigation,
 footers, forms and the like, by element, role or class, always go; and if a page has an article or main element with
-text, its text is in there.
+text, its text is in there.  A class or id is such a word if all parts of it are (cookie-notice, not has-sidebar); if
+words around the article or main element, or its own, would leave nothing of it, they don't count.
 
 Trees are built from counts: a batch of pages emits each (node, text) once, Spark adds them up, and only the noisy
 nodes of each host return to the pages: by broadcast if their number is under a bound, else by a join.
@@ -53,13 +54,20 @@ NOISE_WORDS = set(
     "sponsored subscribe toolbar topbar widget".split()
 )
 MAIN = {"article", "main"}
+LETTERS = re.compile(r"[a-z]+")
+#: A tag that the end of the page cuts off.
+STARTED = re.compile(r"<(?=[A-Za-z/!?])")
 SPACE = re.compile(r"\s+")
 
 
 def blocks(page: str):
-    """(path, text, noise, main) of the text blocks, in page order; and the child sequence of each path."""
+    """(path, text, noise, main, own) of the text blocks, in page order; and the child sequence of each path.
+
+    main is the depth of the article or main element around a block, or 0.  own is noise without the class words of
+    that element and of those around it.
+    """
     out, children = [], {}
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # tag, noise, main, path
+    stack: list[tuple[str, bool, int, bool, str]] = [("", False, 0, False, "")]  # tag, noise, main, own, path
     text: list[str] = []
 
     def flush():
@@ -67,8 +75,8 @@ def blocks(page: str):
             said = SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if said:
-                _, noise, main, path = stack[-1]
-                out.append((path, said, noise, main))
+                _, noise, main, own, path = stack[-1]
+                out.append((path, said, noise, main, own))
 
     def close(names) -> None:
         """Ends the innermost of these blocks, and what is open inside it."""
@@ -109,28 +117,34 @@ def blocks(page: str):
             if tag in VOID:
                 continue
             found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
-            _, noise, main, path = stack[-1]
-            noise = noise or tag in NOISE or tag == "header" and not main or found.get("role", "").lower() in NOISE_ROLES
-            named = re.findall(r"[a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()) if found else ()
-            noise = noise or tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(named)
-            main = main or tag in MAIN or found.get("role", "").lower() == "main"
+            _, noise, main, own, path = stack[-1]
+            meant = tag in NOISE or tag == "header" and not main or found.get("role", "").lower() in NOISE_ROLES
+            named = bool(found) and tag not in ("html", "body") and any(
+                (parts := LETTERS.findall(name)) and NOISE_WORDS.issuperset(parts) for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+            )
+            own = own or meant or bool(main) and named
+            noise = noise or meant or named
+            main = main or (path.count("/") + 1 if tag in MAIN or found.get("role", "").lower() == "main" else 0)
             label = ".".join([tag, *sorted(set(found.get("class", "").lower().split()))])
             children.setdefault(path, []).append(label)
             if tag not in ("html", "body"):
                 path = f"{path}/{label}"
-            stack.append((tag, noise, main, path))
+            stack.append((tag, noise, main, own, path))
     if at < len(page):
         rest = page[at:]
-        text.append(rest[: rest.find("<")] if "<" in rest else rest)
+        cut = STARTED.search(rest)
+        text.append(rest[: cut.start()] if cut else rest)
     flush()
     return out, children
 
 
 def main_text(page: str, noisy=frozenset(), host: str = "") -> str:
     found, _ = blocks(page)
-    inside = any(main and not noise for _, _, noise, main in found)
+    inside = any(main and not noise for _, _, noise, main, _ in found)
+    if not inside and any(main and not own for _, _, _, main, own in found):
+        inside, found = True, [(path, said, own, main, own) for path, said, _, main, own in found]
     kept = []
-    for path, said, noise, main in found:
+    for path, said, noise, main, _ in found:
         if noise or inside and not main:
             continue
         if not main and noisy and any(node_key(host, p) in noisy for p in prefixes(path)):
@@ -167,7 +181,7 @@ def _count(batches):
         seen: dict[tuple, int] = {}
         for h, host, page in zip(*[batch.column(c).to_pylist() for c in ("host_key", "host_", "html")], strict=True):
             own, (found, children) = set(), blocks(page or "")
-            for path, said, _, _ in found:
+            for path, said, *_ in found:
                 feature = key(said)
                 for p in prefixes(path):
                     node = node_key(host, p)
