@@ -355,6 +355,17 @@ def test_site_trees_drop_what_all_pages_say(spark):
     assert style_tree.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_do_not_make_the_tree_remove_their_text(spark):
+    page = "<body><div class=strip>Same on all pages</div><div class=body><p>{}</p></div></body>"
+    made = [(i, "http://a.org/x", page.format("copied words" if i < 90 else f"unique words {i}")) for i in range(100)]
+    made += [(i, "http://b.org/x", "<div class=body><p>only this</p></div>") for i in range(200, 206)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    for bound in (1 << 17, 0):
+        found = {r.page_id: r.text for r in style_tree.extract(pages, bound).collect()}
+        assert all(found[i] == ("copied words" if i < 90 else f"unique words {i}") for i in range(100))
+        assert all(found[i] == "only this" for i in range(200, 206))
+
+
 # -- the whole --------------------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 All pages of a host are merged into one tree of style nodes: the path of block elements and their classes from the
 body down.  A node's importance has two parts.  Content: the mean, over the texts below the node, of one minus the
-entropy of the text's spread over the host's m pages; a text on every page gives 0, one on a single page gives 1.
+entropy of the text's spread over the host's m distinct pages; a text on every page gives 0, one on a single page gives 1.
 Presentation: the entropy of the node's child sequences over those pages.  Nodes of low importance are noise, and each
 page loses its branches at them.
 
@@ -11,6 +11,9 @@ footers, forms and the like, by element, role or class, always go; and if a page
 text, its text is in there.  A class or id is such a word if all parts of it are (cookie-notice, not has-sidebar); if
 words around the article or main element, or its own, would leave nothing of it, they don't count.
 
+Copies, pages with the same block texts, are one page of the host's tree, and where the tree would leave nothing of a
+page it isn't applied.
+
 Trees are built from counts: a batch of pages emits each (node, text) once, Spark adds them up, and only the noisy
 nodes of each host return to the pages: by broadcast if their number is under a bound, else by a join.
 
@@ -143,14 +146,20 @@ def main_text(page: str, noisy=frozenset(), host: str = "") -> str:
     inside = any(main and not noise for _, _, noise, main, _ in found)
     if not inside and any(main and not own for _, _, _, main, own in found):
         inside, found = True, [(path, said, own, main, own) for path, said, _, main, own in found]
-    kept = []
+    kept, left = [], []
     for path, said, noise, main, _ in found:
         if noise or inside and not main:
             continue
+        left.append(said)
         if not main and noisy and any(node_key(host, p) in noisy for p in prefixes(path)):
             continue
         kept.append(said)
-    return "\n".join(kept)
+    return "\n".join(kept or left)
+
+
+def page_key(found: list) -> int:
+    """Stands for the texts of a page's blocks: copies have the same."""
+    return key("\0".join(said for _, said, *_ in found))
 
 
 def prefixes(path: str) -> list[str]:
@@ -170,17 +179,19 @@ def node_key(host: str, path: str) -> int:
 
 
 CONTENT, PRESENTATION, PAGE = range(3)
-COUNTS = "host_key long, node long, kind int, feature long, n long"
+COUNTS = "host_key long, node long, kind int, feature long, n double"
+COPIES = "host_key long, page long, n long"
 
 
 def _count(batches):
-    """Each batch's distinct (node, feature), with the number of its pages that have it."""
+    """Each batch's distinct (node, feature), with the number of its pages that have it; n copies count as 1/n each."""
     import pyarrow as pa
 
     for batch in batches:
-        seen: dict[tuple, int] = {}
-        for h, host, page in zip(*[batch.column(c).to_pylist() for c in ("host_key", "host_", "html")], strict=True):
+        seen: dict[tuple, float] = {}
+        for h, host, page, copied in zip(*[batch.column(c).to_pylist() for c in ("host_key", "host_", "html", "copied_")], strict=True):
             own, (found, children) = set(), blocks(page or "")
+            weight = 1 / (copied or 1)
             for path, said, *_ in found:
                 feature = key(said)
                 for p in prefixes(path):
@@ -190,16 +201,47 @@ def _count(batches):
                 if path:
                     own.add((node_key(host, path), PRESENTATION, key(" ".join(labels))))
             for x in own:
-                seen[h, *x] = seen.get((h, *x), 0) + 1
+                seen[h, *x] = seen.get((h, *x), 0) + weight
         columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in COUNTS.split(", ")])
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """host_key, node, pages, importance of every style node. pages: host_, html."""
-    counts = pages.select(F.xxhash64("host_").alias("host_key"), "host_", "html").mapInArrow(_count, COUNTS)
-    features = counts.groupBy("host_key", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+def _page_keys(batches):
+    """Each batch's distinct pages, with their number."""
+    import pyarrow as pa
+
+    for batch in batches:
+        seen: dict[tuple, int] = {}
+        for h, page in zip(batch.column("host_key").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            k = h, page_key(blocks(page or "")[0])
+            seen[k] = seen.get(k, 0) + 1
+        columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host_key", "page", "n"])
+
+
+def _keyed(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        pages = pa.array([page_key(blocks(page or "")[0]) for page in batch.column("html").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pages], [*batch.schema.names, "page"])
+
+
+def importance(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """host_key, node, pages, importance of every style node; copies are one page. pages: host_, html."""
+    keyed = pages.select(F.xxhash64("host_").alias("host_key"), "host_", "html")
+    sums = keyed.select("host_key", "html").mapInArrow(_page_keys, COPIES).groupBy("host_key", "page").agg(F.sum("n").alias("n"))
+    copies = stored(sums.filter("n > 1"), "copies")
+    copied = copies.select("host_key", "page", F.col("n").alias("copied_"))
+    if (number := copies.count()) and number <= broadcast_rows:
+        copied = F.broadcast(copied)
+    if number:
+        keyed = keyed.mapInArrow(_keyed, "host_key long, host_ string, html string, page long").join(copied, ["host_key", "page"], "left")
+    else:
+        keyed = keyed.withColumn("copied_", F.lit(1).cast("long"))
+    counts = keyed.mapInArrow(_count, COUNTS)
+    features = counts.groupBy("host_key", "node", "kind", "feature").agg(F.round(F.sum("n")).alias("n"))
     m = F.max(F.when(F.col("kind") == PAGE, F.col("n"))).alias("pages")
     content, shape = F.col("kind") == CONTENT, F.col("kind") == PRESENTATION
     sums = features.groupBy("host_key", "node").agg(
@@ -223,10 +265,10 @@ def host(url):
 
 
 def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """pages with text in place of html. The trees take one pass over the pages, the texts a second."""
+    """pages with text in place of html. A pass over the pages counts copies, one makes the trees, one the texts."""
     own = [f for f in pages.schema.fields if f.name not in ("html", "text", "host_", "noisy_", "host_key")]
     placed = pages.select(*[f.name for f in own], "html", host(F.col("url")).alias("host_"))
-    low = importance(placed).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD))
+    low = importance(placed, broadcast_rows).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD))
     noisy = stored(low.select("host_key", "node"), "noise")
     by_host = noisy.groupBy("host_key").agg(F.collect_set("node").alias("noisy_"))
     if noisy.count() <= broadcast_rows:
