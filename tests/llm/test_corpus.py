@@ -355,6 +355,12 @@ def test_site_trees_drop_what_all_pages_say(spark):
     assert style_tree.extract(pages.limit(0)).count() == 0
 
 
+def test_trees_decide_inside_the_article(spark):
+    page = "<body><main class=body><div class=box>Buy this everywhere</div><p>text {}</p></main></body>"
+    pages = spark.createDataFrame([(i, "http://a.org/x", page.format(i)) for i in range(40)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in style_tree.extract(pages).collect()} == {i: f"text {i}" for i in range(40)}
+
+
 def test_copies_do_not_make_the_tree_remove_their_text(spark):
     page = "<body><div class=strip>Same on all pages</div><div class=body><p>{}</p></div></body>"
     made = [(i, "http://a.org/x", page.format("copied words" if i < 90 else f"unique words {i}")) for i in range(100)]

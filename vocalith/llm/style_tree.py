@@ -6,9 +6,9 @@ entropy of the text's spread over the host's m distinct pages; a text on every p
 Presentation: the entropy of the node's child sequences over those pages.  Nodes of low importance are noise, and each
 page loses its branches at them.
 
-A host's tree says little if it has few pages, and nothing that a page's own markup can't overrule: navigation,
-footers, forms and the like, by element, role or class, always go; and if a page has an article or main element with
-text, its text is in there.  A class or id is such a word if all parts of it are (cookie-notice, not has-sidebar); if
+A host's tree says little if it has few pages, so a page's own markup counts as well: navigation, footers, forms and
+the like, by element, role or class, always go; and if a page has an article or main element with text, its text is in
+there, and the tree decides on the nodes below that element.  A class or id is such a word if all parts of it are (cookie-notice, not has-sidebar); if
 words around the article or main element, or its own, would leave nothing of it, they don't count.
 
 Copies, pages with the same block texts, are one page of the host's tree, and where the tree would leave nothing of a
@@ -151,7 +151,7 @@ def main_text(page: str, noisy=frozenset(), host: str = "") -> str:
         if noise or inside and not main:
             continue
         left.append(said)
-        if not main and noisy and any(node_key(host, p) in noisy for p in prefixes(path)):
+        if noisy and any(node_key(host, p) in noisy for p in prefixes(path)[main:]):
             continue
         kept.append(said)
     return "\n".join(kept or left)
