@@ -12,26 +12,53 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vocalith.functions.axioms import object_id
 from vocalith.operators import graph
 from vocalith.sources.shared import stored
 
 
+#: The class without members.
+BOTTOM = object_id("owl:Nothing")
+
+
+def _with_bottom(rules: DataFrame) -> DataFrame:
+    """What has a role to nothing is nothing: for each role, where the class without members is named at all."""
+    named = rules.filter((F.col("a") == BOTTOM) | (F.col("b") == BOTTOM) | (F.col("c") == BOTTOM))
+    if named.isEmpty():
+        return rules
+    roles = rules.filter("rule = 'exists'").select(F.col("b").alias("role")).distinct()
+    # a number that no expression has, since its text isn't one
+    some = (-F.abs(F.xxhash64(F.lit("some of nothing"), "role")) - 2).alias("a")
+    none, null = F.lit(None).cast("long"), F.lit(None).cast("int")
+    exists = roles.select(F.lit("exists").alias("rule"), some, F.col("role").alias("b"), F.lit(BOTTOM).alias("c"), null.alias("n"))
+    told = roles.select(F.lit("told").alias("rule"), some, F.lit(BOTTOM).alias("b"), none.alias("c"), null.alias("n"))
+    return rules.unionByName(exists).unionByName(told)
+
+
+def unsatisfiable(subsumed: DataFrame) -> DataFrame:
+    """concept: those below the class without members."""
+    return subsumed.filter(F.col("ancestor") == BOTTOM).select(F.col("child").alias("concept")).distinct()
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames).distinct()
 
 
 def saturate(rules: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(child, ancestor): strict subsumption among named concepts. rules: see functions.axioms.normalised."""
-    rules = stored(rules, "rules")
+    """(child, ancestor): strict subsumption among named concepts, and under BOTTOM those that nothing can be.
+
+    rules: see functions.axioms.normalised.
+    """
+    rules = stored(_with_bottom(rules), "rules")
     pick = lambda rule, *names: rules.filter(F.col("rule") == rule).select(*[F.col(c).alias(n) for c, n in zip("abcn", names, strict=False) if n])
     exists = pick("exists", "x", "role", "filler")
     member = pick("member", "d", "x", None, "need")
     chain = pick("chain", "first", "second", "whole")
-    told = graph.closure(pick("told", "child", "parent"), max_rounds)
+    told = graph.closure(pick("told", "child", "parent"))
     told = told.select(F.col("child").alias("d"), F.col("ancestor").alias("e"))
     role_edges = pick("role", "child", "parent")
     roles = _union([
-        graph.closure(role_edges, max_rounds), role_edges.select(F.col("child"), F.col("child").alias("ancestor")),
+        graph.closure(role_edges), role_edges.select(F.col("child"), F.col("child").alias("ancestor")),
         role_edges.select(F.col("parent").alias("child"), F.col("parent").alias("ancestor")),
     ])
     roles = stored(roles.select(F.col("child").alias("role"), F.col("ancestor").alias("up")), "roles")
@@ -55,7 +82,7 @@ def saturate(rules: DataFrame, max_rounds: int = 200) -> DataFrame:
     has_chain = not chain.isEmpty()
     link = None
     triggers = exists.select(F.col("filler").alias("d"), F.col("role"), F.col("x"))
-    for _ in range(max_rounds):
+    for number in range(max_rounds):
         # links from what is newly subsumed by an existential
         links = [new_sub.join(exists.withColumnRenamed("x", "d"), "d").select("c", "role", "filler")]
         if link is None and own is not None:
@@ -77,8 +104,10 @@ def saturate(rules: DataFrame, max_rounds: int = 200) -> DataFrame:
         link = all_link
         new_sub = stored(derived.join(sub, ["c", "d"], "left_anti"), "sub")
         if new_sub.isEmpty() and (not has_chain or new_link.isEmpty()):
-            return sub.filter("c > 0 and d > 0 and c <> d").select(F.col("c").alias("child"), F.col("d").alias("ancestor"))
+            return sub.filter((F.col("c") > 0) & ((F.col("d") > 0) | (F.col("d") == BOTTOM)) & (F.col("c") != F.col("d"))).select(F.col("c").alias("child"), F.col("d").alias("ancestor"))
         sub = sub.unionByName(new_sub)
+        if number % graph.MERGED == graph.MERGED - 1:
+            sub, link = stored(sub, "sub"), stored(link, "link")
     raise RuntimeError("classification has not settled")
 
 
@@ -99,7 +128,13 @@ def taxonomy(subsumed: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataF
     """(parents, equivalence sets, closure over representatives) of strict subsumption among named concepts.
 
     In a set of equivalent concepts the smallest has the real parents; each other one has it as its only parent.
+    Concepts that nothing can be have no place.
     """
+    nothing = unsatisfiable(subsumed)
+    subsumed = subsumed.filter(F.col("ancestor") != BOTTOM)
+    for end in ("child", "ancestor"):
+        subsumed = subsumed.join(nothing.withColumnRenamed("concept", end), end, "left_anti").select("child", "ancestor")
+    subsumed = stored(subsumed, "subsumed")
     sets = stored(graph.equivalents(subsumed), "sets")
     rep = sets.filter("member <> set_id")
     name = lambda df, c: df.join(rep.select(F.col("member").alias(c), F.col("set_id").alias("r_")), c, "left").withColumn(c, F.coalesce("r_", c)).drop("r_")

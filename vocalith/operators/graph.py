@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 from vocalith.sources.shared import stored
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+#: Rounds after which the tables of an iteration become one, so that a plan doesn't grow with their number.
+MERGED = 4
+
+
+def closure(edges: DataFrame) -> DataFrame:
     """(child, ancestor): all pairs along edges (child, parent), cycles included once.
 
-    A round joins only the last round's pairs with the edges; what is known is taken out by an anti-join, and both are
-    written to the shared folder.  Raises if a path is longer than max_depth.
+    A round joins the last round's pairs with all pairs, so paths double in length and a depth of n takes log n rounds.
+    What is known is taken out by an anti-join, and both are written to the shared folder.
     """
-    step = edges.select("child", "parent").filter("child <> parent").distinct()
-    known = frontier = stored(step.select("child", F.col("parent").alias("ancestor")), "closure")
-    for _ in range(max_depth):
-        onward = step.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
+    step = edges.select("child", F.col("parent").alias("ancestor")).filter("child <> ancestor").distinct()
+    known = frontier = stored(step, "closure")
+    rounds = 0
+    while True:
+        onward = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"))
         pairs = frontier.join(onward, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
         frontier = stored(pairs.join(known, ["child", "ancestor"], "left_anti"), "closure")
         if frontier.isEmpty():
             return known
-        known = known.unionByName(frontier)
-    raise ValueError(f"the hierarchy is deeper than {max_depth}")
+        known, rounds = known.unionByName(frontier), rounds + 1
+        if rounds % MERGED == 0:
+            known = stored(known, "closure")
 
 
 def reflexive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -31,46 +37,56 @@ def reflexive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(nodes.select(F.col(nodes.columns[0]).alias("child"), F.col(nodes.columns[0]).alias("ancestor"))).distinct()
 
 
-def descendants(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """node: all below the roots. Only the frontier meets the edges, so the rest of the hierarchy isn't closed."""
+def descendants(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """node: all below the roots. Only the frontier meets the edges, so the rest of the hierarchy isn't closed.
+
+    Raises if something is deeper than max_depth.
+    """
     known = frontier = stored(roots.select(F.col(roots.columns[0]).alias("node")).distinct(), "below")
     step = edges.select("child", F.col("parent").alias("node")).distinct()
-    found = None
-    for _ in range(max_depth):
+    found, depth = frontier.limit(0), 0
+    while max_depth is None or depth < max_depth:
         below = frontier.join(step, "node").select(F.col("child").alias("node")).distinct()
         frontier = stored(below.join(known, "node", "left_anti"), "below")
         if frontier.isEmpty():
-            return found if found is not None else frontier
-        found = frontier if found is None else found.unionByName(frontier)
-        known = known.unionByName(frontier)
+            return found
+        found, known, depth = found.unionByName(frontier), known.unionByName(frontier), depth + 1
+        if depth % MERGED == 0:
+            found, known = stored(found, "below"), stored(known, "below")
     raise ValueError(f"the hierarchy is deeper than {max_depth}")
 
 
-def direct_parents(pairs: DataFrame) -> DataFrame:
-    """(child, parent) of a strict closure (child, ancestor) without those that another pair implies."""
+def direct_parents(pairs: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """(child, parent) of a strict closure (child, ancestor) without those that another pair implies.
+
+    told: edges (child, parent) among which all direct ones are, if such are known; only these are tried then.
+    """
+    candidates = pairs if told is None else told.select("child", F.col("parent").alias("ancestor")).filter("child <> ancestor").distinct()
     first = pairs.select("child", F.col("ancestor").alias("mid"))
     second = pairs.select(F.col("child").alias("mid"), "ancestor")
-    implied = first.join(second, "mid").select("child", "ancestor").distinct()
-    return pairs.join(implied, ["child", "ancestor"], "left_anti").select("child", F.col("ancestor").alias("parent"))
+    if told is None:
+        implied = first.join(second, "mid").select("child", "ancestor").distinct()
+    else:
+        implied = candidates.join(first, "child").join(second, ["mid", "ancestor"], "left_semi").select("child", "ancestor").distinct()
+    return candidates.join(implied, ["child", "ancestor"], "left_anti").select("child", F.col("ancestor").alias("parent"))
 
 
-def levels(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path up; nodes without parents have level 0. Each round settles one level."""
     step = stored(edges.select("child", "parent").filter("child <> parent").distinct(), "levels")
     nodes = step.select(F.col("child").alias("node")).unionByName(step.select(F.col("parent").alias("node"))).distinct()
-    left = nodes
-    done = None
-    for level in range(max_depth):
+    left, done, level = stored(nodes, "levels"), None, 0
+    while True:
         waiting = step.join(left.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node"))
-        ready = left.join(waiting, "node", "left_anti").withColumn("level", F.lit(level))
-        ready = stored(ready, "levels")
+        ready = stored(left.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)), "levels")
         if ready.isEmpty():
             if not left.isEmpty():
                 raise ValueError("the hierarchy has a cycle")
             return done if done is not None else ready
         left = stored(left.join(ready, "node", "left_anti"), "levels")
-        done = ready if done is None else done.unionByName(ready)
-    raise ValueError(f"the hierarchy is deeper than {max_depth}")
+        done, level = ready if done is None else done.unionByName(ready), level + 1
+        if level % MERGED == 0:
+            done = stored(done, "levels")
 
 
 def equivalents(subsumed: DataFrame) -> DataFrame:
