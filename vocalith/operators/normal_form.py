@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalith.operators import graph, groups
+from vocalith.schema import CORE_MODULE
 from vocalith.sources.shared import stored
 
 ROW = ["typeId", "destinationId", "value"]
@@ -38,7 +39,9 @@ def reduce_groups(rows: DataFrame, types: DataFrame, is_a: DataFrame, chains: Da
 
     chains: first, second, whole. reach: property, child, ancestor along the graph of `second`.
     """
-    named = rows.withColumn("row", F.xxhash64("gkey", *ROW)).withColumnRenamed("grp", "number").withColumnRenamed("gkey", "grp")
+    # a row's number is its place among the concept's: of rows that imply each other the first stays
+    place = F.row_number().over(Window.partitionBy("conceptId").orderBy("ord", *ROW)).cast("long")
+    named = rows.withColumn("row", place).withColumnRenamed("grp", "number").withColumnRenamed("gkey", "grp")
     named = stored(named, "candidates")
     plain, concrete = named.filter("value is null"), named.filter("value is not null")
     # a type or destination that no closure knows is still as strong as itself
@@ -95,29 +98,32 @@ def inferred_attributes(own: DataFrame, parents: DataFrame, types: DataFrame, is
     return first.join(again.withColumnRenamed("node", "conceptId"), "conceptId", "left_anti").unionByName(second)
 
 
-def stable_numbers(new: DataFrame, published: DataFrame) -> DataFrame:
+def stable_numbers(new: DataFrame, published: DataFrame, core: int = CORE_MODULE) -> DataFrame:
     """new with the group numbers of equal published groups; a group that holds such a number takes the other's.
 
-    Only concepts with published groups are renumbered, each by itself, since the exchanges follow one another.
+    Of equal published groups one of the core module counts, then the smallest number; published: conceptId, grp, ROW,
+    and moduleId if modules are known.  Only concepts with published groups are renumbered, each by itself, since the
+    exchanges follow one another: a fold over the concept's groups.
     """
     item = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ROW])
     # a row of group 0 is a group of its own
     part = F.when(F.col("grp") == 0, item).otherwise(F.lit(""))
-    group = lambda df: df.withColumn("part", part).groupBy("conceptId", "grp", "part").agg(F.concat_ws(";", F.array_sort(F.collect_set(item))).alias("items"))
-    old = group(published.filter("grp <> 0")).groupBy("conceptId", "items").agg(F.min("grp").alias("old_grp"))
-    mine = group(new).join(old.select("conceptId").distinct(), "conceptId", "left_semi").join(old, ["conceptId", "items"], "left")
-
-    def exchange(rows):
-        rows = rows.sort_values(["grp", "part"]).reset_index(drop=True)
-        number = rows["grp"].tolist()
-        for i, wanted in enumerate(rows["old_grp"].tolist()):
-            if wanted == wanted and wanted is not None and number[i] != wanted:
-                for j, held in enumerate(number):
-                    if held == wanted:
-                        number[j] = number[i]
-                number[i] = int(wanted)
-        return rows.assign(to=number)[["conceptId", "grp", "part", "to"]]
-
-    renumbered = mine.groupBy("conceptId").applyInPandas(exchange, "conceptId long, grp int, part string, to int")
+    items = F.concat_ws(";", F.array_sort(F.collect_set("item"))).alias("items")
+    modules = published if "moduleId" in published.columns else published.withColumn("moduleId", F.lit(None).cast("long"))
+    own = F.coalesce(F.col("moduleId") == core, F.lit(False))
+    old = modules.filter("grp <> 0").withColumn("item", item).groupBy("conceptId", "grp").agg(items, F.max(~own).alias("other"))
+    best = old.groupBy("conceptId", "items").agg(F.min(F.struct("other", "grp")).alias("b")).select("conceptId", "items", F.col("b.grp").alias("wanted"))
+    mine = new.withColumns({"part": part, "item": item}).groupBy("conceptId", "grp", "part").agg(items)
+    mine = mine.join(best.select("conceptId").distinct(), "conceptId", "left_semi").join(best, ["conceptId", "items"], "left")
+    group = F.struct("grp", "part", "wanted", F.col("grp").alias("to"))
+    each = mine.groupBy("conceptId").agg(F.sort_array(F.collect_list(group)).alias("all"))
+
+    def exchange(state, i):
+        me = F.get(state, i)
+        moved = F.transform(state, lambda g, j: g.withField("to", F.when(j == i, me["wanted"]).when(g["to"] == me["wanted"], me["to"]).otherwise(g["to"])))
+        return F.when(me["wanted"].isNull() | (me["to"] == me["wanted"]), state).otherwise(moved)
+
+    folded = F.aggregate(F.sequence(F.lit(0), F.size("all") - 1), F.col("all"), exchange)
+    renumbered = each.select("conceptId", F.explode(folded).alias("g")).select("conceptId", "g.grp", "g.part", "g.to")
     joined = new.withColumn("part", part).join(renumbered, ["conceptId", "grp", "part"], "left")
     return joined.select("conceptId", F.coalesce("to", "grp").alias("grp"), *ROW)

@@ -55,7 +55,7 @@ def classify_release(spark: SparkSession, release: Release, infer: Callable[[Dat
     published = release.inferred.select(
         "id", "moduleId", F.col("sourceId"), "typeId", "destinationId", "value", F.col("relationshipGroup").alias("grp")
     )
-    before = published.filter(F.col("typeId") != IS_A).select(F.col("sourceId").alias("conceptId"), "grp", *normal_form.ROW)
+    before = published.filter(F.col("typeId") != IS_A).select(F.col("sourceId").alias("conceptId"), "grp", *normal_form.ROW, "moduleId")
     nf = stored(normal_form.stable_numbers(nf, before), "normal-form")
     new = parents.select(
         F.col("child").alias("sourceId"), F.lit(0).alias("grp"), F.lit(IS_A).cast("long").alias("typeId"), F.col("parent").alias("destinationId"), F.lit(None).cast("string").alias("value")
