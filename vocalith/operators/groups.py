@@ -57,6 +57,25 @@ def contained(pairs: DataFrame, sizes: DataFrame, owner: Sequence[str]) -> DataF
     )
 
 
+def item_sets(rows: DataFrame, owner: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets of an owner's groups, (owner, grp, items) under the smallest group that has it, and (owner, grp, member).
+
+    rows: owner, grp, item.  Groups with equal items are compared once, however many they are.
+    """
+    each = rows.groupBy(*owner, "grp").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sets = each.groupBy(*owner, "items").agg(F.min("grp").alias("grp")).select(*owner, "grp", "items")
+    members = each.withColumnRenamed("grp", "member").join(sets, [*owner, "items"]).select(*owner, "grp", "member")
+    return sets, members
+
+
+def set_containment(sets: DataFrame, owner: Sequence[str]) -> DataFrame:
+    """(owner, strong, weak) of distinct sets: the strong one has all items of the weak one, and more."""
+    items = lambda name: sets.select(*owner, F.col("grp").alias(name), F.explode("items").alias("row_r"))
+    pairs = items("group_l").join(items("group_r"), [*owner, "row_r"])
+    sizes = sets.select(*owner, "grp", F.size("items").alias("n"))
+    return contained(pairs, sizes, owner).filter("strong <> weak")
+
+
 def antichain(groups: DataFrame, containment: DataFrame, owner: Sequence[str], order: str) -> DataFrame:
     """Groups that no other contains; of groups that contain each other, the first by `order`."""
     ordered = groups.select(*owner, F.col("grp").alias("strong"), F.col(order).alias("strong_order_"))

@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalith.functions import axioms, values
-from vocalith.operators import classify, diff, graph, groups, state
+from vocalith.operators import classify, diff, graph, groups, normal_form, state
+from vocalith.plans import ontology, services
 from vocalith.plans import tables as t
 from vocalith.plans.tables import is_a, table
-from vocalith.schema import DEFAULT_UNGROUPED, IS_A
+from vocalith.schema import CORE_MODULE, DEFAULT_UNGROUPED, EXISTENTIAL, IS_A, MODEL_ATTRIBUTE, OBJECT_ATTRIBUTE, STATED
+from vocalith.sources.releases import Release
 from vocalith.sources.shared import stored
 
 #: Dates that split orders into a snapshot and a delta.
 CUTOFF = "1997-01-01"
+#: Added to a place's number for the class of what is located there.
+LOCAL = 500_000_000
+#: An attribute of this terminology.
+MARKET = 900
 long = "bigint"
 
 
@@ -61,12 +67,10 @@ def concrete_value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ungrouped_roles_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content types are nations; roles are segments of their customers in debt; children are the nations of a region."""
-    customer = table(spark, sf_dir, "customer").filter("c_acctbal < -900")
-    codes = F.array_position(F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]), F.col("c_mktsegment"))
-    roles = customer.select(_long("c_nationkey", t.NATION).alias("contentTypeId"), codes.cast(long).alias("attributeId")).distinct()
-    nation = table(spark, sf_dir, "nation")
-    children = nation.select(_long("n_regionkey", t.REGION).alias("parent"), _long("n_nationkey", t.NATION).alias("child"))
+    """Content types are nations and customers; roles are priorities of customers' open orders; customers are children."""
+    code = F.substring("o_orderpriority", 1, 1).cast(long)
+    roles = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(_long("o_custkey", t.CUSTOMER).alias("contentTypeId"), code.alias("attributeId")).distinct()
+    children = table(spark, sf_dir, "customer").select(_long("c_nationkey", t.NATION).alias("parent"), _long("c_custkey", t.CUSTOMER).alias("child"))
     types = children.select(F.col("parent").alias("contentTypeId")).unionByName(children.select(F.col("child").alias("contentTypeId"))).distinct()
     found = state.ungrouped_roles(roles, children, types, DEFAULT_UNGROUPED)
     return found.select(F.col("contentTypeId").alias("content_type_id"), F.col("attributeId").alias("attribute_id"))
@@ -74,7 +78,8 @@ def ungrouped_roles_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inactivation_retirement(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    gone = table(spark, sf_dir, "nation").filter("n_nationkey % 7 = 3").select("n_nationkey")
+    europe = table(spark, sf_dir, "region").filter("r_name = 'EUROPE'").select(F.col("r_regionkey").alias("n_regionkey"))
+    gone = table(spark, sf_dir, "nation").join(europe, "n_regionkey", "left_semi").select("n_nationkey")
     return state.retired(customer, "c_nationkey", gone).select("c_custkey", F.col("c_nationkey").cast(long).alias("c_nationkey"), "c_mktsegment")
 
 
@@ -98,7 +103,8 @@ def _with_shortcuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def direct_parents_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.direct_parents(graph.closure(_with_shortcuts(spark, sf_dir)))
+    edges = _with_shortcuts(spark, sf_dir)
+    return graph.direct_parents(graph.closure(edges), edges)
 
 
 def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +112,12 @@ def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equivalent_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one brand, type and size have the same definition; the smallest of each set names it."""
-    part = table(spark, sf_dir, "part").select(_long("p_partkey", t.PART).alias("member"), "p_brand", "p_type", "p_size")
-    sets = part.groupBy("p_brand", "p_type", "p_size").agg(F.min("member").alias("set_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return part.join(sets, ["p_brand", "p_type", "p_size"]).select("set_id", "member")
+    """A customer's orders of one priority and status subsume their neighbours by number, both ways; so the set is one class."""
+    ordered = Window.partitionBy("o_custkey", "o_orderpriority", "o_orderstatus").orderBy("o_orderkey")
+    orders = table(spark, sf_dir, "orders").withColumn("before", F.lag("o_orderkey").over(ordered)).filter("before is not null")
+    up = orders.select(_long("o_orderkey", t.ORDER).alias("child"), _long("before", t.ORDER).alias("parent"))
+    both = up.unionByName(up.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
+    return graph.equivalents(graph.closure(both).filter("child <> ancestor"))
 
 
 def inherited_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +132,9 @@ def inherited_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def property_chain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplied_by o located_in: a part is located where a supplier of it is, and in what that is part of."""
-    supplied = table(spark, sf_dir, "lineitem").select(_long("l_partkey", t.PART).alias("part_id"), _long("l_suppkey", t.SUPPLIER).alias("child")).distinct()
-    up = graph.closure(is_a(spark, sf_dir, customers=False))
-    return supplied.join(up, "child").select("part_id", F.col("ancestor").alias("located_in")).distinct()
+    supplied = table(spark, sf_dir, "lineitem").select(_long("l_partkey", t.PART).alias("child"), _long("l_suppkey", t.SUPPLIER).alias("parent"))
+    reached = graph.chain_closure(supplied, graph.closure(is_a(spark, sf_dir, customers=False)))
+    return reached.filter(F.col("ancestor") < t.SUPPLIER).select(F.col("child").alias("part_id"), F.col("ancestor").alias("located_in"))
 
 
 # -- groups -----------------------------------------------------------------------------------------------------------
@@ -148,7 +156,7 @@ def role_group_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (owner, row, grp, typeId, destinationId): an order's suppliers (odd lines) and their places (even lines)."""
-    line = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 1")
+    line = table(spark, sf_dir, "lineitem")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     place = F.when(F.col("l_linenumber") % 2 == 1, _long("l_suppkey", t.SUPPLIER)).otherwise(_long("s_nationkey", t.NATION))
     rows = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
@@ -172,11 +180,14 @@ def fragment_subsumption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concrete_subsumption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands own their parts' sizes; a size counts as stronger if the text is equal and its type below."""
-    part = table(spark, sf_dir, "part")
-    rows = part.select(F.col("p_brand").alias("owner"), _long("p_partkey").alias("row"), F.lit(0).cast(long).alias("grp"), (F.lit(1) + F.col("p_partkey") % 2).cast(long).alias("typeId"), F.concat(F.lit("#"), F.col("p_size")).alias("value"))
+    """Orders own their lines' quantities; a quantity counts as stronger if the text is equal and its type the same or below."""
+    line, type_ = table(spark, sf_dir, "lineitem"), (F.lit(1) + F.col("l_linenumber") % 2).cast(long)
+    rows = line.select(
+        _long("l_orderkey", t.ORDER).alias("owner"), (F.col("l_partkey") * 100 + F.col("l_linenumber") * 10 + type_).cast(long).alias("row"), F.col("l_linenumber").cast(long).alias("grp"),
+        type_.alias("typeId"), F.concat(F.lit("#"), F.col("l_quantity").cast(long)).alias("value"),
+    ).distinct()
     types = spark.createDataFrame([(1, 1), (2, 2), (2, 1)], "child long, ancestor long")
-    return groups.same_value_pairs(rows.filter("typeId = 2"), rows.filter("typeId = 1"), ["owner"], types).select("owner", "row_l", "row_r")
+    return groups.same_value_pairs(rows, rows, ["owner"], types).filter("row_l <> row_r").select("owner", "row_l", "row_r")
 
 
 def _flag_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -186,20 +197,21 @@ def _flag_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         _long("o_custkey", t.CUSTOMER).alias("owner"), _long("l_orderkey").alias("grp"), F.concat("l_returnflag", "l_linestatus").alias("item")
     ).distinct()
-    sizes = rows.groupBy("owner", "grp").agg(F.count(F.lit(1)).alias("n"))
-    left = rows.select("owner", "item", F.col("grp").alias("group_l"))
-    right = rows.select("owner", "item", F.col("grp").alias("group_r"), F.col("item").alias("row_r"))
-    pairs = left.join(right, ["owner", "item"]).select("owner", "group_l", "group_r", "row_r")
-    return sizes, groups.contained(pairs, sizes, ["owner"])
+    return groups.item_sets(rows, ["owner"])
 
 
 def group_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flag_sets(spark, sf_dir)[1].filter("strong <> weak")
+    """Distinct sets of a customer, each named by its first order, and which holds which; orders follow from membership."""
+    sets, _ = _flag_sets(spark, sf_dir)
+    return groups.set_containment(sets, ["owner"])
 
 
 def group_antichain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes, containment = _flag_sets(spark, sf_dir)
-    return groups.antichain(sizes.withColumn("ord", F.col("grp")), containment, ["owner"], "ord").select("owner", "grp", "n")
+    """Of a customer's orders with equal sets the first stays, unless another order's set holds its own."""
+    sets, _ = _flag_sets(spark, sf_dir)
+    sets = stored(sets, "sets")
+    sizes = sets.select("owner", "grp", F.size("items").cast(long).alias("n"), F.col("grp").alias("ord"))
+    return groups.antichain(sizes, groups.set_containment(sets, ["owner"]), ["owner"], "ord").select("owner", "grp", "n")
 
 
 # -- changes ------------------------------------------------------------------------------------------------------------
@@ -373,6 +385,27 @@ def _rules(definitions: DataFrame) -> DataFrame:
     )
 
 
+def el_roles_and_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existentials, a role hierarchy, a chain and a reflexive role.
+
+    Suppliers and customers are located (1) in a nation, customers by a role below that (2); nations are part (3) of a
+    region; to be located in what is part of a place is to be located in that place; and every concept is located in
+    itself.  For each place a class is defined by what is located there: its number is the place's and LOCAL.
+    """
+    edge = lambda table_, c, c0, p, p0, role: table(spark, sf_dir, table_).select(_long(c, c0).alias("c"), F.lit(role).cast(long).alias("role"), _long(p, p0).alias("place"))
+    facts = edge("supplier", "s_suppkey", t.SUPPLIER, "s_nationkey", t.NATION, 1).unionByName(edge("customer", "c_custkey", t.CUSTOMER, "c_nationkey", t.NATION, 2)).unionByName(edge("nation", "n_nationkey", t.NATION, "n_regionkey", t.REGION, 3))
+    places = table(spark, sf_dir, "nation").select(_long("n_nationkey", t.NATION).alias("place")).unionByName(table(spark, sf_dir, "region").select(_long("r_regionkey", t.REGION).alias("place")))
+    some = lambda role: -(F.col("place") * 10 + role)
+    none, null = F.lit(None).cast(long), F.lit(None).cast("int")
+    row = lambda df, rule, a, b, c=none: df.select(F.lit(rule).alias("rule"), a.alias("a"), b.alias("b"), c.alias("c"), null.alias("n"))
+    fixed = spark.createDataFrame([("role", 2, 1, None, None), ("chain", 1, 3, 1, None), ("reflexive", 1, None, None, None)], "rule string, a long, b long, c long, n int")
+    local = F.col("place") + LOCAL
+    rules = row(facts, "told", F.col("c"), some(F.col("role"))).unionByName(row(places, "told", local, some(F.lit(1)))).unionByName(row(places, "told", some(F.lit(1)), local))
+    for role in (1, 2, 3):
+        rules = rules.unionByName(row(places, "exists", some(F.lit(role)), F.lit(role).cast(long), F.col("place")))
+    return classify.saturate(rules.unionByName(fixed))
+
+
 def el_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.saturate(_rules(_definitions(spark, sf_dir)))
 
@@ -390,11 +423,96 @@ def classification_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.compare(old, new, "source_id", ["typeId", "destination_id"], "grp", IS_A).select("action", "id", "source_id", "destination_id")
 
 
+# -- normal form ----------------------------------------------------------------------------------------------------------
+
+
+def normal_form_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of places, suppliers and customers, and what of their parents' attributes they don't imply.
+
+    Each place has itself by role 1; suppliers their nation by role 2, which is below 1; customers with money a group of
+    their nation by role 2 and a number, a weaker group with their region by role 1 if they are builders, and a group of
+    their own kind with role 4.  The others inherit their nation's.
+    """
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).filter("c_acctbal >= 0")
+    nothing = F.lit(None)
+    row = lambda df, c, grp, type_, dest=nothing, value=nothing: df.select(
+        c.alias("conceptId"), F.lit(grp).cast("int").alias("grp"), F.lit(type_).cast(long).alias("typeId"), dest.cast(long).alias("destinationId"), value.cast("string").alias("value")
+    )
+    me, place, top = _long("c_custkey", t.CUSTOMER), _long("c_nationkey", t.NATION), _long("n_regionkey", t.REGION)
+    builders = customer.filter("c_mktsegment = 'BUILDING'")
+    segment = F.lit(t.BRAND) + F.length("c_mktsegment")
+    region, supplier = table(spark, sf_dir, "region"), table(spark, sf_dir, "supplier")
+    own = (
+        row(region, _long("r_regionkey", t.REGION), 0, 1, _long("r_regionkey", t.REGION))
+        .unionByName(row(nation, _long("n_nationkey", t.NATION), 0, 1, _long("n_nationkey", t.NATION)))
+        .unionByName(row(supplier, _long("s_suppkey", t.SUPPLIER), 0, 2, _long("s_nationkey", t.NATION)))
+        .unionByName(row(customer, me, 1, 2, place))
+        .unionByName(row(customer, me, 1, 3, value=F.concat(F.lit("#"), F.col("c_nationkey"))))
+        .unionByName(row(builders, me, 2, 1, top))
+        .unionByName(row(builders, me, 3, 4, segment))
+    )
+    edges = is_a(spark, sf_dir)
+    nodes = edges.select(F.col("child").alias("n")).unionByName(edges.select(F.col("parent").alias("n"))).distinct()
+    types = spark.createDataFrame([(1, 1), (2, 2), (2, 1), (3, 3), (4, 4)], "child long, ancestor long")
+    found = normal_form.inferred_attributes(own, edges, types, graph.reflexive(graph.closure(edges), nodes))
+    return found.select("conceptId", F.col("grp").cast(long).alias("grp"), *normal_form.ROW)
+
+
+def stable_group_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' lines as groups, published twice: by the core module from 50 down, by another from 8 down; the core's numbers stay."""
+    line = table(spark, sf_dir, "lineitem").select(
+        _long("l_orderkey", t.ORDER).alias("conceptId"), F.col("l_linenumber").alias("grp"), F.col("l_linenumber").cast(long).alias("typeId"),
+        _long("l_partkey", t.PART).alias("destinationId"), F.lit(None).cast("string").alias("value"),
+    ).distinct()
+    core = line.withColumns({"grp": F.lit(50) - F.col("grp"), "moduleId": F.lit(CORE_MODULE).cast(long)})
+    other = line.withColumns({"grp": F.lit(8) - F.col("grp"), "moduleId": F.lit(1).cast(long)})
+    found = normal_form.stable_numbers(line, core.unionByName(other))
+    return found.select("conceptId", F.col("grp").cast(long).alias("grp"), "typeId", "destinationId")
+
+
+def _release(spark: SparkSession, sf_dir: str) -> Release:
+    """Places, suppliers and customers as a release: stated is-a and the nation's market, which is an attribute below the roots."""
+    edges = is_a(spark, sf_dir)
+    root = edges.select(F.lit(t.REGION - 1).cast(long).alias("child")).limit(1)
+    tops = table(spark, sf_dir, "region").select(_long("r_regionkey", t.REGION).alias("child"), F.lit(t.REGION - 1).cast(long).alias("parent"))
+    model = spark.createDataFrame([(OBJECT_ATTRIBUTE, MODEL_ATTRIBUTE), (MARKET, OBJECT_ATTRIBUTE), (MODEL_ATTRIBUTE, t.REGION - 1)], "child long, parent long")
+    every = edges.unionByName(tops).unionByName(model)
+    ids = every.select(F.col("child").alias("id")).unionByName(root.select(F.col("child").alias("id")))
+    wide = lambda df, type_, grp: df.select(
+        F.col("child").alias("id"), F.lit(20200101).alias("effectiveTime"), F.lit(True).alias("active"), F.lit(CORE_MODULE).cast(long).alias("moduleId"), F.col("child").alias("sourceId"),
+        F.col("parent").alias("destinationId"), F.lit(grp).alias("relationshipGroup"), F.lit(type_).cast(long).alias("typeId"), F.lit(STATED).cast(long).alias("characteristicTypeId"), F.lit(EXISTENTIAL).cast(long).alias("modifierId"),
+    )
+    markets = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(_long("c_custkey", t.CUSTOMER).alias("child"), _long("c_nationkey", t.NATION).alias("parent"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    stated = wide(every, IS_A, 0).unionByName(wide(markets, MARKET, 1))
+    # published: what is stated, but customers without money still have a market, in group 0
+    poor = table(spark, sf_dir, "customer").select(_long("c_custkey", t.CUSTOMER).alias("child"), _long("c_nationkey", t.NATION).alias("parent"))
+    inferred = wide(every, IS_A, 0).unionByName(wide(poor, MARKET, 0)).withColumn("value", F.lit(None).cast("string"))
+    concepts = ids.distinct().select("id", F.lit(CORE_MODULE).cast(long).alias("moduleId"), F.lit(False).alias("defined"))
+    return Release(
+        concepts=concepts, inactive=none("id long"), modules=concepts.select("id", "moduleId"), stated=stated, inferred=inferred,
+        pool=stated.limit(0), axioms=none("axiom_id string, component long, moduleId long, axiom string"), ontology=none("id string, row long, text string"), ungrouped=none("contentTypeId long, attributeId long"),
+    )
+
+
+def generated_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.generated_axioms(spark, _release(spark, sf_dir))
+
+
+def release_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole classification: axioms from stated rows, subsumption, normal form, stable numbers, delta."""
+    return services.classify_release(spark, _release(spark, sf_dir)).delta.select(
+        "action", F.col("sourceId").alias("source_id"), "typeId", F.col("destinationId").alias("destination_id"), F.col("grp").cast(long).alias("grp")
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     latest_state_merge, snapshot_delta_overlay, definition_status_split, orphan_sources, relationship_projection, concrete_value_parse,
     stated_isa_closure, descendants_of, direct_parents_reduction, hierarchy_levels, equivalent_sets, ungrouped_roles_default, role_group_rows,
     role_group_numbering, fragment_subsumption, concrete_subsumption, property_chain_closure, group_containment, group_antichain,
     inherited_attributes, relationship_diff, group_zero_move, retired_id_reuse, inactivation_retirement, change_counts, class_axiom_text,
     axiom_signature, axiom_round_trip, property_flags_merge, description_annotations, acceptability_map, el_classification,
-    stated_retirement_rows, reconcile_axioms, concept_extract, classification_delta,
+    stated_retirement_rows, reconcile_axioms, concept_extract, classification_delta, el_roles_and_chains, normal_form_attributes,
+    stable_group_numbers, generated_axioms, release_delta,
 )}

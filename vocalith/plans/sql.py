@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from vocalith.plans import tables as t
-from vocalith.plans.queries import CUTOFF
-from vocalith.schema import DEFAULT_UNGROUPED, IS_A, ROLE_GROUP
+from vocalith.plans.queries import CUTOFF, LOCAL, MARKET
+from vocalith.schema import DEFAULT_UNGROUPED, IS_A, MODEL_ATTRIBUTE, OBJECT_ATTRIBUTE, ROLE_GROUP
 
 _EDGES = f"""e(child, parent) AS (
   SELECT n_nationkey + {t.NATION}, n_regionkey + {t.REGION} FROM nation
@@ -19,12 +19,14 @@ _digits = lambda c: f"('0x' || substr(md5({c}), 1, 9))::BIGINT"
 
 _ATTRIBUTES = f"""a AS (SELECT DISTINCT l_orderkey + {t.ORDER} AS owner, l_linenumber AS grp, 1 + l_linenumber % 2 AS typ,
     CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey + {t.SUPPLIER} ELSE s_nationkey + {t.NATION} END AS dest
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 4 = 1),
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 r AS (SELECT *, dest * 100 + grp * 10 + typ AS id FROM a)"""
 _FLAGS = f"""f AS (SELECT DISTINCT o_custkey + {t.CUSTOMER} AS owner, l_orderkey AS grp, l_returnflag || l_linestatus AS item
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-z AS (SELECT owner, grp, count(*) AS n FROM f GROUP BY ALL),
-p AS (SELECT a.owner, a.grp AS strong, b.grp AS weak, count(*) AS met FROM f a JOIN f b ON a.owner = b.owner AND a.item = b.item GROUP BY ALL),
+s AS (SELECT owner, min(grp) AS grp, items FROM (SELECT owner, grp, list_sort(list(item)) AS items FROM f GROUP BY ALL) GROUP BY owner, items),
+z AS (SELECT owner, grp, len(items) AS n FROM s),
+i AS (SELECT owner, grp, unnest(items) AS item FROM s),
+p AS (SELECT a.owner, a.grp AS strong, b.grp AS weak, count(*) AS met FROM i a JOIN i b ON a.owner = b.owner AND a.item = b.item GROUP BY ALL),
 c AS (SELECT p.owner, strong, weak FROM p JOIN z ON p.owner = z.owner AND weak = grp AND met = n WHERE strong <> weak)"""
 _DIFF = f"""l AS (SELECT l_returnflag AS flag, l_orderkey AS s, l_suppkey AS d, (1 + l_linenumber % 3)::BIGINT AS typ, l_quantity::BIGINT AS v,
     (CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_linenumber % 2 END)::BIGINT AS g, l_linenumber::BIGINT AS n FROM lineitem),
@@ -76,11 +78,11 @@ WITH RECURSIVE {_SHORT}, y(node, level) AS (SELECT DISTINCT parent, 0 FROM s WHE
   UNION SELECT s.child, y.level + 1 FROM y JOIN s ON s.parent = y.node)
 SELECT node::BIGINT AS node, max(level)::BIGINT AS level FROM y GROUP BY node""",
     "equivalent_sets": f"""
-SELECT set_id, member FROM (SELECT p_partkey + {t.PART} AS member, min(p_partkey + {t.PART}) OVER (PARTITION BY p_brand, p_type, p_size) AS set_id,
-  count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS n FROM part) WHERE n > 1""",
+SELECT set_id, member FROM (SELECT o_orderkey + {t.ORDER} AS member, min(o_orderkey + {t.ORDER}) OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus) AS set_id,
+  count(*) OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus) AS n FROM orders) WHERE n > 1""",
     "ungrouped_roles_default": f"""
-WITH r AS (SELECT DISTINCT c_nationkey + {t.NATION} AS ct, list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) AS att FROM customer WHERE c_acctbal < -900),
-k AS (SELECT n_regionkey + {t.REGION} AS ct, n_nationkey + {t.NATION} AS child FROM nation),
+WITH r AS (SELECT DISTINCT o_custkey + {t.CUSTOMER} AS ct, substr(o_orderpriority, 1, 1)::BIGINT AS att FROM orders WHERE o_orderstatus = 'P'),
+k AS (SELECT c_nationkey + {t.NATION} AS ct, c_custkey + {t.CUSTOMER} AS child FROM customer),
 c AS (SELECT ct FROM k UNION SELECT child FROM k),
 f AS (SELECT c.ct, att FROM c JOIN r USING (ct) UNION SELECT k.ct, att FROM k JOIN r ON r.ct = k.child)
 SELECT ct::BIGINT AS content_type_id, att::BIGINT AS attribute_id FROM f
@@ -95,7 +97,9 @@ SELECT source_id, part, g::BIGINT AS old_group, (CASE WHEN g = 0 THEN 0 ELSE den
 WITH RECURSIVE {_EDGES}, {_CLOSED.format(e='e')}, {_ATTRIBUTES},
 u AS (SELECT child, ancestor FROM x UNION SELECT dest, dest FROM r)
 SELECT DISTINCT a.owner, a.id AS row_l, b.id AS row_r FROM r a JOIN r b ON a.owner = b.owner AND a.typ >= b.typ JOIN u ON u.child = a.dest AND u.ancestor = b.dest WHERE a.id <> b.id""",
-    "concrete_subsumption": "SELECT DISTINCT a.p_brand AS owner, a.p_partkey AS row_l, b.p_partkey AS row_r FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0",
+    "concrete_subsumption": f"""
+WITH r AS (SELECT DISTINCT l_orderkey + {t.ORDER} AS owner, 1 + l_linenumber % 2 AS typ, l_quantity::BIGINT AS v, l_partkey * 100 + l_linenumber * 10 + 1 + l_linenumber % 2 AS id FROM lineitem)
+SELECT DISTINCT a.owner, a.id AS row_l, b.id AS row_r FROM r a JOIN r b ON a.owner = b.owner AND a.v = b.v AND a.typ >= b.typ WHERE a.id <> b.id""",
     "property_chain_closure": f"""
 SELECT DISTINCT l_partkey + {t.PART} AS part_id, unnest([n_nationkey + {t.NATION}, n_regionkey + {t.REGION}])::BIGINT AS located_in
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
@@ -112,7 +116,7 @@ SELECT node::BIGINT AS concept_id, attribute FROM o UNION SELECT x.child::BIGINT
     "retired_id_reuse": """
 WITH p AS (SELECT o_custkey, o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F')
 SELECT o.o_orderkey, o.o_custkey, p.o_orderkey AS reused_id FROM orders o LEFT JOIN p ON p.r = 1 AND p.o_custkey = o.o_custkey AND p.o_orderpriority = o.o_orderpriority WHERE o.o_orderstatus = 'O'""",
-    "inactivation_retirement": "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 7 = 3)",
+    "inactivation_retirement": "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')",
     "class_axiom_text": f"WITH {_AXIOMS} SELECT concept_id, axiom FROM ax",
     "axiom_signature": f"WITH {_AXIOMS} SELECT concept_id, unnest(list_distinct(regexp_extract_all(axiom, ':([0-9]+)', 1)))::BIGINT AS named_id FROM ax",
     "axiom_round_trip": f"WITH {_AXIOMS} SELECT concept_id, axiom FROM ax",
@@ -141,6 +145,37 @@ SELECT o_custkey, published, current, CASE WHEN published IS NULL THEN 'new' WHE
 FROM p FULL JOIN c USING (o_custkey)""",
     "concept_extract": """
 SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))""",
+    "el_roles_and_chains": f"""
+WITH w(c, place) AS (SELECT s_suppkey + {t.SUPPLIER}, s_nationkey FROM supplier UNION ALL SELECT c_custkey + {t.CUSTOMER}, c_nationkey FROM customer
+  UNION ALL SELECT n_nationkey + {t.NATION}, n_nationkey FROM nation UNION ALL SELECT n_nationkey + {t.NATION + LOCAL}, n_nationkey FROM nation),
+x AS (SELECT c AS child, n_nationkey + {t.NATION + LOCAL} AS ancestor FROM w JOIN nation ON place = n_nationkey
+  UNION SELECT c, n_regionkey + {t.REGION + LOCAL} FROM w JOIN nation ON place = n_nationkey
+  UNION SELECT r_regionkey + {t.REGION}, r_regionkey + {t.REGION + LOCAL} FROM region)
+SELECT child::BIGINT AS child, ancestor::BIGINT AS ancestor FROM x WHERE child <> ancestor""",
+    "normal_form_attributes": f"""
+WITH c AS (SELECT c_custkey + {t.CUSTOMER} AS id, c_nationkey + {t.NATION} AS place, '#' || c_nationkey AS v, c_mktsegment AS m, c_acctbal >= 0 AS rich FROM customer),
+x(id, grp, typ, dest, v) AS (SELECT r_regionkey + {t.REGION}, 0, 1, r_regionkey + {t.REGION}, NULL FROM region
+  UNION ALL SELECT n_nationkey + {t.NATION}, 0, 1, n_nationkey + {t.NATION}, NULL FROM nation
+  UNION ALL SELECT s_suppkey + {t.SUPPLIER}, 0, 2, s_nationkey + {t.NATION}, NULL FROM supplier
+  UNION ALL SELECT id, 0, 1, place, NULL FROM c WHERE NOT rich
+  UNION ALL SELECT id, 1, 2, place, NULL FROM c WHERE rich
+  UNION ALL SELECT id, 1, 3, NULL, v FROM c WHERE rich
+  UNION ALL SELECT id, 2, 4, {t.BRAND} + length(m), NULL FROM c WHERE rich AND m = 'BUILDING')
+SELECT id::BIGINT AS "conceptId", grp::BIGINT AS grp, typ::BIGINT AS "typeId", dest::BIGINT AS "destinationId", v AS value FROM x""",
+    "stable_group_numbers": f"""
+SELECT DISTINCT l_orderkey + {t.ORDER} AS "conceptId", (50 - l_linenumber)::BIGINT AS grp, l_linenumber::BIGINT AS "typeId", l_partkey + {t.PART} AS "destinationId" FROM lineitem""",
+    "generated_axioms": f"""
+WITH {_EDGES}, u(child, parent) AS (SELECT child, parent FROM e UNION ALL SELECT r_regionkey + {t.REGION}, {t.REGION - 1} FROM region),
+k AS (SELECT c_custkey + {t.CUSTOMER} AS child, c_nationkey + {t.NATION} AS place FROM customer WHERE c_acctbal >= 0),
+a AS (SELECT child AS component, 'SubClassOf(:' || child || ' ' || CASE WHEN place IS NULL THEN ':' || parent
+    ELSE 'ObjectIntersectionOf(:' || parent || ' ObjectSomeValuesFrom(:{ROLE_GROUP} ObjectSomeValuesFrom(:{MARKET} :' || place || ')))' END || ')' AS axiom FROM u LEFT JOIN k USING (child)
+  UNION ALL SELECT {MODEL_ATTRIBUTE}, 'SubClassOf(:{MODEL_ATTRIBUTE} :{t.REGION - 1})'
+  UNION ALL SELECT {OBJECT_ATTRIBUTE}, 'SubClassOf(:{OBJECT_ATTRIBUTE} :{MODEL_ATTRIBUTE})'
+  UNION ALL SELECT {MARKET}, 'SubObjectPropertyOf(:{MARKET} :{OBJECT_ATTRIBUTE})')
+SELECT component::BIGINT AS component, axiom FROM a""",
+    "release_delta": f"""
+SELECT CASE WHEN c_acctbal >= 0 THEN 'move' ELSE 'remove' END AS action, (c_custkey + {t.CUSTOMER})::BIGINT AS source_id, {MARKET}::BIGINT AS "typeId",
+  (c_nationkey + {t.NATION})::BIGINT AS destination_id, (CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END)::BIGINT AS grp FROM customer""",
     "classification_delta": f"""
 WITH {_WIDE}, par AS (SELECT child, ancestor FROM sub s WHERE child < {1 << 40} AND NOT EXISTS (SELECT 1 FROM sub a JOIN sub b ON a.ancestor = b.child WHERE a.child = s.child AND b.ancestor = s.ancestor)),
 old AS (SELECT part, part - {t.PART} AS id, {2 << 40} + {_digits("b::VARCHAR || '|' || y::VARCHAR")} AS dest FROM p)
