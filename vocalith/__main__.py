@@ -8,11 +8,12 @@ import sys
 from datetime import date
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from vocalith.plans import services
 from vocalith.sources import sinks
 
-MODES = ("classify", "rf2-to-owl", "rf2-stated-to-complete-owl", "rf2-stated-to-complete-owl-reconcile", "rf2-owl-to-stated")
+MODES = ("classify", "rf2-to-owl", "rf2-stated-to-complete-owl", "rf2-stated-to-complete-owl-reconcile", "rf2-owl-to-stated", "rf2-extract")
 
 
 def files(text: str) -> list[str]:
@@ -33,12 +34,16 @@ def parsed(args: list[str]) -> argparse.Namespace:
     p.add_argument("--version", default=f"{date.today():%Y%m%d}")
     p.add_argument("--without-annotations", action="store_true")
     p.add_argument("--reasoner", default="el", choices=sorted(services.REASONERS))
+    p.add_argument("--concepts", help="a file of concept ids, one on each line, to extract")
+    p.add_argument("--zip", action="store_true", help="one zip file of a classification's results, not folders")
     p.add_argument("--out", default="results")
     a = p.parse_args(args)
     if a.delta and len(a.delta) != 1:
         p.error("there can be one delta")
     if a.mode.endswith("reconcile") and len(a.snapshot) != 2:
         p.error("reconcile needs two snapshots, of the authoring cycle and the published one")
+    if a.mode == "rf2-extract" and not a.concepts:
+        p.error("an extract needs a file of concepts")
     return a
 
 
@@ -47,7 +52,8 @@ def main(args: list[str]) -> None:
     delta = a.delta[0] if a.delta else None
     spark = SparkSession.builder.appName("vocalith").getOrCreate()
     if a.mode == "classify":
-        sinks.write_results(services.classify(spark, a.snapshot, delta, a.reasoner), a.out)
+        result = services.classify(spark, a.snapshot, delta, a.reasoner)
+        sinks.write_archive(result, a.out) if a.zip else sinks.write_results(result, a.out)
     elif a.mode == "rf2-to-owl":
         sinks.write_document(services.to_owl(spark, a.snapshot, delta, a.uri, a.version, not a.without_annotations), a.out)
     elif a.mode == "rf2-stated-to-complete-owl" and len(a.snapshot) == 1:
@@ -61,8 +67,11 @@ def main(args: list[str]) -> None:
         sinks.write_lines(left, f"{a.out}/not_converted", sinks.DELTA, ["sourceId", "id"])
     elif a.mode.endswith("reconcile"):
         sinks.write_lines(services.reconcile(spark, a.snapshot[0], delta, a.snapshot[1]), f"{a.out}/axioms", sinks.AXIOM, ["component", "row"])
+    elif a.mode == "rf2-extract":
+        ids = spark.read.text(a.concepts).select(F.trim("value").try_cast("long").alias("id")).filter("id is not null")
+        sinks.write_extract(services.extract(spark, a.snapshot, ids), a.out)
     else:
-        services.axioms_to_stated(spark, a.snapshot, delta).write.mode("overwrite").option("sep", "\t").option("header", True).csv(a.out)
+        sinks.write_lines(services.axioms_to_stated(spark, a.snapshot, delta), a.out, sinks.DELTA, ["sourceId", "grp", "place"])
 
 
 if __name__ == "__main__":

@@ -43,6 +43,9 @@ def class_expressions(rows: DataFrame, ungrouped: DataFrame | None = None) -> Da
     if ungrouped is not None:
         bare = rows.join(F.broadcast(ungrouped.select(F.col("attributeId").alias("typeId"), F.lit(True).alias("bare_")).distinct()), "typeId", "left")
     is_a = F.col("typeId") == IS_A
+    one = F.col("destinationId").isNotNull() != F.col("text").isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("a row needs either a destination or a value: "), F.col("conceptId").cast("string")))
+    bare = bare.withColumn("destinationId", F.when(one, F.col("destinationId")).otherwise(wrong.cast("long")))
     term = F.when(is_a, F.struct(F.lit(0).alias("o"), _id(F.col("destinationId")).alias("text"))).when(
         F.col("destinationId").isNotNull(),
         F.struct(F.lit(1).alias("o"), _call("ObjectSomeValuesFrom", _id(F.col("typeId")), _id(F.col("destinationId"))).alias("text")),
@@ -66,6 +69,23 @@ def class_axioms(expressions: DataFrame, defined: DataFrame) -> DataFrame:
     return marked.select("conceptId", F.when(F.col("defined_"), _call("EquivalentClasses", *both)).otherwise(_call("SubClassOf", *both)).alias("axiom"))
 
 
+def concept_axioms(rows: DataFrame, defined: DataFrame, attributes: DataFrame, ungrouped: DataFrame | None = None) -> DataFrame:
+    """conceptId, axiom of rows as class_expressions has them, for any concept.
+
+    A concept with a parent among attributes (id, kind; SubObjectPropertyOf and so on) is a property below that parent.
+    ValueError if a concept has no is-a row in group 0.
+    """
+    parents = rows.filter((F.col("grp") == 0) & (F.col("typeId") == IS_A)).select("conceptId", "destinationId")
+    bare = rows.select("conceptId").distinct().join(parents, "conceptId", "left_anti").limit(1).collect()
+    if bare:
+        raise ValueError(f"concept {bare[0].conceptId} has no is-a relationship in group 0")
+    known = attributes.select(F.col("id").alias("destinationId"), F.col("kind").alias("kind_"))
+    first = parents.join(known, "destinationId").groupBy("conceptId").agg(F.min(F.struct("destinationId", "kind_")).alias("p"))
+    text = F.concat(F.col("p.kind_"), F.lit("(:"), F.col("conceptId").cast("string"), F.lit(" :"), F.col("p.destinationId").cast("string"), F.lit(")"))
+    others = rows.join(first.select("conceptId"), "conceptId", "left_anti").select(rows.columns)
+    return first.select("conceptId", text.alias("axiom")).unionByName(class_axioms(class_expressions(others, ungrouped), defined))
+
+
 def sub_property_axioms(edges: DataFrame, kind: str) -> DataFrame:
     """conceptId, axiom of (child, parent)."""
     return edges.select(F.col("child").alias("conceptId"), _call(kind, _id(F.col("child")), _id(F.col("parent"))).alias("axiom"))

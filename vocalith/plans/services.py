@@ -34,7 +34,7 @@ class Classification:
         return diff.change_counts(self.delta)
 
 
-def classify(spark: SparkSession, snapshots: Sequence[str], delta: str | None = None, reasoner: str = "el", today: int = 99991231) -> Classification:
+def classify(spark: SparkSession, snapshots: Sequence[str], delta: str | None = None, reasoner: str = "el", today: int | None = None) -> Classification:
     infer = REASONERS[reasoner]  # an unknown name fails before anything is read
     return classify_release(spark, releases.load(spark, snapshots, delta, today=today), infer)
 
@@ -171,14 +171,28 @@ def reconcile(spark: SparkSession, authoring: str, delta: str | None, published:
     return sinks.axiom_rows(rest.unionByName(flip(gone, False)).unionByName(flip(back, True)))
 
 
+#: The one id of all rows made from axioms, which are for statistics.
+STATED_ID = 1_000_000_020
+
+
 def axioms_to_stated(spark: SparkSession, snapshots: Sequence[str], delta: str | None = None) -> DataFrame:
-    """Relationships of all axioms with a named left side, for statistics; groups of a concept's axioms follow each other."""
+    """(sourceId, grp, place, row): stated rows of all axioms about their own component, for statistics.
+
+    Groups of a concept's axioms follow each other; group 0 is shared.  A concrete value has the destination -1, and the
+    row ends with a tab.  ValueError if an axiom can't be converted.
+    """
     release = releases.load(spark, snapshots, delta)
-    rows = ax.relationships(release.axioms).filter("side = 'right' and error is null and left_concept is not null")
+    converted = stored(ax.relationships(release.axioms), "axiom-rows")
+    if bad := converted.filter("error is not null").select("axiom_id", "error").limit(1).collect():
+        raise ValueError(f"axiom {bad[0].axiom_id}: {bad[0].error}")
     modules = release.modules.select(F.col("id").alias("left_concept"), "moduleId")
-    return rows.join(modules, "left_concept", "left").select(
-        F.col("left_concept").alias("sourceId"), "moduleId", F.col("grp").alias("relationshipGroup"), "typeId", F.coalesce("destinationId", F.lit(-1)).alias("destinationId")
-    ).distinct()
+    rows = converted.filter("side = 'right' and left_concept = component").join(modules, "left_concept", "left")
+    cells = [
+        F.lit(STATED_ID), F.lit(""), F.lit("1"), F.col("moduleId"), F.col("left_concept"), F.coalesce("destinationId", F.lit(-1)), F.col("grp"), F.col("typeId"),
+        F.lit(schema.STATED), F.lit(schema.EXISTENTIAL), F.lit(""),
+    ]
+    place = F.struct("axiom_id", "ord")
+    return rows.select(F.col("left_concept").alias("sourceId"), "grp", place.alias("place"), values.file_row(cells).alias("row"))
 
 
 def extract(spark: SparkSession, snapshots: Sequence[str], concepts: DataFrame) -> dict[str, DataFrame]:

@@ -1,13 +1,15 @@
 """Release archives as DataFrames: folders or zip files of tab-separated rows, snapshots and an optional delta.
 
-Folders are read by Spark's text source and split like any text; a zip file is one task, so unpack large releases.
-Kinds of file are told apart by name, rows are typed by position, comment and header lines go.
+Folders are read by Spark's text source, which opens the files of a kind by their names and splits them like any text.
+A zip file is one task and goes to a table once, so unpack large releases.  Only line feeds end a line.  Rows are typed
+by position, comment and header lines go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +18,30 @@ from pyspark.sql import types as T
 
 from vocalith import schema
 from vocalith.operators import state
-from vocalith.schema import ADDITIONAL, FILES, HEADER_ROW, IS_A, NAMESPACE_ROW, PROFILES
+from vocalith.schema import ADDITIONAL, FILES, HEADER_ROW, IS_A, NAMESPACE_ROW, PROFILES, UNIVERSAL
+from vocalith.sources.shared import stored
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(entry, line) of a folder or a zip file."""
-    if not path.endswith(".zip"):
-        return spark.read.option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("entry"), F.col("value").alias("line"))
+def named(kind: str) -> str:
+    """The glob of a kind's file names."""
+    return FILES[kind][0].replace("(", "{").replace("|", ",").replace(")", "}") + "*"
+
+
+def folder_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """line, of the files of one kind in a folder; other files aren't opened."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", named(kind)).option("lineSep", "\n").text(path)
+    return rows.select(F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+def zip_lines(spark: SparkSession, path: str, kinds: Sequence[str]) -> DataFrame:
+    """(kind, line) of a zip file: a stored table, dealt by kind, so that the archive is inflated once. An entry streams."""
+    patterns = {k: FILES[k][0] for k in kinds}
 
     def unzip(batches):
         import io
+        import re
         import zipfile
+        from itertools import islice
 
         import pandas as pd
 
@@ -34,33 +49,38 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in z.namelist():
-                        if name.endswith(".txt"):
-                            rows = z.read(name).decode("utf-8").splitlines()
-                            for at in range(0, len(rows), 50_000):
-                                yield pd.DataFrame({"entry": name, "line": rows[at : at + 50_000]})
+                        kind = next((k for k, p in patterns.items() if re.match(p, name.rpartition("/")[2])), None)
+                        if kind is None:
+                            continue
+                        with z.open(name) as f:
+                            rows = (x.rstrip(b"\n").removesuffix(b"\r").decode() for x in f)
+                            while some := list(islice(rows, 50_000)):
+                                yield pd.DataFrame({"kind": kind, "line": some})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "entry string, line string")
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "kind string, line string")
+    return stored(rows, "archive", "kind")
 
 
 def typed(rows: DataFrame, kind: str) -> DataFrame:
-    """Rows of one kind of file with typed columns; blank is null, and active only "1"."""
-    pattern, columns = FILES[kind]
+    """Rows of one kind of file (line) with typed columns; blank is null, and active only "1"."""
     cells = F.split("line", "\t", -1)
 
     def cell(i: int, name: str, kind_: T.DataType):
         x = F.nullif(F.get(cells, F.lit(i)), F.lit(""))
         return (F.coalesce(x, F.lit("")) == "1" if isinstance(kind_, T.BooleanType) else x.try_cast(kind_)).alias(name)
 
-    data = rows.filter(F.rlike("entry", F.lit(f"(^|/){pattern}[^/]*$")) & ~F.rlike("line", F.lit(r"^(#|id\t|\s*$)")))
-    return data.select(*[cell(i, n, k) for i, (n, k) in enumerate(columns)])
+    data = rows.filter(~F.rlike("line", F.lit(r"^(#|id\t|\s*$)")))
+    return data.select(*[cell(i, n, k) for i, (n, k) in enumerate(FILES[kind][1])])
 
 
 def read_raw(spark: SparkSession, paths: Sequence[str], profile: str = "base") -> dict[str, DataFrame]:
     """Rows of each kind from all archives together."""
+    kinds = PROFILES[profile]
     if not paths:
-        return {k: spark.createDataFrame([], schema.struct(k)) for k in PROFILES[profile]}
-    every = reduce(DataFrame.unionByName, [lines(spark, p) for p in paths])
-    return {kind: typed(every, kind) for kind in PROFILES[profile]}
+        return {k: spark.createDataFrame([], schema.struct(k)) for k in kinds}
+    zips = {p: zip_lines(spark, p, kinds) for p in paths if p.endswith(".zip")}
+    of = lambda p, k: zips[p].filter(F.col("kind") == k).select("line") if p in zips else folder_lines(spark, p, k)
+    return {k: typed(reduce(DataFrame.unionByName, [of(p, k) for p in paths]), k) for k in kinds}
 
 
 @dataclass
@@ -70,7 +90,7 @@ class Release:
     concepts: DataFrame  # id, moduleId, defined
     inactive: DataFrame  # id, owners that only relationships name included
     modules: DataFrame  # id, moduleId of all concepts
-    stated: DataFrame  # relationships as in the file, active
+    stated: DataFrame  # relationships as in the file, active; universal: all values are meant, not some
     inferred: DataFrame  # as stated, with value; destinationId is null for concrete ones
     pool: DataFrame  # retired inferred relationships
     axioms: DataFrame  # axiom_id, component, moduleId, axiom
@@ -81,13 +101,15 @@ class Release:
     raw: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def load(spark: SparkSession, snapshots: Sequence[str], delta: str | None = None, profile: str = "base", today: int = 99991231) -> Release:
-    """The effective snapshot of all archives with a delta on top. A row without a time counts as of `today`."""
+def load(spark: SparkSession, snapshots: Sequence[str], delta: str | None = None, profile: str = "base", today: int | None = None) -> Release:
+    """The effective snapshot of all archives with a delta on top. A row without a time counts as of `today`, the day of the load."""
     old, new = read_raw(spark, snapshots, profile), read_raw(spark, [delta] if delta else [], profile)
     return merge(spark, old, new, today)
 
 
-def merge(spark: SparkSession, old: dict[str, DataFrame], new: dict[str, DataFrame], today: int = 99991231) -> Release:
+def merge(spark: SparkSession, old: dict[str, DataFrame], new: dict[str, DataFrame], today: int | None = None) -> Release:
+    today = today or int(f"{date.today():%Y%m%d}")
+
     def ranked(kind: str) -> DataFrame:
         mark = lambda df, r: df.withColumn("source_rank", F.lit(r)).withColumn("effectiveTime", F.coalesce("effectiveTime", F.lit(today)))
         if kind not in old:
@@ -104,6 +126,7 @@ def merge(spark: SparkSession, old: dict[str, DataFrame], new: dict[str, DataFra
     stated_rows = ranked("stated").unionByName(edges.filter(F.col("characteristicTypeId") == schema.STATED))
     edges = edges.filter(F.col("characteristicTypeId") != schema.STATED)
     plain = F.col("characteristicTypeId") != ADDITIONAL
+    universal = F.coalesce(F.col("modifierId") == UNIVERSAL, F.lit(False))
     stated = state.latest_state(stated_rows, ["id"], order).filter("active").filter(plain)
     inferred = state.latest_state(edges, ["id"], order).filter("active").filter(plain).withColumn("value", F.lit(None).cast("string"))
     concrete = last("concrete").filter("active").withColumn("destinationId", F.lit(None).cast("long"))
@@ -114,8 +137,8 @@ def merge(spark: SparkSession, old: dict[str, DataFrame], new: dict[str, DataFra
     axioms = last("axiom", "referencedComponentId", "id").filter("active")
     roles = last("mrcm").filter("active and grouped = '0'")
     release = Release(
-        concepts=active, inactive=inactive, modules=concept.select("id", "moduleId"), stated=stated,
-        inferred=inferred.unionByName(concrete), pool=pool,
+        concepts=active, inactive=inactive, modules=concept.select("id", "moduleId"), stated=stated.withColumn("universal", universal),
+        inferred=inferred.unionByName(concrete).withColumn("universal", universal), pool=pool,
         axioms=axioms.select(F.col("id").alias("axiom_id"), F.col("referencedComponentId").alias("component"), "moduleId", F.col("owlExpression").alias("axiom")),
         ontology=last("ontology").filter("active").select("id", F.col("referencedComponentId").alias("row"), F.col("owlExpression").alias("text")),
         ungrouped=roles.select("contentTypeId", F.col("referencedComponentId").alias("attributeId")).distinct(),

@@ -17,7 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
-def stored(df: DataFrame, what: str = "round") -> DataFrame:
+def stored(df: DataFrame, what: str = "round", by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder; by: a column whose values get folders of their own, so that a filter prunes."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

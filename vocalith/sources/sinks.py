@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zipfile
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,34 @@ def write_results(result, path: str) -> None:
     write_lines(equivalent_rows(result.equivalents), f"{path}/equivalent_concepts", EQUIVALENTS, ["set_id", "row"])
 
 
+def write_archive(result, path: str, day: date | None = None) -> None:
+    """The three files as entries of one zip file on the driver's disk, named by the day.
+
+    A zip file is one stream: rows come to the driver a partition at a time and go out at once.
+    """
+    day = f"{day or date.today():%Y%m%d}"
+    ordered = lambda df: df.orderBy(F.col("active") == "0", "sourceId", "row")
+    entries = (
+        (f"RF2/sct2_Relationship_Delta_Classification_{day}.txt", DELTA, ordered(relationship_rows(result.delta))),
+        (f"RF2/sct2_RelationshipConcreteValues_Delta_Classification_{day}.txt", CONCRETE_DELTA, ordered(relationship_rows(result.delta, concrete=True))),
+        (f"RF2/der2_sRefset_EquivalentConceptSimpleMapDelta_Classification_{day}.txt", EQUIVALENTS, equivalent_rows(result.equivalents).orderBy("set_id", "row")),
+    )
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, columns, rows in entries:
+            with z.open(name, "w") as f:
+                f.write("\t".join(columns).encode() + b"\n")
+                for r in rows.select("row").toLocalIterator():
+                    f.write(r.row.encode() + b"\n")
+
+
+def write_extract(parts: dict[str, DataFrame], path: str) -> None:
+    """The raw rows of services.extract as files with headers, a folder for each kind."""
+    for kind, rows in parts.items():
+        names = schema.columns(kind)
+        cells = [F.when(F.col(n), "1").otherwise("0") if n == "active" else F.col(n) for n in names]
+        write_lines(rows.select("id", file_row(cells).alias("row")), f"{path}/{kind}", names, ["id", "row"])
+
+
 def write_document(document: DataFrame, path: str) -> None:
     document.orderBy("place").select("line").write.mode("overwrite").text(path)
 
