@@ -1,9 +1,10 @@
 """Token ids in Parquet list columns, in ascending doc_id order.
 
-The texts are dealt out by ranges of doc_id and sorted, each task encodes its range and writes one file: doc_id, the
-ids as a list, their number, and the ids written before it in that file.  Ids are dictionary-encoded, integers that
-ascend are delta-encoded, row groups and pages have set sizes, and the writer's page indexes let a reader skip to a
-range of documents or read the counts alone.  Reading back, a document starts where the files before its own end.
+Texts are encoded where they are read; ids, packed, are dealt out by ranges of doc_id and sorted, and each task writes
+one file: doc_id, the ids as a list, their number, and the ids written before it in that file.  Ids are
+dictionary-encoded, integers that ascend are delta-encoded, row groups and pages have set sizes, and the writer's page
+indexes let a reader skip to a range of documents or read the counts alone.  Reading back, a document starts where the
+files before its own end.
 
 Cases: a null or empty text has only its end id; null ids come first; repeated rows are written one after another;
 an empty table gives files without rows; of extra columns none is written but those named in `extra`.
@@ -21,8 +22,11 @@ from vocalith.llm.tokenize import WORD_BPE, Vocabulary, tokenizer
 
 END_ID = 1
 RANGE_BYTES = 24 << 20
-#: Up to so many files, their places (16 bytes each) are sent to all executors.
-BROADCAST_FILES = 1 << 18
+#: Files there are at most (16 bytes for each are sent to all executors); beyond, they grow.
+MOST_FILES = 1 << 16
+BLOCK = 1 << 10
+#: Stands for a null doc_id, which comes first.
+NO_ID = -(1 << 63)
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -35,43 +39,95 @@ WRITER = {
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, before long, file int"
 
 
-def write(docs: DataFrame, path: str, vocabulary: Vocabulary = WORD_BPE, end_id: int = END_ID) -> None:
+def encoded(docs: DataFrame, vocabulary: Vocabulary = WORD_BPE, end_id: int = END_ID, bounds=()) -> DataFrame:
+    """doc_id, ids (16-bit), file: documents up to the first bound are the first file's, and so on.
+
+    An id that is several bounds, one of a hot group, belongs to the files on both sides; its rows go to these in turn.
+    """
+
     def encode(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        encoder, before, file = tokenizer(vocabulary), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            ids = [np.append(encoder.ids(t), np.uint16(end_id)) for t in utf8(batch, "text")]
-            if not ids:
-                continue
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            ends = np.cumsum(n)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), lists, pa.array(n), pa.array(before + ends - n), pa.array(np.full(len(n), file, np.int32))],
-                ["doc_id", "ids", "n_tokens", "before", "file"],
-            )
-            before += int(ends[-1])
+        encoder, end, limits = tokenizer(vocabulary), np.array([end_id], np.uint16).tobytes(), np.array(bounds, np.int64)
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                batch = whole.slice(at, 2048)
+                ids = pa.array([x.tobytes() + end for x in encoder.ids_of(utf8(batch, "text"))], pa.binary())
+                keys = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                low, high = np.searchsorted(limits, keys, "left"), np.searchsorted(limits, keys, "right")
+                file = low + np.arange(len(keys)) % (high - low + 1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(file.astype(np.int32))], ["doc_id", "ids", "file"])
 
-    _, size = total_bytes(docs, "text")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = own.repartitionByRange(max(1, -(-size // RANGE_BYTES)), F.col("doc_id").asc_nulls_first())
-    ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(encode, SCHEMA).write.options(**WRITER).parquet(path)
+    return own.mapInArrow(encode, "doc_id long, ids binary, file int")
+
+
+def file_bounds(docs: DataFrame) -> list[int]:
+    """The largest doc_id of each file but the last: quantiles of doc_id, as many as the texts' bytes need."""
+    _, size = total_bytes(docs, "text")
+    files = max(1, min(MOST_FILES, -(-size // RANGE_BYTES)))
+    if files == 1:
+        return []
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return sorted(docs.agg(F.percentile_approx(key, [i / files for i in range(1, files)], 20 * files).alias("q")).first().q or [])
+
+
+def write(docs: DataFrame, path: str, vocabulary: Vocabulary = WORD_BPE, end_id: int = END_ID) -> None:
+    def lists(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        before: dict[int, int] = {}
+        for whole in batches:
+            for start in range(0, len(whole), 2048):
+                batch = whole.slice(start, 2048)
+                n = pc_lengths(batch.column("ids")) // 2
+                flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.uint16)
+                ends = np.cumsum(n)
+                file = int(batch.column("file")[0].as_py()) if len(batch) else 0
+                at = before.get(file, 0)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), ids, pa.array(n), pa.array(at + ends - n), batch.column("file")],
+                    ["doc_id", "ids", "n_tokens", "before", "file"],
+                )
+                before[file] = at + int(n.sum())
+
+    bounds = file_bounds(docs)
+    # one partition, and so one task and one file, for each range
+    dealt = encoded(docs, vocabulary, end_id, bounds).repartitionById(len(bounds) + 1, F.col("file"))
+    dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(lists, SCHEMA).write.options(**WRITER).parquet(path)
+
+
+def pc_lengths(column):
+    import numpy as np
+    import pyarrow.compute as pc
+
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
+def read(spark, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """doc_id, ids, n_tokens, start: start is global. Only the counts are read to place the files.
 
-def read(spark, path: str) -> DataFrame:
-    """doc_id, ids, n_tokens, start: start is global. Only the counts are read to place the files."""
+    first and last select a range of doc_id, which reaches the scan: row groups and pages outside it aren't read.
+    """
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    places = totals.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("at"))
-    # a row for each file that write() made: their number is known, and so is the size of what is sent
-    if len(rows.inputFiles()) <= BROADCAST_FILES:
-        places = F.broadcast(places)
-    return rows.join(places, "file").select("doc_id", "ids", "n_tokens", (F.col("at") + F.col("before")).alias("start"))
+    # prefix sums by blocks of files: no window has more rows than a block, or there are blocks
+    block = F.floor(F.col("file") / BLOCK)
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("block").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("block", block)
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("m")).select("block", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("above"))
+    places = totals.join(F.broadcast(blocks), "block").select("file", (F.col("above") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("at"))
+    wanted = rows
+    if first is not None:
+        wanted = wanted.filter(F.col("doc_id") >= first)
+    if last is not None:
+        wanted = wanted.filter(F.col("doc_id") <= last)
+    # a row for each of at most MOST_FILES files
+    return wanted.join(F.broadcast(places), "file").select("doc_id", "ids", "n_tokens", (F.col("at") + F.col("before")).alias("start"))
 
 
 def checksums(rows: DataFrame) -> DataFrame:
