@@ -6,7 +6,8 @@ entropy of the text's spread over the host's m distinct pages; a text on every p
 Presentation: the entropy of the node's child sequences over those pages.  Nodes of low importance are noise, and each
 page loses its branches at them.
 
-A host's tree says little if it has few pages, so a page's own markup counts as well: navigation, footers, forms and
+A host's tree says little if it has few pages: they are weighed against two more that find every node important.  A
+page's own markup counts as well: navigation, footers, forms and
 the like, by element, role or class, always go; and if a page has an article or main element with text, its text is in
 there, and the tree decides on the nodes below that element.  A class or id is such a word if all parts of it are (cookie-notice, not has-sidebar); if
 words around the article or main element, or its own, would leave nothing of it, they don't count.
@@ -15,7 +16,7 @@ Copies, pages with the same block texts, are one page of the host's tree, and wh
 page it isn't applied.
 
 Trees are built from counts: a batch of pages emits each (node, text) once, Spark adds them up, and only the noisy
-nodes of each host return to the pages: by broadcast if their number is under a bound, else by a join.
+nodes of each host return to the pages: by one broadcast set if their number is under a bound, else by a join.
 
 Cases: null or empty html, and pages without text, give the empty string; html that is cut off or badly nested is
 read to its end; repeated pages are extracted each on its own; a null url is a host of its own; an empty table gives an
@@ -35,11 +36,14 @@ from vocalith.llm.common import stored
 
 GAMMA = 0.9
 THRESHOLD = 0.3
-MIN_PAGES = 4
+#: A host's pages are weighed against so many more that find every node important.
+PRIOR_PAGES = 2
 BROADCAST_ROWS = 1 << 17
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Quotes mean something only where a value starts; a tag may be cut off by the end of the page.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+NAMED = re.compile(r"class|id|role", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set(
@@ -119,10 +123,10 @@ def blocks(page: str):
                 close(ENDS[tag])
             if tag in VOID:
                 continue
-            found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
+            found = {a[0].lower(): a[1] or a[2] or a[3] for a in reversed(ATTRIBUTE.findall(m[3]))} if NAMED.search(m[3]) else {}
             _, noise, main, own, path = stack[-1]
             meant = tag in NOISE or tag == "header" and not main or found.get("role", "").lower() in NOISE_ROLES
-            named = bool(found) and tag not in ("html", "body") and any(
+            named = ("class" in found or "id" in found) and tag not in ("html", "body") and any(
                 (parts := LETTERS.findall(name)) and NOISE_WORDS.issuperset(parts) for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split()
             )
             own = own or meant or bool(main) and named
@@ -183,28 +187,36 @@ COUNTS = "host_key long, node long, kind int, feature long, n double"
 COPIES = "host_key long, page long, n long"
 
 
-def _count(batches):
-    """Each batch's distinct (node, feature), with the number of its pages that have it; n copies count as 1/n each."""
-    import pyarrow as pa
+def _counter(copies: dict | None):
+    """Each batch's distinct (node, feature), with the number of its pages that have it; n copies count as 1/n each.
 
-    for batch in batches:
-        seen: dict[tuple, float] = {}
-        for h, host, page, copied in zip(*[batch.column(c).to_pylist() for c in ("host_key", "host_", "html", "copied_")], strict=True):
-            own, (found, children) = set(), blocks(page or "")
-            weight = 1 / (copied or 1)
-            for path, said, *_ in found:
-                feature = key(said)
-                for p in prefixes(path):
-                    node = node_key(host, p)
-                    own |= {(node, CONTENT, feature), (node, PAGE, 0)}
-            for path, labels in children.items():
-                if path:
-                    own.add((node_key(host, path), PRESENTATION, key(" ".join(labels))))
-            for x in own:
-                seen[h, *x] = seen.get((h, *x), 0) + weight
-        columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in COUNTS.split(", ")])
+    copies: their numbers by (host_key, page), or None if they are in a column.
+    """
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            seen: dict[tuple, float] = {}
+            copied = batch.column("copied_").to_pylist() if copies is None else [None] * len(batch)
+            for h, host, page, n in zip(*[batch.column(c).to_pylist() for c in ("host_key", "host_", "html")], copied, strict=True):
+                own, (found, children) = set(), blocks(page or "")
+                weight = 1 / ((copies.value.get((h, page_key(found))) if copies is not None else n) or 1)
+                for path, said, *_ in found:
+                    feature = key(said)
+                    for p in prefixes(path):
+                        node = node_key(host, p)
+                        own |= {(node, CONTENT, feature), (node, PAGE, 0)}
+                for path, labels in children.items():
+                    if path:
+                        own.add((node_key(host, path), PRESENTATION, key(" ".join(labels))))
+                for x in own:
+                    seen[h, *x] = seen.get((h, *x), 0) + weight
+            columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in COUNTS.split(", ")])
+
+    return count
 
 
 def _page_keys(batches):
@@ -233,14 +245,13 @@ def importance(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFr
     keyed = pages.select(F.xxhash64("host_").alias("host_key"), "host_", "html")
     sums = keyed.select("host_key", "html").mapInArrow(_page_keys, COPIES).groupBy("host_key", "page").agg(F.sum("n").alias("n"))
     copies = stored(sums.filter("n > 1"), "copies")
-    copied = copies.select("host_key", "page", F.col("n").alias("copied_"))
-    if (number := copies.count()) and number <= broadcast_rows:
-        copied = F.broadcast(copied)
-    if number:
-        keyed = keyed.mapInArrow(_keyed, "host_key long, host_ string, html string, page long").join(copied, ["host_key", "page"], "left")
+    if copies.count() <= broadcast_rows:
+        sent = pages.sparkSession.sparkContext.broadcast({(r.host_key, r.page): r.n for r in copies.collect()})
+        counts = keyed.mapInArrow(_counter(sent), COUNTS)
     else:
-        keyed = keyed.withColumn("copied_", F.lit(1).cast("long"))
-    counts = keyed.mapInArrow(_count, COUNTS)
+        marked = keyed.mapInArrow(_keyed, "host_key long, host_ string, html string, page long")
+        copied = copies.select("host_key", "page", F.col("n").alias("copied_"))
+        counts = marked.join(copied, ["host_key", "page"], "left").mapInArrow(_counter(None), COUNTS)
     features = counts.groupBy("host_key", "node", "kind", "feature").agg(F.round(F.sum("n")).alias("n"))
     m = F.max(F.when(F.col("kind") == PAGE, F.col("n"))).alias("pages")
     content, shape = F.col("kind") == CONTENT, F.col("kind") == PRESENTATION
@@ -268,20 +279,27 @@ def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame
     """pages with text in place of html. A pass over the pages counts copies, one makes the trees, one the texts."""
     own = [f for f in pages.schema.fields if f.name not in ("html", "text", "host_", "noisy_", "host_key")]
     placed = pages.select(*[f.name for f in own], "html", host(F.col("url")).alias("host_"))
-    low = importance(placed, broadcast_rows).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD))
-    noisy = stored(low.select("host_key", "node"), "noise")
-    by_host = noisy.groupBy("host_key").agg(F.collect_set("node").alias("noisy_"))
-    if noisy.count() <= broadcast_rows:
-        by_host = F.broadcast(by_host)
+    weighed = (F.col("pages") * F.col("importance") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
+    noisy = stored(importance(placed, broadcast_rows).filter(weighed < THRESHOLD).select("host_key", "node"), "noise")
     keyed = placed.withColumn("host_key", F.xxhash64("host_"))
-    joined = keyed.join(by_host, "host_key", "left").drop("host_key")
+    if noisy.count() <= broadcast_rows:
+        # the node's key holds its host, so one set serves all hosts
+        sent = pages.sparkSession.sparkContext.broadcast(frozenset(r.node for r in noisy.collect()))
+        joined = keyed.withColumn("noisy_", F.lit(None).cast("array<long>"))
+    else:
+        sent = None
+        joined = keyed.join(noisy.groupBy("host_key").agg(F.collect_set("node").alias("noisy_")), "host_key", "left")
 
     def texts(batches):
         import pyarrow as pa
 
         for batch in batches:
-            cells = [batch.column(c).to_pylist() for c in ("html", "noisy_", "host_")]
-            said = [main_text(h or "", frozenset(n or ()), k) for h, n, k in zip(*cells, strict=True)]
+            sets: dict[int, frozenset] = {}
+            said = []
+            for i, (page, key_, name) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("html", "host_key", "host_")], strict=True)):
+                if sent is None and key_ not in sets:  # once for each host of the batch
+                    sets[key_] = frozenset(batch.column("noisy_")[i].as_py() or ())
+                said.append(main_text(page or "", sets[key_] if sent is None else sent.value, name))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array(said, pa.string())], [*(f.name for f in own), "text"])
 
     return joined.mapInArrow(texts, T.StructType([*own, T.StructField("text", T.StringType())]))
