@@ -74,5 +74,9 @@ def main(args: list[str]) -> None:
         sinks.write_lines(services.axioms_to_stated(spark, a.snapshot, delta), a.out, sinks.DELTA, ["sourceId", "grp", "place"])
 
 
-if __name__ == "__main__":
+def run() -> None:
     main(sys.argv[1:])
+
+
+if __name__ == "__main__":
+    run()

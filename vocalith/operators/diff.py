@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalith.sources.shared import stored
+
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on keys that may be null: as structs, which compare null fields as equal."""
@@ -32,11 +34,13 @@ def compare(old: DataFrame, new: DataFrame, owner: str, content: Sequence[str],
     new = new.select(*full).distinct()
     first = Window.partitionBy(F.struct(*full)).orderBy(F.col(module).desc(), F.col("id"))
     ranked = old.withColumn("nth_", F.row_number().over(first))
-    marked = _null_safe(ranked, new.withColumn("hit_", F.lit(True)), full, "left").drop("key_")
+    # what several branches read is written once
+    marked = stored(_null_safe(ranked, new.withColumn("hit_", F.lit(True)), full, "left").drop("key_"), "marked")
     double = marked.filter("hit_ and nth_ > 1")
     loose = marked.filter("hit_ is null")
     # new rows without an old one
     fresh = _null_safe(new, old.select(*full).distinct().withColumn("old_", F.lit(True)), full, "left").filter("old_ is null").select(*full)
+    fresh = stored(fresh, "fresh")
     # alone in their group, counted over all new rows
     alone = new.groupBy(owner, group).agg(F.count(F.lit(1)).alias("n_")).filter("n_ = 1").select(owner, group)
     targets = fresh.join(alone, [owner, group], "left_semi")
@@ -45,7 +49,7 @@ def compare(old: DataFrame, new: DataFrame, owner: str, content: Sequence[str],
     by_row = Window.partitionBy("id").orderBy("to_")
     by_target = Window.partitionBy(F.struct(*keys, F.col("to_"))).orderBy("id")
     moves = met.withColumn("r_", F.row_number().over(by_row)).filter("r_ = 1").withColumn("t_", F.row_number().over(by_target)).filter("t_ = 1")
-    moves = moves.select("id", *keys, F.col("to_").alias(group))
+    moves = stored(moves.select("id", *keys, F.col("to_").alias(group)), "moves")
     gone = loose.join(moves.select("id"), "id", "left_anti").unionByName(double)
     added = _null_safe(fresh, moves.select(*full).withColumn("moved_", F.lit(True)), full, "left").filter("moved_ is null")
     out = lambda df, action, id_: df.select(F.lit(action).alias("action"), id_.alias("id"), *full)
