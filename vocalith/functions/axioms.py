@@ -41,7 +41,7 @@ def class_expressions(rows: DataFrame, ungrouped: DataFrame | None = None) -> Da
     """
     bare = rows.withColumn("bare_", F.lit(False))
     if ungrouped is not None:
-        bare = rows.join(F.broadcast(ungrouped.select(F.col("attributeId").alias("typeId"), F.lit(True).alias("bare_")).distinct()), "typeId", "left")
+        bare = rows.join(ungrouped.select(F.col("attributeId").alias("typeId"), F.lit(True).alias("bare_")).distinct(), "typeId", "left")
     is_a = F.col("typeId") == IS_A
     one = F.col("destinationId").isNotNull() != F.col("text").isNotNull()
     wrong = F.raise_error(F.concat(F.lit("a row needs either a destination or a value: "), F.col("conceptId").cast("string")))
@@ -295,3 +295,12 @@ def normalised(axioms: DataFrame) -> DataFrame:
             yield frame.astype({"a": "Int64", "b": "Int64", "c": "Int64", "n": "Int32"})
 
     return axioms.select("axiom").mapInPandas(normal, NORMAL).distinct()
+
+
+def check_names(normal: DataFrame) -> None:
+    """ValueError if two expressions have one number, which would make them one class: one aggregate over the normal form."""
+    some = normal.filter("rule = 'exists'").groupBy(F.col("a").alias("x")).agg(F.count_distinct(F.struct("b", "c")).alias("n"), F.lit(1).cast("int").alias("need"))
+    all_ = normal.filter("rule = 'member'").groupBy(F.col("b").alias("x")).agg(F.count_distinct("a").alias("n"), F.max("n").alias("need"))
+    both = some.unionByName(all_).groupBy("x").agg(F.max(F.col("n") != F.col("need")).alias("wrong"), F.count(F.lit(1)).alias("kinds"))
+    if bad := both.filter("wrong or kinds > 1").select("x").limit(1).collect():
+        raise ValueError(f"two expressions have the number {bad[0].x}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -34,7 +35,7 @@ def signature(expression: Column) -> Column:
 
 def short_ids(expression: Column, core: str) -> Column:
     """Full identifiers of the core namespace in their short form."""
-    return F.regexp_replace(expression, f"<{core}([0-9]+)>", r":$1")
+    return F.regexp_replace(expression, f"<{re.escape(core)}([0-9]+)>", r":$1") if core else expression
 
 
 def property_flags(expression: Column) -> list[Column]:
@@ -54,8 +55,3 @@ def language_tag(language: Column, preferred: Column, dialects: Column) -> Colum
 def file_row(columns: Sequence[Column]) -> Column:
     """A row of a release file: empty for null, tabs between."""
     return F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
-
-
-def fingerprint(items: Column) -> Column:
-    """Order-free digest of an array, to join sets that are equal."""
-    return F.sha2(F.to_json(F.array_sort(items)), 256)

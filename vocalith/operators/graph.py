@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalith.sources.shared import stored
+from vocalith.sources.shared import discard, stored
 
 
 #: Rounds after which the tables of an iteration become one, so that a plan doesn't grow with their number.
@@ -20,7 +20,7 @@ def closure(edges: DataFrame) -> DataFrame:
     """
     step = edges.select("child", F.col("parent").alias("ancestor")).filter("child <> ancestor").distinct()
     known = frontier = stored(step, "closure")
-    rounds = 0
+    pieces, rounds = [known], 0
     while True:
         onward = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"))
         pairs = frontier.join(onward, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
@@ -28,8 +28,11 @@ def closure(edges: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             return known
         known, rounds = known.unionByName(frontier), rounds + 1
+        pieces.append(frontier)
         if rounds % MERGED == 0:
             known = stored(known, "closure")
+            discard(*pieces[:-1])
+            pieces = [known, frontier]
 
 
 def reflexive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -72,7 +72,9 @@ def generated_axioms(spark: SparkSession, release: Release, subset: DataFrame |
 
 def all_axioms(spark: SparkSession, release: Release) -> DataFrame:
     """(axiom_id, component, axiom) of active concepts; generated ones have their text as axiom_id."""
-    own = release.axioms.select("axiom_id", "component", F.replace("axiom", F.lit(f":{schema.LEGACY_ROLE_GROUP}"), F.lit(f":{schema.ROLE_GROUP}")).alias("axiom"))
+    text = F.replace("axiom", F.lit(f":{schema.LEGACY_ROLE_GROUP}"), F.lit(f":{schema.ROLE_GROUP}"))
+    # identifiers are short everywhere, whatever form the release has
+    own = release.axioms.select("axiom_id", "component", values.short_ids(text, releases.namespaces(release).get("", "")).alias("axiom"))
     own = own.join(release.concepts.select(F.col("id").alias("component")), "component", "left_semi").select("axiom_id", "component", "axiom")
     made = generated_axioms(spark, release).select(F.col("axiom").alias("axiom_id"), "component", "axiom")
     return stored(own.unionByName(made), "axioms")

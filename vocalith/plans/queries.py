@@ -12,7 +12,8 @@ from vocalith.plans import tables as t
 from vocalith.plans.tables import is_a, table
 from vocalith.schema import CORE_MODULE, DEFAULT_UNGROUPED, EXISTENTIAL, IS_A, MODEL_ATTRIBUTE, OBJECT_ATTRIBUTE, STATED
 from vocalith.sources.releases import Release
-from vocalith.sources.shared import stored
+from vocalith.sources.shared import fresh_path, stored
+from vocalith.streaming import overlay
 
 #: Dates that split orders into a snapshot and a delta.
 CUTOFF = "1997-01-01"
@@ -35,6 +36,17 @@ def latest_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest_state(rows, ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", "value")
 
 
+def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states from a stream: files of events arrive in any order, and each is merged into the states so far."""
+    rows, top = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), fresh_path(spark, "stream")
+    rows.repartitionByRange(4, "event_id").write.parquet(f"{top}/feed")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/feed")
+    query = overlay.apply_deltas(stream, f"{top}/states", ["user_id"], ["ts", "event_id"], f"{top}/checkpoint")
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    return spark.read.schema(stream.schema).parquet(f"{top}/states/{last}").select("user_id", "event_id", "event_type", "value")
+
+
 def snapshot_delta_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
     old, new = rows.filter(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp_ntz")), rows.filter(F.col("o_orderdate") >= F.lit(CUTOFF).cast("timestamp_ntz"))
@@ -514,5 +526,5 @@ QUERIES = {f.__name__: f for f in (
     inherited_attributes, relationship_diff, group_zero_move, retired_id_reuse, inactivation_retirement, change_counts, class_axiom_text,
     axiom_signature, axiom_round_trip, property_flags_merge, description_annotations, acceptability_map, el_classification,
     stated_retirement_rows, reconcile_axioms, concept_extract, classification_delta, el_roles_and_chains, normal_form_attributes,
-    stable_group_numbers, generated_axioms, release_delta,
+    stable_group_numbers, generated_axioms, release_delta, streamed_states,
 )}

@@ -42,6 +42,7 @@ def classify(spark: SparkSession, snapshots: Sequence[str], delta: str | None =
 def classify_release(spark: SparkSession, release: Release, infer: Callable[[DataFrame], DataFrame] = el.saturate) -> Classification:
     every = ontology.all_axioms(spark, release)
     normal = stored(ax.normalised(every), "normal")
+    ax.check_names(normal)
     parents, sets, strict = el.taxonomy(infer(normal), release.concepts)
     roles = normal.filter("rule = 'role'").select(F.col("a").alias("child"), F.col("b").alias("parent")).distinct()
     parents = stored(parents.unionByName(roles).distinct(), "parents")

@@ -55,6 +55,7 @@ sub AS (SELECT e.concept AS child, d.concept AS ancestor FROM everything e JOIN
 
 SQL = {
     "latest_state_merge": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
+    "streamed_states": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "snapshot_delta_overlay": f"""
 SELECT o_custkey, o_orderkey, o_orderstatus, source_rank::BIGINT AS source_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY source_rank DESC, o_orderdate DESC, o_orderkey DESC) AS r

@@ -17,8 +17,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
+def fresh_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str = "round", by: str | None = None) -> DataFrame:
     """df as a table in the shared folder; by: a column whose values get folders of their own, so that a filter prunes."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, what)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
