@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from vocalith.llm.common import total_bytes
 
 #: Texts of a batch, and of those that a bucket's keys come from. Both grow with the root of the input, so that the
-#: packed arrays between them don't shrink to a few keys; the last bound is for executors with gigabytes for a task.
-BATCH_BYTES, LARGEST_BATCH = 5 << 20, 256 << 20
+#: packed arrays between them don't shrink to a few keys, up to a batch whose arrays fit in half a gigabyte. From there on
+#: (some 40 GB) a row between a batch and a bucket holds fewer keys; there are never more rows than keys.
+BATCH_BYTES, LARGEST_BATCH = 5 << 20, 32 << 20
 BUCKET_BYTES = 1 << 20
+#: Bytes of text for each task that buckets are dealt to.
+TASK_BYTES = 6 << 20
 ROOT = 170
 
 
@@ -28,7 +31,10 @@ def scaled(size: int) -> float:
 
 
 def batched(docs: DataFrame, size: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(batch, blob): rows of docs by a hash of doc_id, as compressed Arrow streams. size: bytes of all texts."""
+    """(batch, blob): rows of docs by a hash of doc_id and text, as compressed Arrow streams. size: bytes of all texts.
+
+    Equal rows that meet in a task go to one batch after another, so neither an id nor a group of copies fills a batch.
+    """
     count = max(1, -(-size // int(batch_bytes * scaled(size))))
 
     def blobs(parts):
@@ -36,8 +42,13 @@ def batched(docs: DataFrame, size: int, batch_bytes: int = BATCH_BYTES) -> DataF
 
         for part in parts:
             rows = pa.table(part)
-            batch = rows.column("batch_").to_numpy()
+            h = rows.column("batch_").to_numpy()
             rows = rows.drop_columns(["batch_"])
+            order = np.argsort(h, kind="stable")
+            new = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
+            nth = np.empty(len(h), np.int64)
+            nth[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            batch = ((h % count + nth) % count).astype(np.int32)
             order = np.argsort(batch, kind="stable")
             edges = np.flatnonzero(np.diff(batch[order])) + 1
             for at in np.split(order, edges) if len(order) else []:
@@ -46,7 +57,7 @@ def batched(docs: DataFrame, size: int, batch_bytes: int = BATCH_BYTES) -> DataF
                     ["batch", "blob"],
                 )
 
-    keyed = docs.withColumn("batch_", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int"))
+    keyed = docs.withColumn("batch_", F.xxhash64("doc_id", "text"))
     return keyed.mapInArrow(blobs, "batch int, blob binary").repartition(count, "batch")
 
 
@@ -90,14 +101,22 @@ def by_bucket(keys: np.ndarray, bits: int):
     return [(int(number[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
 
 
-def low48(keys: np.ndarray) -> bytes:
-    """Six bytes for each key: its bucket stands for the others."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def by_buckets(rows: DataFrame, size: int):
+    """rows grouped by bucket, dealt to as many tasks as the texts' bytes need."""
+    return rows.repartition(max(1, -(-size // TASK_BYTES)), "bucket").groupBy("bucket")
+
+
+def pack_keys(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted keys of one bucket: whole, or without the leading byte if the bucket's number has it."""
+    width = 7 if bits >= 8 else 8
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def from48(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def unpack_keys(data: bytes, bits: int) -> np.ndarray:
+    """The leading byte, if left out, is zero: all keys of a bucket have the same."""
+    width = 7 if bits >= 8 else 8
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u8")
 
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalith.llm.batches import batched, bucket_bits, by_bucket, from48, low48, size_of, texts_of, unpack
+from vocalith.llm.batches import batched, bucket_bits, by_bucket, by_buckets, pack_keys, size_of, texts_of, unpack, unpack_keys
 from vocalith.llm.common import stored
 
 FOLDS, HELD_OUT = 7, 2
@@ -118,27 +118,30 @@ def _table(rows: list, schema: str):
 def _ask_words(bits: int):
     def ask(group):
         batch, number = Batch(group), group.column("batch")[0].as_py()
-        rows = [(b, number, QUESTION, low48(batch.words[p]), pack_counts(batch.word_count[p]), None, None, None) for b, p in by_bucket(batch.words, bits)]
+        rows = [(b, number, QUESTION, pack_keys(batch.words[p], bits), pack_counts(batch.word_count[p]), None, None, None) for b, p in by_bucket(batch.words, bits)]
         return _table(rows, ASK)
 
     return ask
 
 
-def _sum_up(group):
+def _sum_up(group, bits: int):
     """Totals of a bucket's keys over all batches, for each batch in its own order."""
     questions = [r for r in zip(*[group.column(c).to_pylist() for c in ("batch", "bucket", "keys", "counts")], strict=True)]
-    keys = [from48(r[2]) for r in questions]
+    keys = [unpack_keys(r[2], bits) for r in questions]
     unique, key_of = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(key_of, np.concatenate([unpack_counts(r[3]) for r in questions]), len(unique)).astype(np.int64)
     parts = np.split(total[key_of], np.cumsum([len(k) for k in keys])[:-1])
     return questions, parts, total
 
 
-def _word_totals(group):
-    questions, parts, total = _sum_up(group)
-    rows = [(r[0], QUESTION, r[1], pack_counts(p)) for r, p in zip(questions, parts, strict=True)]
-    rows.append((NOWHERE, TOTALS, questions[0][1], np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
-    return _table(rows, ANSWER)
+def _word_totals(bits: int):
+    def totals(group):
+        questions, parts, total = _sum_up(group, bits)
+        rows = [(r[0], QUESTION, r[1], pack_counts(p)) for r, p in zip(questions, parts, strict=True)]
+        rows.append((NOWHERE, TOTALS, questions[0][1], np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
+        return _table(rows, ANSWER)
+
+    return totals
 
 
 def bins(pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -185,7 +188,7 @@ def _ask_pairs(bits: int):
             i = at[p]
             h = i[batch.pair_held[i] > 0]
             rows.append((
-                b, number, QUESTION, low48(batch.pairs[i]), pack_counts(batch.pair_count[i]), pack_counts(batch.pair_held[i]),
+                b, number, QUESTION, pack_keys(batch.pairs[i], bits), pack_counts(batch.pair_count[i]), pack_counts(batch.pair_held[i]),
                 pack_counts(totals[batch.pair_context[h]]), pack_counts(totals[batch.pair_word[h]]),
             ))
         return _table(rows, ASK)
@@ -193,22 +196,25 @@ def _ask_pairs(bits: int):
     return ask
 
 
-def _pair_totals(group):
+def _pair_totals(bits: int):
     import pyarrow.compute as pc
 
-    along = group.filter(pc.not_equal(group.column("kind"), QUESTION))
-    rows = list(zip(*[along.column(c).to_pylist() for c in ("batch", "kind", "bucket", "keys")], strict=True))
-    asked = group.filter(pc.equal(group.column("kind"), QUESTION))
-    if len(asked):
-        questions, parts, _ = _sum_up(asked)
-        rows += [(r[0], QUESTION, r[1], pack_counts(p)) for r, p in zip(questions, parts, strict=True)]
-        held = [unpack_counts(x) for x in asked.column("held").to_pylist()]
-        some = np.concatenate([p[h > 0] for p, h in zip(parts, held, strict=True)])
-        if len(some):
-            context, word = (np.concatenate([unpack_counts(x) for x in asked.column(c).to_pylist()]) for c in ("contexts", "words"))
-            n = np.concatenate([h[h > 0] for h in held])
-            rows.append((NOWHERE, HISTOGRAM, questions[0][1], _counted(bins(some, context, word), n)))
-    return _table(rows, ANSWER)
+    def totals(group):
+        along = group.filter(pc.not_equal(group.column("kind"), QUESTION))
+        rows = list(zip(*[along.column(c).to_pylist() for c in ("batch", "kind", "bucket", "keys")], strict=True))
+        asked = group.filter(pc.equal(group.column("kind"), QUESTION))
+        if len(asked):
+            questions, parts, _ = _sum_up(asked, bits)
+            rows += [(r[0], QUESTION, r[1], pack_counts(p)) for r, p in zip(questions, parts, strict=True)]
+            held = [unpack_counts(x) for x in asked.column("held").to_pylist()]
+            some = np.concatenate([p[h > 0] for p, h in zip(parts, held, strict=True)])
+            if len(some):
+                context, word = (np.concatenate([unpack_counts(x) for x in asked.column(c).to_pylist()]) for c in ("contexts", "words"))
+                n = np.concatenate([h[h > 0] for h in held])
+                rows.append((NOWHERE, HISTOGRAM, questions[0][1], _counted(bins(some, context, word), n)))
+        return _table(rows, ANSWER)
+
+    return totals
 
 
 def learn_weights(histogram: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -290,9 +296,9 @@ def _two_sums(batches):
 def counted(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """Answers for all batches, with the histogram of held-out tokens and the totals: written once, read twice."""
     batches = batched(docs, size)
-    words = batches.groupBy("batch").applyInArrow(_ask_words(bits), ASK).groupBy("bucket").applyInArrow(_word_totals, ANSWER)
+    words = by_buckets(batches.groupBy("batch").applyInArrow(_ask_words(bits), ASK), size).applyInArrow(_word_totals(bits), ANSWER)
     pairs = batches.groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(_ask_pairs(bits), ASK)
-    return stored(pairs.groupBy("bucket").applyInArrow(_pair_totals, ANSWER), "counts")
+    return stored(by_buckets(pairs, size).applyInArrow(_pair_totals(bits), ANSWER), "counts")
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id.  Equal 50-byte strings
 have one anchor (anchors.py), so batches first ask which anchors other documents have too.  The runs of shared
-anchors, a distinct string once for each batch with its smallest id, then go to the anchor's bucket.  There the
-suffixes are sorted, neighbours have their longest common prefixes, and the previous and next smaller document in
-suffix order give each suffix its longest match in an earlier document: the longest-previous-factor array.  50 or more marks the string, and the answer, a bit for each, returns to the batch.
+anchors, a distinct string once for each batch with its smallest id, then go to the anchor's bucket; runs of a hot
+anchor, as at the edges of a passage that very many documents have, are cut into single windows, each in a bucket of
+its own hash.  There the suffixes are sorted, neighbours have their longest common prefixes, and the previous and next
+smaller document in suffix order give each suffix its longest match in an earlier document: the
+longest-previous-factor array, with factors cut at 50 bytes.  A factor of 50 marks the string, and the answer, a bit
+for each, returns to the batch.  Copies inside a batch need no sorting: equal runs are one string.
 
 Matches never cross documents, overlaps count, and strings are judged on the input.
 
@@ -15,7 +18,6 @@ is hashed in pieces; an empty table gives an empty result; extra columns pass th
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +25,15 @@ from pyspark.sql import types as T
 
 from vocalith.llm import anchors
 from vocalith.llm.anchors import SPAN
-from vocalith.llm.batches import batched, bucket_bits, by_bucket, from48, ids_of, low48, size_of, texts_of, unpack
+from vocalith.llm.batches import batched, bucket_bits, by_bucket, by_buckets, ids_of, pack_keys, size_of, texts_of, unpack, unpack_keys
 
-ASK = "bucket int, batch int, keys binary, more binary, data binary"
+ASK = "bucket int, batch int, keys binary, more binary, many binary, data binary"
 ANSWER = "batch int, bucket int, bits binary"
 #: The number of the bucket in an answer that holds a batch's own earlier answers.
 KEPT = -1
+#: An anchor with so many runs in all is hot: each of its windows goes to a bucket of its own hash.  A batch counts its
+#: runs of an anchor from the second number on; fewer count as one.
+HOT, LISTED = 4096, 16
 
 
 def smaller_neighbours(value: np.ndarray, lcp: np.ndarray):
@@ -55,9 +60,9 @@ def smaller_neighbours(value: np.ndarray, lcp: np.ndarray):
 
 
 def longest_previous_factors(data: np.ndarray, begin: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For suffixes at `begin`, the longest match, up to SPAN bytes, with one of a smaller value.
+    """For suffixes at `begin`, the longest match, cut at SPAN bytes, with one of a smaller value.
 
-    Every suffix is followed by at least SPAN bytes of data; they are sorted by so many, equal ones by value.
+    Suffixes are sorted by their first SPAN bytes, equal ones by value: whether a factor is longer changes no answer.
     """
     if not len(begin):
         return np.zeros(0, np.int64)
@@ -91,20 +96,53 @@ class Batch:
         np.maximum.at(high, self.key_of, self.ids[self.text])
         return low != high
 
-    def share(self, bits: int, answers: dict[int, bytes]):
-        """Runs whose anchor is shared, and for each the number of its string; the strings by first place."""
-        flags = np.zeros(len(self.keys), bool)
+    def share(self, bits: int, answers: dict[int, bytes]) -> Shared:
+        flags, hot = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
         for bucket, part in by_bucket(self.keys, bits):
             n = part.stop - part.start
-            flags[part] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=n).astype(bool)
+            flags[part], hot[part] = _flags(answers[bucket], n)
         run = np.flatnonzero(flags[self.key_of])
+        text, start, count = self.text[run], self.start[run], self.count[run].astype(np.int64)
+        bucket = (self.anchor[run] >> np.uint64(64 - bits)).astype(np.int64)
+        if len(at := np.flatnonzero(hot[self.key_of[run]])):
+            import xxhash
+
+            n = count[at]
+            begin = np.repeat(start[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            owner = np.repeat(text[at], n)
+            own = [xxhash.xxh64_intdigest(self.texts[t][s : s + SPAN]) >> (64 - bits) for t, s in zip(owner.tolist(), begin.tolist(), strict=True)]
+            text, start, count, bucket = (
+                np.concatenate([np.delete(x, at), y])
+                for x, y in ((text, owner), (start, begin), (count, np.ones(len(begin), np.int64)), (bucket, np.array(own, np.int64)))
+            )
+        return Shared(self, text, start, count, bucket)
+
+
+class Shared:
+    """A batch's runs of shared anchors, their buckets, and for each the number of its string; `first` is where a string is first."""
+
+    def __init__(self, batch: Batch, text, start, count, bucket):
+        self.text, self.start, self.count, self.bucket = text, start, count, bucket
         seen: dict[bytes, int] = {}
-        texts = self.texts
-        places = zip(self.text[run].tolist(), self.start[run].tolist(), self.count[run].tolist(), strict=True)
-        string = np.fromiter((seen.setdefault(texts[t][s : s + c + SPAN - 1], len(seen)) for t, s, c in places), np.int64, len(run))
-        first = np.full(len(seen), len(run))
-        np.minimum.at(first, string, np.arange(len(run)))
-        return run, string, run[first], list(seen)
+        texts = batch.texts
+        places = zip(text.tolist(), start.tolist(), count.tolist(), strict=True)
+        self.string = np.fromiter((seen.setdefault(texts[t][s : s + c + SPAN - 1], len(seen)) for t, s, c in places), np.int64, len(text))
+        self.strings = list(seen)
+        # the smallest document that has it
+        order = np.lexsort((batch.ids[text], self.string))
+        new = np.append(True, self.string[order][1:] != self.string[order][:-1])[: len(order)]
+        self.first = order[new]
+
+    def by_bucket(self) -> list[np.ndarray]:
+        """Numbers of the strings of each bucket."""
+        bucket = self.bucket[self.first]
+        order = np.argsort(bucket, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+
+
+def _flags(answer: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    half = (n + 7) // 8
+    return tuple(np.unpackbits(np.frombuffer(answer[a : a + half], np.uint8), count=n).astype(bool) for a in (0, half))
 
 
 def _ask(bits: int):
@@ -112,22 +150,37 @@ def _ask(bits: int):
         import pyarrow as pa
 
         batch, number = Batch(group), group.column("batch")[0].as_py()
-        several = batch.several()
-        rows = [(b, number, low48(batch.keys[p]), np.packbits(several[p]).tobytes(), None) for b, p in by_bucket(batch.keys, bits)]
+        several, n = batch.several(), np.bincount(batch.key_of, minlength=len(batch.keys))
+        rows = []
+        for b, p in by_bucket(batch.keys, bits):
+            at = np.flatnonzero(n[p] >= LISTED)
+            many = np.stack([at, n[p][at]]).astype("<u4").tobytes() if len(at) else None
+            rows.append((b, number, pack_keys(batch.keys[p], bits), np.packbits(several[p]).tobytes(), many, None))
         return _table(rows, ASK)
 
     return ask
 
 
-def _shared(group):
-    """Anchors that two batches have, or two documents of one."""
-    keys = [from48(x) for x in group.column("keys").to_pylist()]
-    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(group.column("more").to_pylist(), keys, strict=True)]
-    _, key_of, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    count = count + np.bincount(key_of, np.concatenate(several), len(count))
-    flags = np.split(count[key_of] > 1, np.cumsum([len(k) for k in keys])[:-1])
-    rows = [(b, k, np.packbits(f).tobytes()) for b, k, f in zip(group.column("batch").to_pylist(), group.column("bucket").to_pylist(), flags, strict=True)]
-    return _table(rows, ANSWER)
+def _shared(bits: int):
+    """Anchors that two batches have, or two documents of one; and which of them are hot."""
+
+    def shared(group):
+        keys = [unpack_keys(x, bits) for x in group.column("keys").to_pylist()]
+        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(group.column("more").to_pylist(), keys, strict=True)]
+        runs = [np.ones(len(k), np.int64) for k in keys]
+        for r, x in zip(runs, group.column("many").to_pylist(), strict=True):
+            if x:
+                at, n = np.frombuffer(x, "<u4").reshape(2, -1)
+                r[at] = n
+        _, key_of, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        total = np.bincount(key_of, np.concatenate(runs), len(count))
+        count = count + np.bincount(key_of, np.concatenate(several), len(count))
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        flags, hot = np.split(count[key_of] > 1, cuts), np.split(total[key_of] >= HOT, cuts)
+        names = zip(group.column("batch").to_pylist(), group.column("bucket").to_pylist(), strict=True)
+        return _table([(b, k, np.packbits(f).tobytes() + np.packbits(h).tobytes()) for (b, k), f, h in zip(names, flags, hot, strict=True)], ANSWER)
+
+    return shared
 
 
 def _strings(bits: int):
@@ -138,16 +191,14 @@ def _strings(bits: int):
             return _table([], ASK)
         batch, number = Batch(group), group.column("batch")[0].as_py()
         answers = _answers(answered)
-        _, _, first, strings = batch.share(bits, answers)
-        bucket = (batch.anchor[first] >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        count, doc = batch.count[first], batch.ids[batch.text[first]]
+        shared = batch.share(bits, answers)
+        count, doc, bucket = shared.count[shared.first], batch.ids[shared.text[shared.first]], shared.bucket[shared.first]
         rows = []
-        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            data = b"".join([strings[i] for i in at.tolist()])
-            rows.append((int(bucket[at[0]]), number, count[at].astype("<u4").tobytes(), doc[at].astype("<i8").tobytes(), data))
+        for at in shared.by_bucket():
+            data = b"".join([shared.strings[i] for i in at.tolist()])
+            rows.append((int(bucket[at[0]]), number, count[at].astype("<u4").tobytes(), doc[at].astype("<i8").tobytes(), None, data))
         kept = b"".join(answers[b] for b, _ in by_bucket(batch.keys, bits))
-        rows.append((number % (1 << bits), number, None, kept, None))
+        rows.append((number % (1 << bits), number, None, kept, None, None))
         return _table(rows, ASK)
 
     return strings
@@ -181,31 +232,29 @@ def removed_bytes(batch: Batch, bits: int, answers: dict[int, bytes]) -> np.ndar
     own, at = {}, 0
     kept = answers.get(KEPT, b"")
     for bucket, part in by_bucket(batch.keys, bits):
-        n = (part.stop - part.start + 7) // 8
+        n = 2 * ((part.stop - part.start + 7) // 8)
         own[bucket], at = kept[at : at + n], at + n
-    run, string, first, strings = batch.share(bits, own)
+    shared = batch.share(bits, own)
     size = np.fromiter(map(len, batch.texts), np.int64, len(batch.texts))
     ends = np.cumsum(size)
     change = np.zeros(int(size.sum()) + 1, np.int32)
-    if len(run):
-        begin = (ends - size)[batch.text[run]] + batch.start[run]
-        later = batch.ids[batch.text[run]] > batch.ids[batch.text[first]][string]
+    if len(shared.text):
+        begin = (ends - size)[shared.text] + shared.start
+        later = batch.ids[shared.text] > batch.ids[shared.text[shared.first]][shared.string]
         np.add.at(change, begin[later], 1)
-        np.add.at(change, begin[later] + batch.count[run][later] + SPAN - 1, -1)
+        np.add.at(change, begin[later] + shared.count[later] + SPAN - 1, -1)
         # windows of each string, in the order in which they were asked
-        count = batch.count[first].astype(np.int64)
-        bucket = (batch.anchor[first] >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        count, bucket = shared.count[shared.first], shared.bucket[shared.first]
         flags = np.zeros(int(count.sum()), bool)
         place = np.cumsum(count) - count
-        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        for at in shared.by_bucket():
             n = count[at]
             got = np.unpackbits(np.frombuffer(answers[int(bucket[at[0]])], np.uint8), count=int(n.sum())).astype(bool)
             flags[np.repeat(place[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = got
         here = np.flatnonzero(~later)
-        n = batch.count[run][here].astype(np.int64)
+        n = shared.count[here]
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = flags[np.repeat(place[string[here]], n) + nth]
+        hit = flags[np.repeat(place[shared.string[here]], n) + nth]
         windows = (np.repeat(begin[here], n) + nth)[hit]
         np.add.at(change, windows, 1)
         np.add.at(change, windows + SPAN, -1)
@@ -256,9 +305,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     result_schema = to_arrow_schema(schema)
     asked = batches.groupBy("batch").applyInArrow(_ask(bits), ASK)
-    shared = asked.groupBy("bucket").applyInArrow(_shared, ANSWER)
+    shared = by_buckets(asked, size).applyInArrow(_shared(bits), ANSWER)
     strings = batches.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_strings(bits), ASK)
-    repeated = strings.groupBy("bucket").applyInArrow(_repeated, ANSWER)
+    repeated = by_buckets(strings, size).applyInArrow(_repeated, ANSWER)
     return batches.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInArrow(result, schema)
 
 
