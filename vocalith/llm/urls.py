@@ -7,7 +7,7 @@ pages join the blocks by number.
 
 Cases: a null url, or one without "://", has empty host and path, no rule and no canonical form, and is allowed;
 repeated pages are judged one by one; a list with repeated or null entries counts each once, null never; empty
-tables give empty results; extra columns pass through.
+tables give empty results; extra columns pass through, but for those whose names the result or a step takes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import lower_ascii
+from vocalith.llm.common import lower_ascii, stored
 
 #: (host, path, verdict)
 RULES = (
@@ -27,8 +27,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Words of a host that put a page's URL on the list of this query.
-LISTED_WORDS = ("adult", "bets", "casino", "porn", "spam", "warez")
+#: The list of this query: canonical URLs of the pages whose page_id this divides.
+LISTED_EVERY = 100
 BITS_PER_URL = 24
 WORDS, WORD_BITS = 4, 64
 BROADCAST_BYTES = 8 << 20
@@ -74,10 +74,9 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def listed_urls(pages: DataFrame, terms=LISTED_WORDS) -> DataFrame:
-    """The list of this query: canonical URLs on hosts with a word of the lexicon."""
-    hit = reduce(lambda a, b: a | b, [F.contains(F.col("host"), F.lit(t)) for t in terms])
-    return parsed(pages.select("url")).filter(hit).select("canonical").distinct()
+def listed_urls(pages: DataFrame, every: int = LISTED_EVERY) -> DataFrame:
+    """The list of this query, which neither host nor path gives away: it also blocks other spellings of its URLs."""
+    return parsed(pages.filter(F.col("page_id") % every == 0).select("url")).select("canonical").distinct()
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -103,26 +102,30 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """pages with host, path, rule, verdict and listed (null where a rule decided)."""
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
+    clashing = {"host", "path", "rule", "verdict", "listed", "canonical", "best_", "block_", "maybe_", "key_", "hit_", *(f"w{i}" for i in range(WORDS))}
+    own = [c for c in pages.columns if c not in clashing]
     rows = parsed(pages.select(*own), rules)
-    listing = listed.select("canonical").filter("canonical is not null").distinct()
+    listing = stored(listed.select("canonical").filter("canonical is not null").distinct(), "listed")
     blocks = max(1, -(-listing.count() * BITS_PER_URL // (WORDS * WORD_BITS)))
     filter_ = bloom(listing, blocks)
     if blocks * (WORDS + 1) * 8 <= broadcast_bytes:
         filter_ = F.broadcast(filter_)
-    ruled = rows.filter("best_ is not null")
-    open_ = rows.filter("best_ is null").withColumn("block_", _block(F.coalesce("canonical", F.lit("")), blocks))
-    probed = open_.join(filter_, "block_", "left")
+    open_ = F.col("best_").isNull() & F.col("canonical").isNotNull()
+    anywhere = F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
+    probed = rows.withColumn("block_", F.when(open_, _block(F.col("canonical"), blocks)).otherwise(anywhere)).join(filter_, "block_", "left")
     set_ = reduce(
         lambda a, b: a & b,
         [F.getbit(F.coalesce(F.col(f"w{i}"), F.lit(0).cast("long")), b) == 1 for i, b in enumerate(_bits(F.col("canonical")))],
     )
-    probed = probed.withColumn("maybe_", F.coalesce(set_, F.lit(False))).drop("block_", *[f"w{i}" for i in range(WORDS)])
-    out = lambda df, rule, verdict, hit: df.select(*own, "host", "path", rule.alias("rule"), verdict.alias("verdict"), hit.alias("listed"))
-    none = F.lit(None).cast("string")
-    exact = probed.filter("maybe_").join(listing.withColumn("hit_", F.lit(True)), "canonical", "left")
-    return (
-        out(ruled, F.col("best_.rule"), F.col("best_.verdict"), F.lit(None).cast("boolean"))
-        .unionByName(out(probed.filter("not maybe_"), none, F.lit("allow"), F.lit(False)))
-        .unionByName(out(exact, none, F.when(F.col("hit_"), "block").otherwise("allow"), F.coalesce("hit_", F.lit(False))))
-    )
+    # pages that can't be listed have keys of their own, so that they don't meet in one task
+    maybe = F.coalesce(open_ & set_, F.lit(False))
+    own_key = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    probed = probed.withColumn("maybe_", maybe).withColumn("key_", F.when(F.col("maybe_"), F.col("canonical")).otherwise(own_key))
+    exact = probed.join(listing.select(F.col("canonical").alias("key_"), F.lit(True).alias("hit_")), "key_", "left")
+    hit = F.coalesce(F.col("maybe_") & F.col("hit_"), F.lit(False))
+    return exact.select(
+        *own, "host", "path",
+        F.col("best_.rule").alias("rule"),
+        F.coalesce(F.col("best_.verdict"), F.when(hit, "block").otherwise("allow")).alias("verdict"),
+        F.when(F.col("best_").isNull(), hit).alias("listed"),
+    )
