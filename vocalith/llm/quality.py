@@ -113,6 +113,12 @@ def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     return rows.withColumn("kept", F.col("fail_mask").bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
 
 
+def sole_rules(rows: DataFrame, version: str = CURRENT) -> DataFrame:
+    """sole_rule: the rule without which the policy would keep the document; null if none or several reject it."""
+    failed = F.col("fail_mask").bitwiseAND(F.lit(mask(POLICIES[version])))
+    return rows.withColumn("sole_rule", F.coalesce(*[F.when(failed == (1 << i), name) for i, name in enumerate(RULES)]))
+
+
 def ablation(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     """For each rule of a policy: documents that fail it, and those that only it rejects. One aggregate, no texts."""
     active = mask(POLICIES[version])

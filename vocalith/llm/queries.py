@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.llm import language_model, media, mixing, packing, quality, repeats, simhash, style_tree, token_files, urls
-from vocalith.llm.common import table
+from vocalith.llm.common import stored, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    measured = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    rows = quality.sole_rules(quality.apply_policy(stored(measured, "ledger")))
     base = F.col("fail_mask").bitwiseAND(F.lit(quality.mask(quality.BASE))) != 0
     return rows.select(
-        "doc_id", *quality.MEASURES, "fail_mask", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept")
+        "doc_id", *quality.MEASURES, "fail_mask", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "sole_rule"
     )
 
 
@@ -64,6 +65,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))
+_SOLE = " ".join(f"WHEN {1 << i} THEN '{name}'" for i, name in enumerate(quality.RULES))
 
 SQL = {
     "op1_quality_rules": rf"""
@@ -86,7 +88,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_lines::BIGINT AS n_lines, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   n_capitals::BIGINT AS n_capitals, n_exclamation::BIGINT AS n_exclamation, fail_mask::BIGINT AS fail_mask,
   (fail_mask & {quality.mask(quality.BASE)}) <> 0 AS base_failed,
-  (fail_mask & {quality.mask(quality.POLICIES[quality.CURRENT])}) = 0 AS kept
+  (fail_mask & {quality.mask(quality.POLICIES[quality.CURRENT])}) = 0 AS kept,
+  CASE fail_mask & {quality.mask(quality.POLICIES[quality.CURRENT])} {_SOLE} END AS sole_rule
 FROM k""",
     "op8_mix_sources": rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -112,7 +115,7 @@ d AS (SELECT page_id, translate(split_part(bare, '/', 1), 'ABCDEFGHIJKLMNOPQRSTU
 r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
         ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 m AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html)$', '') END AS canon FROM d),
-l AS (SELECT DISTINCT canon FROM m WHERE regexp_matches(host, 'adult|bets|casino|porn|spam|warez')),
+l AS (SELECT DISTINCT canon FROM m WHERE page_id % 100 = 0),
 x AS (SELECT page_id, host, path, canon, max(CASE WHEN h IS NOT NULL THEN {'n': length(h || p), 'rule': h || p, 'verdict': v} END) AS best
       FROM m LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
 SELECT page_id, host, path, best.rule AS rule,
