@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocalith.llm.common import stored, utf8
+from vocalith.llm.common import discard, stored, utf8
 
 SEED = 42
 SHINGLE = 3
@@ -217,7 +217,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     current, before = edges.select("a", "b"), None
     for _ in range(rounds):
-        current = stored(star(star(current, True), False), "stars")
+        last, current = current, stored(star(star(current, True), False), "stars")
+        if before is not None:
+            discard(last)
         if (now := state(current)) == before:
             break
         before = now
@@ -270,9 +272,11 @@ def deduplicate(docs: DataFrame, members_of=_members, fingerprint_of=_signed) ->
     first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
     keep = first.select(F.col("k.doc_id").alias("keep_"), F.col("k.fp").alias("keep_fp_"))
     several = members.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("several_"))
-    key = F.col("doc_id").cast("long")
-    plain = docs.join(keep.join(several, F.col("keep_") == F.col("several_"), "left_anti"), key == F.col("keep_")).select(docs.columns)
-    unsure = docs.filter(key.isNull()).unionByName(docs.join(several, key == F.col("several_"), "left_semi"))
-    once = _with_fingerprint(unsure, fingerprint_of).dropDuplicates(["doc_id", "fp_"])
-    met = once.join(keep, key.eqNullSafe(F.col("keep_")) & (F.col("fp_") == F.col("keep_fp_")), "left_semi")
-    return plain.unionByName(met.select(docs.columns))
+    # rows travel as one column: theirs may have any names
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    own = docs.select(row, F.col("doc_id").cast("long").alias("id_"), F.col("text").alias("text"))
+    plain = own.join(keep.join(several, F.col("keep_") == F.col("several_"), "left_anti"), F.col("id_") == F.col("keep_")).select("row_")
+    unsure = own.filter("id_ is null").unionByName(own.join(several, F.col("id_") == F.col("several_"), "left_semi"))
+    once = _with_fingerprint(unsure, fingerprint_of).dropDuplicates(["id_", "fp_"])
+    met = once.join(keep, F.col("id_").eqNullSafe(F.col("keep_")) & (F.col("fp_") == F.col("keep_fp_")), "left_semi")
+    return plain.unionByName(met.select("row_")).select("row_.*")
