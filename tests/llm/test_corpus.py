@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ import xxhash
 
 from tests.llm.fixtures import docs, empty, rows
 from vocalith.llm import batches, language_model, packing, repeats, simhash, style_tree, token_files, tokenize
+from vocalith.llm.common import stored
 
 
 @pytest.fixture
@@ -22,7 +24,7 @@ def small_batches(monkeypatch):
 
 
 def ids_of(vocabulary, text):
-    return tokenize.tokenizer(vocabulary).whole.encode(text or "", add_special_tokens=False).ids
+    return tokenize.tokenizer(vocabulary).library.encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -33,7 +35,7 @@ def crc(ids):
 
 
 def test_packing_places_every_token_once(spark):
-    pieces = packing.pack(docs(spark), shard_bytes=40_000).collect()
+    pieces = packing.pack(docs(spark), shard_tokens=20_000).collect()
     by_sequence = defaultdict(list)
     for p in pieces:
         by_sequence[p.sequence_id].append(p)
@@ -61,7 +63,7 @@ def test_packing_places_every_token_once(spark):
 
 def test_neighbours_follow_bm25():
     rng = np.random.default_rng(3)
-    some = [rng.choice(400, rng.integers(5, 90)).astype(np.uint16) for _ in range(40)]
+    some = [np.append(rng.choice(400, rng.integers(5, 90)), np.arange(1000, 1000 + 3 * i)).astype(np.uint16) for i in range(90)]
     index = packing.Index(some)
     length = np.mean([len(d) for d in some])
     df = Counter(t for d in some for t in set(d.tolist()))
@@ -71,15 +73,37 @@ def test_neighbours_follow_bm25():
         out = 0.0
         for t in set(some[q].tolist()) & set(tf):
             idf = math.log((len(some) - df[t] + 0.5) / (df[t] + 0.5))
-            if idf > 0:
+            if idf > 0 and df[t] <= packing.COMMON * len(some):
                 out += idf * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(some[d]) / length))
         return out
 
     for q in range(len(some)):
-        found = index.neighbours(q)
+        found = list(index.neighbours(q, np.zeros(len(some), bool)))
         scores = [score(q, d) for d in found]
         assert scores == sorted(scores, reverse=True) or all(abs(a - b) < 1e-9 or a > b for a, b in zip(scores, scores[1:], strict=False))
-        assert set(found) == {d for d in range(len(some)) if score(q, d) > 0}
+        assert set(found) == {d for d in range(len(some)) if d != q and score(q, d) > 0}
+        used = np.zeros(len(some), bool)
+        used[found[::2]] = True
+        assert list(index.neighbours(q, used)) == [d for d in found if not used[d]]
+
+
+def test_shards_hold_documents_with_their_near_copies(spark):
+    rng = random.Random(5)
+    words = [[f"{t}{rng.randrange(900)}" for _ in range(300)] for t in "klmn"]
+    made = []
+    for i in range(240):
+        base = [rng.choice(words[i % 4]) for _ in range(80)]
+        made += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, "end"]))]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    places = packing.fit(packing.sampled(table, len(made), tokenize.BYTE_BPE))
+    spread = packing.placed(stored(packing.encoded(table, tokenize.BYTE_BPE, places), "encoded"), 12_000)[0].collect()
+    shard = {r.doc_id: r.shard for r in spread}
+    assert len(set(shard.values())) > 5
+    assert sum(shard[2 * i] == shard[2 * i + 1] for i in range(240)) > 216
+    # a group of copies above an eighth of a shard doesn't stay together
+    copies = spark.createDataFrame([(i, made[0][1]) for i in range(300)], "doc_id long, text string")
+    met = packing.placed(stored(packing.encoded(copies, tokenize.BYTE_BPE), "encoded"), 12_000, 0)[0].groupBy("shard").count().collect()
+    assert len(met) > 3 and max(r["count"] for r in met) < 150
 
 
 def test_a_window_takes_the_seeds_nearest():
@@ -101,6 +125,47 @@ def test_token_files_read_back(spark, tmp_path):
     assert token_files.token_files(empty(spark), f"file://{tmp_path}/e").count() == 0
 
 
+def test_token_files_of_many_ranges_and_a_hot_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(token_files, "BLOCK", 3)
+    rng = random.Random(2)
+    made = [(7 if i % 3 == 0 else rng.randrange(-50, 400), f"word{i} " * rng.randrange(1, 40)) for i in range(600)] + [(None, "none")] * 40
+    path = f"file://{tmp_path}/t"
+    found = sorted(token_files.token_files(spark.createDataFrame(made, "doc_id long, text string"), path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted((d for d, _ in made), key=lambda d: (d is not None, d or 0))
+    at = 0
+    for r in found:
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += r.n_tokens
+    files = spark.read.parquet(path).groupBy("file").count().collect()
+    assert len(files) > 10 and max(r["count"] for r in files) < 100
+    some = token_files.read(spark, path, 100, 200)
+    assert sorted((r.doc_id, r.start) for r in some.collect()) == sorted((r.doc_id, r.start) for r in found if r.doc_id is not None and 100 <= r.doc_id <= 200)
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan
+    assert "ids" not in token_files.read(spark, path).select("start")._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
+
+
+def test_token_files_have_dictionaries_deltas_row_groups_and_page_indexes(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(token_files.WRITER, "parquet.block.size", str(1 << 16))
+    rng = random.Random(1)
+    made = [(i, " ".join(rng.choice(("stone", "river", "old")) for _ in range(300))) for i in range(3000)]
+    token_files.write(spark.createDataFrame(made, "doc_id long, text string"), f"file://{tmp_path}/t")
+    groups = 0
+    for file in tmp_path.glob("t/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            ids, doc_id = columns["ids.list.element"], columns["doc_id"]
+            assert "RLE_DICTIONARY" in ids.encodings and "DELTA_BINARY_PACKED" in doc_id.encodings
+            assert all(c.has_offset_index and c.has_column_index for c in (ids, doc_id))
+            assert doc_id.statistics.has_min_max
+    assert groups > 1
+
+
 # -- repeated passages -------------------------------------------------------------------------------------------------------
 
 
@@ -117,7 +182,9 @@ def removed(every):
     return out
 
 
-def test_later_copies_go(spark, small_batches):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_later_copies_go(spark, small_batches, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)  # from so many runs on, an anchor's windows go to buckets of their own
     every = rows()
     found = defaultdict(list)
     for r in repeats.digest(repeats.remove_repeats(docs(spark))).collect():
@@ -228,13 +295,14 @@ def test_rows_without_an_id_of_their_own_are_deduplicated_by_text(spark):
     assert sorted(r.text for r in simhash.deduplicate(one).collect()) == sorted(texts[:2])
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_the_pipeline_finds_all_near_copies(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "part"), [(16, 2048), (2, 2048), (2, 5)])
+def test_the_pipeline_finds_all_near_copies(spark, monkeypatch, small, part):
     import corpus_pipeline
 
     from vocalith.llm import near_copies
 
     monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "PART", part)
     rng, made = random.Random(11), []
     for g in range(8):
         base = [f"w{g}x{rng.randrange(400)}" for _ in range(120)]
@@ -331,11 +399,13 @@ def test_broken_pages_are_read_to_their_end(page):
 
 
 @pytest.mark.parametrize(
-    "page", ['<div class="layout has-sidebar"><article>T', '<article class="post comments-open">T', '<main class="search-results">T', '<div class="sidebar"><article>T', "<main id=comments>T"]
+    "page", ['<div class="share-price"><p>T', '<article><section class="related-work"><p>T', "<div data-id=related data-role=navigation><p>T", "<p title=it's>T", '<p title="a > b">T', '<div class="layout has-sidebar"><article>T', '<article class="post comments-open">T', '<main class="search-results">T', '<div class="sidebar"><article>T', "<main id=comments>T"]
 )
 def test_class_words_around_the_article_leave_it(page):
     assert style_tree.main_text(page) == "T"
     assert style_tree.main_text("<p>if 3 < 5 then x") == "if 3 < 5 then x"
+    assert style_tree.main_text("<p>1 < 2 is true") == "1 < 2 is true"
+    assert style_tree.main_text("<p title=it's>Hello isn't it</p>") == "Hello isn't it"
     assert style_tree.main_text('<p>x <a href="cut') == "x"
     assert style_tree.main_text("<main>T</main><div class=comments><article>C</article></div><div class=cookie-notice>N</div>") == "T"
 
@@ -372,6 +442,110 @@ def test_copies_do_not_make_the_tree_remove_their_text(spark):
         assert all(found[i] == "only this" for i in range(200, 206))
 
 
+class Tree(HTMLParser):
+    """A second reader of well-formed pages: nested lists of (label, children), texts as strings."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ("", [])
+        self.open = [self.root]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = (".".join([tag, *sorted(dict(attrs).get("class", "").split())]), [])
+        self.open[-1][1].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.open[-1][1].append(" ".join(data.split()))
+
+    def leaves(self):
+        """(labels from the top, text)."""
+
+        def walk(node, above):
+            for x in node[1]:
+                if isinstance(x, str):
+                    yield above, x
+                else:
+                    yield from walk(x, (*above, x[0]))
+
+        return list(walk(self.root, ()))
+
+    def shapes(self):
+        def walk(node, above):
+            if any(not isinstance(x, str) for x in node[1]):
+                yield above, tuple(x[0] for x in node[1] if not isinstance(x, str))
+            for x in node[1]:
+                if not isinstance(x, str):
+                    yield from walk(x, (*above, x[0]))
+
+        return {at: shape for at, shape in walk(self.root, ()) if at}
+
+
+def texts_by_definition(pages):
+    """(page_id, text) of pages (page_id, host, html) by entropies counted page by page."""
+    hosts, out = defaultdict(list), {}
+    for page_id, host, page in pages:
+        hosts[host].append((page_id, Tree(page)))
+    for trees in hosts.values():
+        distinct = {tuple(t for _, t in tree.leaves()): tree for _, tree in trees}.values()
+        said, shapes, seen = defaultdict(Counter), defaultdict(Counter), Counter()
+        for tree in distinct:
+            texts = {(at[:i], text) for at, text in tree.leaves() for i in range(1, len(at) + 1)}
+            for node, text in texts:
+                said[node][text] += 1
+            for node in {node for node, _ in texts}:
+                seen[node] += 1
+            for node, shape in tree.shapes().items():
+                shapes[node][shape] += 1
+
+        def importance(node):
+            m = seen[node]
+            if m < 2:
+                return 1.0
+            total = sum(said[node].values())
+            # a text on n pages is spread evenly over them: its entropy is log n
+            content = sum(n * (1 - math.log(n) / math.log(m)) for n in said[node].values()) / total
+            all_ = sum(shapes[node].values())
+            shape = -sum(n / all_ * math.log(n / all_) for n in shapes[node].values()) / math.log(m) if all_ else 0.0
+            return 0.9 * content + 0.1 * shape
+
+        noisy = {node for node in seen if (seen[node] * importance(node) + 2) / (seen[node] + 2) < 0.3}
+        for page_id, tree in trees:
+            leaves = [(at, text) for at, text in tree.leaves() if at[0] != "nav"]
+            if inside := [(at, text) for at, text in leaves if at[0] == "article"]:
+                leaves = inside
+            below = lambda at: at[1:] if at[0] == "article" else at
+            kept = [text for at, text in leaves if not any(at[: len(at) - len(below(at)) + i] in noisy for i in range(1, len(below(at)) + 1))]
+            out[page_id] = "\n".join(kept or [text for _, text in leaves])
+    return out
+
+
+def test_extraction_against_entropies_by_definition(spark):
+    rng, made = random.Random(12), []
+    for host, size in (("a.org", 40), ("b.org", 12), ("c.org", 5), ("d.org", 3), ("e.org", 1)):
+        strips = [f"strip {i} of {host}" for i in range(4)]
+        for i in range(size):
+            body = "".join(f"<p>{rng.random()} {host}</p>" for _ in range(rng.randrange(1, 4)))
+            notes = "".join(f'<div class="n{k}"><p>{rng.choice(strips) if k else strips[0]}</p></div>' for k in range(rng.randrange(1, 4)))
+            page = f'<nav><p>{rng.random()}</p></nav><div class="top"><p>{strips[1]}</p></div>'
+            page += f"<article>{notes}{body}</article>" if rng.random() < 0.5 else f'<div class="body">{body}</div>{notes}'
+            made.append((host, page))
+    made += [made[0]] * 30 + [made[45]] * 3
+    made = [(i, *x) for i, x in enumerate(made)]
+    want = texts_by_definition(made)
+    table = spark.createDataFrame([(i, f"http://{h}/{i}", p, "clash", "clash") for i, h, p in made], "page_id long, url string, html string, host_ string, noisy_ string")
+    plain = {i: style_tree.main_text(p) for i, _, p in made}
+    assert sum(plain[i] != want[i] for i in want) > 20  # the trees decide
+    for bound in (1 << 17, 0):
+        assert {r.page_id: r.text for r in style_tree.extract(table, bound).collect()} == want
+
+
 # -- the whole --------------------------------------------------------------------------------------------------------------------
 
 
@@ -393,3 +567,42 @@ def test_pipeline_stages(spark):
     assert 0 < second.count() < first.count()
     mixed, packed = seen["lexical_packing"]
     assert packed.selectExpr("sum(length)").first()[0] == sum(len(ids_of(tokenize.BYTE_BPE, r.text)) + 1 for r in mixed.collect())
+
+
+def test_pipeline_stages_on_empty_tables_and_clashing_names(spark):
+    import corpus_pipeline
+
+    nothing = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = docs(spark).selectExpr("doc_id", "text", "source", "n_chars", "1 as copies", "'x' as node", "'y' as kept", "2L as fp_", "3 as size", "'z' as row_")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, "").count() == 0, name
+        if name != "lexical_packing":
+            assert stage(spark, nothing, "").columns == nothing.columns
+            clashing_out = stage(spark, clashing, "")
+            assert clashing_out.columns == clashing.columns, name
+            assert 0 < clashing_out.count() <= 3 * clashing.count()
+
+
+def test_texts_longer_than_every_chunk(spark, monkeypatch):
+    """Texts that cross the bounds of pieces that are hashed at a time."""
+    from vocalith.llm import anchors
+
+    monkeypatch.setattr(anchors, "CHUNK", 1 << 12)
+    monkeypatch.setattr(anchors, "LONGEST", 64)
+    monkeypatch.setattr(simhash, "SLICE", 100)
+    monkeypatch.setattr(tokenize, "SLICE_BYTES", 1 << 12)
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(6000))
+    same = "z" * 9000
+    made = [(1, long), (2, "start " + long[5000:30000] + " end"), (3, same), (4, same[:400]), (5, "é" * 3000)]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    found = {r.doc_id: r for r in repeats.digest(repeats.remove_repeats(table)).collect()}
+    for doc_id, data, mask in removed(made):
+        assert found[doc_id].n_removed == int(mask.sum())
+        assert found[doc_id].kept_sha256 == hashlib.sha256(np.frombuffer(data, np.uint8)[~mask].tobytes()).hexdigest()
+    for _, text in made:
+        w = text.lower().encode().split()
+        grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        assert simhash.fingerprint(text.encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert tokenize.tokenizer(tokenize.BYTE_BPE).ids(text.encode()).tolist() == ids_of(tokenize.BYTE_BPE, text)
