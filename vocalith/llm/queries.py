@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import language_model, media, mixing, packing, quality, repeats, simhash, style_tree, token_files, urls
+from vocalith.llm import language_model, media, mixing, negatives, packing, partenum, quality, repeats, simhash, spellings, style_tree, token_files, urls
 from vocalith.llm.common import stored, table
 
 
@@ -60,8 +60,21 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_style_tree_text, op3_lexical_packing, op4_media_columns, op5_suffix_repeats, op6_simhash_pivots, op7_token_files, op8_mix_sources, op9_url_filter, op10_interpolated_lm,
+    op11_spelling_variants, op12_partenum_jaccard, op13_hard_negatives,
 )}
 
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))
