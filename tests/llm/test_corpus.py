@@ -295,14 +295,13 @@ def test_rows_without_an_id_of_their_own_are_deduplicated_by_text(spark):
     assert sorted(r.text for r in simhash.deduplicate(one).collect()) == sorted(texts[:2])
 
 
-@pytest.mark.parametrize(("small", "part"), [(16, 2048), (2, 2048), (2, 5)])
-def test_the_pipeline_finds_all_near_copies(spark, monkeypatch, small, part):
+@pytest.mark.parametrize("part", [4096, 5])
+def test_the_pipeline_finds_all_near_copies(spark, monkeypatch, part):
     import corpus_pipeline
 
-    from vocalith.llm import near_copies
+    from vocalith.llm import set_links
 
-    monkeypatch.setattr(near_copies, "SMALL", small)
-    monkeypatch.setattr(near_copies, "PART", part)
+    monkeypatch.setattr(set_links, "PART", part)
     rng, made = random.Random(11), []
     for g in range(8):
         base = [f"w{g}x{rng.randrange(400)}" for _ in range(120)]
