@@ -44,6 +44,55 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames).distinct()
 
 
+def binary_intersections(member: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((left, right, both), (child, parent)): intersections as steps of two, and what the last step of each is below.
+
+    member: d, x. Members are ordered by how few concepts are told to be below them, the rarest first, and each prefix of two
+    or more is one auxiliary concept, which intersections with the same prefix share.
+    """
+    times = told.groupBy(F.col("parent").alias("d")).agg(F.count(F.lit(1)).alias("times"))
+    ranked = member.join(times, "d", "left").groupBy("x").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "d"))).alias("all"))
+    listed = ranked.select("x", F.transform("all", lambda m: m["d"]).alias("m"))
+    # numbers that no expression has, since their text isn't one
+    prefix = lambda n: F.when(n == 1, F.get("m", F.lit(0))).otherwise(-F.abs(F.xxhash64(F.lit("all of"), F.slice("m", F.lit(1), n))) - 2)
+    steps = listed.filter(F.size("m") > 1).select("m", F.explode(F.sequence(F.lit(2), F.size("m"))).alias("k"))
+    pairs = steps.select(prefix(F.col("k") - 1).alias("left"), F.get("m", F.col("k") - 1).alias("right"), prefix(F.col("k")).alias("both")).distinct()
+    return pairs, listed.select(prefix(F.size("m")).alias("child"), F.col("x").alias("parent"))
+
+
+class Intersections:
+    """What a concept is below because it is below both sides of a step.
+
+    Of a pair of a new side and the sides that could complete it, the fewer are tried: the steps that have the new side, or the
+    sides that the concept is below. So a side that thousands of steps have costs a concept no more than the sides it has itself.
+    """
+
+    def __init__(self, pairs: DataFrame):
+        self.pairs = pairs
+        count = lambda side: pairs.groupBy(F.col(side).alias("d")).agg(F.count(F.lit(1)).alias(f"{side}s"))
+        self.sides = stored(count("left").join(count("right"), "d", "full_outer"), "sides")
+        self.known: DataFrame | None = None
+
+    def whole(self, new_sub: DataFrame) -> DataFrame:
+        """(c, d) that follow from new subsumption (c, d) and what was told before."""
+        new = stored(new_sub.join(self.sides, "d"), "new-sides")
+        self.known = known = new if self.known is None else self.known.unionByName(new)
+        had = known.join(new.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.count("lefts").alias("has_left"), F.count("rights").alias("has_right"))
+        ahead = stored(new.join(had, "c"), "new-sides")
+        by_step, by_side = [], []
+        for mine, other in (("left", "right"), ("right", "left")):
+            here = ahead.filter(f"{mine}s is not null").select("c", F.col("d").alias(mine), (F.col(f"{mine}s") <= F.col(f"has_{other}")).alias("few"))
+            by_step.append(here.filter("few").join(self.pairs, mine).select("c", F.col(other).alias("d"), "both"))
+            theirs = known.filter(f"{other}s is not null").select("c", F.col("d").alias(other))
+            by_side.append(here.filter("not few").join(theirs, "c").select("c", "left", "right"))
+        steps = reduce(DataFrame.unionByName, by_step).join(known.select("c", "d"), ["c", "d"], "left_semi").select("c", "both")
+        sides = reduce(DataFrame.unionByName, by_side).join(self.pairs, ["left", "right"]).select("c", "both")
+        return steps.unionByName(sides).select("c", F.col("both").alias("d"))
+
+    def merge(self) -> None:
+        self.known = stored(self.known, "sides")
+
+
 def saturate(rules: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(child, ancestor): strict subsumption among named concepts, and under BOTTOM those that nothing can be.
 
@@ -52,9 +101,11 @@ def saturate(rules: DataFrame, max_rounds: int = 200) -> DataFrame:
     rules = stored(_with_bottom(rules), "rules")
     pick = lambda rule, *names: rules.filter(F.col("rule") == rule).select(*[F.col(c).alias(n) for c, n in zip("abcn", names, strict=False) if n])
     exists = pick("exists", "x", "role", "filler")
-    member = pick("member", "d", "x", None, "need")
+    member = pick("member", "d", "x")
     chain = pick("chain", "first", "second", "whole")
-    told = graph.closure(pick("told", "child", "parent"))
+    pairs, heads = binary_intersections(member, pick("told", "child", "parent"))
+    whole = Intersections(stored(pairs, "steps"))
+    told = graph.closure(pick("told", "child", "parent").unionByName(heads))
     told = told.select(F.col("child").alias("d"), F.col("ancestor").alias("e"))
     role_edges = pick("role", "child", "parent")
     roles = _union([
@@ -95,11 +146,7 @@ def saturate(rules: DataFrame, max_rounds: int = 200) -> DataFrame:
         # existentials above: a filler that is, newly or by a new link, subsumed by the filler of one
         step = lambda s: s.join(triggers, "d").select(F.col("c").alias("filler"), "role", "x")
         up = [_meet(step(sub), new_link), _meet(step(new_sub), all_link)]
-        # intersections with a new member, counted again
-        touched = new_sub.join(member, "d").select("c", "x", "need").distinct()
-        parts = touched.join(member.select("x", "d"), "x").join(sub, ["c", "d"], "left_semi")
-        whole = parts.groupBy("c", "x", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need").select("c", F.col("x").alias("d"))
-        derived = _union([*up, whole])
+        derived = _union([*up, whole.whole(new_sub)])
         derived = _union([derived, derived.join(told, "d").select("c", F.col("e").alias("d"))])
         link = all_link
         new_sub = stored(derived.join(sub, ["c", "d"], "left_anti"), "sub")
@@ -108,6 +155,7 @@ def saturate(rules: DataFrame, max_rounds: int = 200) -> DataFrame:
         sub = sub.unionByName(new_sub)
         if number % graph.MERGED == graph.MERGED - 1:
             sub, link = stored(sub, "sub"), stored(link, "link")
+            whole.merge()
     raise RuntimeError("classification has not settled")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from vocalith.sources.shared import discard, stored
 
 #: Rounds after which the tables of an iteration become one, so that a plan doesn't grow with their number.
 MERGED = 4
+#: Direct parents that are found one for each round, before the rest of a node's are compared with each other.
+ROUNDS = 4
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -62,16 +66,31 @@ def descendants(edges: DataFrame, roots: DataFrame, max_depth: int | None = None
 def direct_parents(pairs: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """(child, parent) of a strict closure (child, ancestor) without those that another pair implies.
 
+    Of a node's ancestors the deepest, which has most ancestors of its own, is a direct parent, and what is above it is none;
+    of those left the deepest is the next, and so on.  So a round asks one question for each pair that is left, whether the
+    deepest is below, and the closure is never joined with itself.  After ROUNDS rounds the few nodes with more parents
+    compare what is left of theirs with each other.
+
     told: edges (child, parent) among which all direct ones are, if such are known; only these are tried then.
     """
-    candidates = pairs if told is None else told.select("child", F.col("parent").alias("ancestor")).filter("child <> ancestor").distinct()
-    first = pairs.select("child", F.col("ancestor").alias("mid"))
-    second = pairs.select(F.col("child").alias("mid"), "ancestor")
-    if told is None:
-        implied = first.join(second, "mid").select("child", "ancestor").distinct()
-    else:
-        implied = candidates.join(first, "child").join(second, ["mid", "ancestor"], "left_semi").select("child", "ancestor").distinct()
-    return candidates.join(implied, ["child", "ancestor"], "left_anti").select("child", F.col("ancestor").alias("parent"))
+    pairs = pairs.select("child", "ancestor")
+    left = pairs if told is None else told.select("child", F.col("parent").alias("ancestor")).filter("child <> ancestor").distinct()
+    depth = pairs.groupBy(F.col("child").alias("ancestor")).agg(F.count(F.lit(1)).alias("depth"))
+    left = stored(left.join(depth, "ancestor", "left").select("child", "ancestor", F.coalesce("depth", F.lit(0)).alias("depth")), "left")
+    above = pairs.select(F.col("child").alias("deepest"), "ancestor")
+    found = []
+    for _ in range(ROUNDS):
+        deepest = left.groupBy("child").agg(F.max_by("ancestor", F.struct("depth", "ancestor")).alias("deepest"))
+        marked = left.join(deepest, "child")
+        found.append(stored(deepest.select("child", F.col("deepest").alias("parent")), "parents"))
+        rest = marked.filter("ancestor <> deepest").join(above, ["deepest", "ancestor"], "left_anti").select("child", "ancestor", "depth")
+        left = stored(rest, "left")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+    implied = left.join(left.select("child", F.col("ancestor").alias("deepest"), F.col("depth").alias("below")), "child").filter("below > depth")
+    implied = implied.join(above, ["deepest", "ancestor"], "left_semi").select("child", "ancestor").distinct()
+    last = left.join(implied, ["child", "ancestor"], "left_anti").select("child", F.col("ancestor").alias("parent"))
+    return reduce(DataFrame.unionByName, [*found, last])
 
 
 def levels(edges: DataFrame) -> DataFrame:
