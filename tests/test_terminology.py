@@ -48,8 +48,6 @@ def test_states(spark):
     new = spark.createDataFrame([(1, 5, True), (3, 1, False)], "id long, t int, active boolean")
     assert pairs(state.latest_state(old, ["id"], [F.col("t")]), "id", "active") == {(1, False), (2, True)}
     assert pairs(state.overlay(old, new, ["id"], [F.col("t")]), "id", "t", "active") == {(1, 5, True), (2, 10, True), (3, 1, False)}
-    rows = spark.createDataFrame([("20200101",), ("",), (None,)], "t string")
-    assert [r[0] for r in rows.select(state.effective_time("t", 7)).collect()] == [20200101, 7, 7]
 
 
 def test_changes_follow_the_protocol(spark):

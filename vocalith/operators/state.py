@@ -11,11 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def last_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """keys, last_: the last version of each key by `order`, as a struct of all other columns. Of a stream, too."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last_"))
+
+
+def unpacked(last: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return last.select(*[F.col(c) if c in keys else F.col(f"last_.`{c}`").alias(c) for c in columns])
+
+
 def latest_state(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The last version of each key by `order`. max_by combines before the shuffle, so no key's history is sorted."""
-    rest = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last_"))
-    return last.select(*keys, *[F.col(f"last_.`{c}`").alias(c) for c in rest]).select(rows.columns)
+    return unpacked(last_of(rows, keys, order), rows.columns, keys)
 
 
 def overlay(snapshot: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -24,11 +32,6 @@ def overlay(snapshot: DataFrame, delta: DataFrame, keys: Sequence[str], order: S
     return latest_state(both, keys, [F.col("source_rank"), *order])
 
 
-def effective_time(column: str, today: int) -> Column:
-    """yyyyMMdd as int; blank is the day of the load, which the caller states."""
-    return F.coalesce(F.expr(f"try_cast(nullif(trim({column}), '') as int)"), F.lit(today))
-
-
 def orphans(rows: DataFrame, owner: str, owners: DataFrame, key: str) -> DataFrame:
     """Owners that rows name and that don't exist."""
     named = rows.select(F.col(owner).alias(key)).distinct()
