@@ -35,7 +35,7 @@ def parsed(args: list[str]) -> argparse.Namespace:
     p.add_argument("--without-annotations", action="store_true")
     p.add_argument("--reasoner", default="el", choices=sorted(services.REASONERS))
     p.add_argument("--concepts", help="a file of concept ids, one on each line, to extract")
-    p.add_argument("--zip", action="store_true", help="one zip file of a classification's results, not folders")
+    p.add_argument("--zip", action="store_true", help="one zip file of a classification's results or of an extract, not folders")
     p.add_argument("--out", default="results")
     a = p.parse_args(args)
     if a.delta and len(a.delta) != 1:
@@ -69,7 +69,8 @@ def main(args: list[str]) -> None:
         sinks.write_lines(services.reconcile(spark, a.snapshot[0], delta, a.snapshot[1]), f"{a.out}/axioms", sinks.AXIOM, ["component", "row"])
     elif a.mode == "rf2-extract":
         ids = spark.read.text(a.concepts).select(F.trim("value").try_cast("long").alias("id")).filter("id is not null")
-        sinks.write_extract(services.extract(spark, a.snapshot, ids), a.out)
+        parts = services.extract(spark, a.snapshot, ids)
+        sinks.write_extract_archive(parts, a.out) if a.zip else sinks.write_extract(parts, a.out)
     else:
         sinks.write_lines(services.axioms_to_stated(spark, a.snapshot, delta), a.out, sinks.DELTA, ["sourceId", "grp", "place"])
 

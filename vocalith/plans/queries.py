@@ -10,8 +10,9 @@ from vocalith.operators import classify, diff, graph, groups, normal_form, state
 from vocalith.plans import ontology, services
 from vocalith.plans import tables as t
 from vocalith.plans.tables import is_a, table
-from vocalith.schema import CORE_MODULE, DEFAULT_UNGROUPED, EXISTENTIAL, IS_A, MODEL_ATTRIBUTE, OBJECT_ATTRIBUTE, STATED
-from vocalith.sources.releases import Release
+from vocalith.schema import CORE_MODULE, DEFAULT_UNGROUPED, DEFINED, EXISTENTIAL, INFERRED, IS_A, MODEL_ATTRIBUTE, OBJECT_ATTRIBUTE, PRIMITIVE, STATED
+from vocalith.sources.archives import write_entries
+from vocalith.sources.releases import Release, read_raw
 from vocalith.sources.shared import fresh_path, stored
 from vocalith.streaming import overlay
 
@@ -41,10 +42,8 @@ def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, top = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), fresh_path(spark, "stream")
     rows.repartitionByRange(4, "event_id").write.parquet(f"{top}/feed")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/feed")
-    query = overlay.apply_deltas(stream, f"{top}/states", ["user_id"], ["ts", "event_id"], f"{top}/checkpoint")
-    query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    return spark.read.schema(stream.schema).parquet(f"{top}/states/{last}").select("user_id", "event_id", "event_type", "value")
+    overlay.apply_deltas(stream, f"{top}/changes", ["user_id"], ["ts", "event_id"], f"{top}/checkpoint").awaitTermination()
+    return overlay.states(spark, f"{top}/checkpoint", stream.columns, ["user_id"]).select("user_id", "event_id", "event_type", "value")
 
 
 def snapshot_delta_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,6 +286,23 @@ def concept_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(orders, "l_orderkey", "left_semi").select("l_orderkey", "l_partkey", F.col("l_linenumber").cast(long).alias("l_linenumber"))
 
 
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as concepts and lines as relationships, written as entries of one archive and read as a release."""
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    concept = values.file_row([_long("p_partkey", t.PART), F.lit(20200101), F.lit(1), F.lit(CORE_MODULE), F.when(F.col("p_size") >= 25, DEFINED).otherwise(PRIMITIVE)])
+    number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    edge = values.file_row([
+        number, F.lit(20200101), (F.col("l_linestatus") == "O").cast("int"), F.lit(CORE_MODULE), _long("l_orderkey", t.ORDER), _long("l_partkey", t.PART), F.col("l_linenumber"),
+        _long("l_suppkey", t.SUPPLIER), F.lit(INFERRED), F.lit(EXISTENTIAL),
+    ])
+    of = lambda df, entry, row, key: df.select(F.lit(entry).alias("entry"), row.alias("line"), key.alias("key"))
+    rows = of(part, "Terminology/sct2_Concept_Snapshot.txt", concept, F.col("p_partkey")).unionByName(of(line, "Terminology/sct2_Relationship_Snapshot.txt", edge, number))
+    write_entries(rows, path := f"{fresh_path(spark, 'archive')}.zip", ["key", "line"])
+    raw = read_raw(spark, [path])
+    concepts = raw["concept"].select("id", "active", F.col("definitionStatusId").alias("other"), F.lit(0).cast(long).alias("grp"))
+    return concepts.unionByName(raw["relationship"].select("id", "active", F.col("destinationId").alias("other"), F.col("relationshipGroup").cast(long).alias("grp")))
+
+
 # -- axioms ------------------------------------------------------------------------------------------------------------
 
 
@@ -526,5 +542,5 @@ QUERIES = {f.__name__: f for f in (
     inherited_attributes, relationship_diff, group_zero_move, retired_id_reuse, inactivation_retirement, change_counts, class_axiom_text,
     axiom_signature, axiom_round_trip, property_flags_merge, description_annotations, acceptability_map, el_classification,
     stated_retirement_rows, reconcile_axioms, concept_extract, classification_delta, el_roles_and_chains, normal_form_attributes,
-    stable_group_numbers, generated_axioms, release_delta, streamed_states,
+    stable_group_numbers, generated_axioms, release_delta, streamed_states, archive_round_trip,
 )}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from vocalith.plans import tables as t
 from vocalith.plans.queries import CUTOFF, LOCAL, MARKET
-from vocalith.schema import DEFAULT_UNGROUPED, IS_A, MODEL_ATTRIBUTE, OBJECT_ATTRIBUTE, ROLE_GROUP
+from vocalith.schema import DEFAULT_UNGROUPED, DEFINED, IS_A, MODEL_ATTRIBUTE, OBJECT_ATTRIBUTE, PRIMITIVE, ROLE_GROUP
 
 _EDGES = f"""e(child, parent) AS (
   SELECT n_nationkey + {t.NATION}, n_regionkey + {t.REGION} FROM nation
@@ -114,6 +114,9 @@ SELECT node::BIGINT AS concept_id, attribute FROM o UNION SELECT x.child::BIGINT
     "relationship_diff": f'WITH {_DIFF} SELECT action, id, s AS source_id, typ AS "typeId", d AS destination_id, v AS value, g AS grp FROM delta',
     "group_zero_move": f"WITH {_DIFF} SELECT id, s AS source_id, g AS new_group FROM delta WHERE action = 'move'",
     "change_counts": f"WITH {_DIFF} SELECT action, count(*)::BIGINT AS n FROM delta GROUP BY action",
+    "archive_round_trip": f"""
+SELECT p_partkey + {t.PART} AS id, true AS active, (CASE WHEN p_size >= 25 THEN {DEFINED} ELSE {PRIMITIVE} END)::BIGINT AS other, 0::BIGINT AS grp FROM part
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_linestatus = 'O', l_partkey + {t.PART}, l_linenumber::BIGINT FROM lineitem""",
     "retired_id_reuse": """
 WITH p AS (SELECT o_custkey, o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F')
 SELECT o.o_orderkey, o.o_custkey, p.o_orderkey AS reused_id FROM orders o LEFT JOIN p ON p.r = 1 AND p.o_custkey = o.o_custkey AND p.o_orderpriority = o.o_orderpriority WHERE o.o_orderstatus = 'O'""",

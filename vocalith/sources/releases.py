@@ -1,8 +1,8 @@
 """Release archives as DataFrames: folders or zip files of tab-separated rows, snapshots and an optional delta.
 
 Folders are read by Spark's text source, which opens the files of a kind by their names and splits them like any text.
-A zip file is one task and goes to a table once, so unpack large releases.  Only line feeds end a line.  Rows are typed
-by position, comment and header lines go.
+The entries of a zip file are partitions (archives); only those of the kind are inflated.  Only line feeds end a line.  Rows are
+typed by position, comment and header lines go.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from vocalith import schema
 from vocalith.operators import state
 from vocalith.schema import ADDITIONAL, FILES, HEADER_ROW, IS_A, NAMESPACE_ROW, PROFILES, UNIVERSAL
-from vocalith.sources.shared import stored
+from vocalith.sources.archives import archive_lines
 
 
 def named(kind: str) -> str:
@@ -33,34 +33,6 @@ def folder_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select(F.regexp_replace("value", "\r$", "").alias("line"))
 
 
-def zip_lines(spark: SparkSession, path: str, kinds: Sequence[str]) -> DataFrame:
-    """(kind, line) of a zip file: a stored table, dealt by kind, so that the archive is inflated once. An entry streams."""
-    patterns = {k: FILES[k][0] for k in kinds}
-
-    def unzip(batches):
-        import io
-        import re
-        import zipfile
-        from itertools import islice
-
-        import pandas as pd
-
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        kind = next((k for k, p in patterns.items() if re.match(p, name.rpartition("/")[2])), None)
-                        if kind is None:
-                            continue
-                        with z.open(name) as f:
-                            rows = (x.rstrip(b"\n").removesuffix(b"\r").decode() for x in f)
-                            while some := list(islice(rows, 50_000)):
-                                yield pd.DataFrame({"kind": kind, "line": some})
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "kind string, line string")
-    return stored(rows, "archive", "kind")
-
-
 def typed(rows: DataFrame, kind: str) -> DataFrame:
     """Rows of one kind of file (line) with typed columns; blank is null, and active only "1"."""
     cells = F.split("line", "\t", -1)
@@ -78,8 +50,7 @@ def read_raw(spark: SparkSession, paths: Sequence[str], profile: str = "base") -
     kinds = PROFILES[profile]
     if not paths:
         return {k: spark.createDataFrame([], schema.struct(k)) for k in kinds}
-    zips = {p: zip_lines(spark, p, kinds) for p in paths if p.endswith(".zip")}
-    of = lambda p, k: zips[p].filter(F.col("kind") == k).select("line") if p in zips else folder_lines(spark, p, k)
+    of = lambda p, k: archive_lines(spark, p, {k: FILES[k][0]}).select("line") if p.endswith(".zip") else folder_lines(spark, p, k)
     return {k: typed(reduce(DataFrame.unionByName, [of(p, k) for p in paths]), k) for k in kinds}
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from vocalith import schema
 from vocalith.functions.values import file_row
-from vocalith.schema import EXISTENTIAL, INFERRED
+from vocalith.schema import EXISTENTIAL, FILES, INFERRED
+from vocalith.sources.archives import write_entries
 
 #: Columns of the three files of a classification's results.
 DELTA = ["id", "effectiveTime", "active", "moduleId", "sourceId", "destinationId", "relationshipGroup", "typeId", "characteristicTypeId", "modifierId"]
@@ -66,23 +66,36 @@ def write_results(result, path: str) -> None:
 
 
 def write_archive(result, path: str, day: date | None = None) -> None:
-    """The three files as entries of one zip file on the driver's disk, named by the day.
-
-    A zip file is one stream: rows come to the driver a partition at a time and go out at once.
-    """
+    """The three files of a classification as entries of one zip file, named by the day."""
     day = f"{day or date.today():%Y%m%d}"
-    ordered = lambda df: df.orderBy(F.col("active") == "0", "sourceId", "row")
-    entries = (
-        (f"RF2/sct2_Relationship_Delta_Classification_{day}.txt", DELTA, ordered(relationship_rows(result.delta))),
-        (f"RF2/sct2_RelationshipConcreteValues_Delta_Classification_{day}.txt", CONCRETE_DELTA, ordered(relationship_rows(result.delta, concrete=True))),
-        (f"RF2/der2_sRefset_EquivalentConceptSimpleMapDelta_Classification_{day}.txt", EQUIVALENTS, equivalent_rows(result.equivalents).orderBy("set_id", "row")),
+    head = lambda name, columns: (name, "\t".join(columns), -1)
+    names = [
+        f"RF2/{n}_{day}.txt"
+        for n in ("sct2_Relationship_Delta_Classification", "sct2_RelationshipConcreteValues_Delta_Classification", "der2_sRefset_EquivalentConceptSimpleMapDelta_Classification")
+    ]
+    heads = result.delta.sparkSession.createDataFrame([head(n, c) for n, c in zip(names, (DELTA, CONCRETE_DELTA, EQUIVALENTS), strict=True)], "entry string, line string, first_ int")
+    of = lambda df, name, first, key: df.select(F.lit(name).alias("entry"), F.col("row").alias("line"), first.alias("first_"), F.col(key).alias("key_"))
+    retired = (F.col("active") == "0").cast("int")
+    rows = (
+        of(relationship_rows(result.delta), names[0], retired, "sourceId")
+        .unionByName(of(relationship_rows(result.delta, concrete=True), names[1], retired, "sourceId"))
+        .unionByName(of(equivalent_rows(result.equivalents), names[2], F.lit(0), "set_id"))
     )
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, columns, rows in entries:
-            with z.open(name, "w") as f:
-                f.write("\t".join(columns).encode() + b"\n")
-                for r in rows.select("row").toLocalIterator():
-                    f.write(r.row.encode() + b"\n")
+    write_entries(rows.unionByName(heads.withColumn("key_", F.lit(None).cast("long"))), path, ["first_", "key_", "line"])
+
+
+def write_extract_archive(parts: dict[str, DataFrame], path: str, day: date | None = None) -> None:
+    """The raw rows of services.extract as entries of one zip file, with headers."""
+    day, made = f"{day or date.today():%Y%m%d}", None
+    for kind, rows in parts.items():
+        names = schema.columns(kind)
+        cells = [F.when(F.col(n), "1").otherwise("0") if n == "active" else F.col(n) for n in names]
+        entry = F.lit(f"{FILES[kind][0].replace('(', '').split('|')[0].rstrip('_')}_Snapshot_{day}.txt")
+        body = rows.select(entry.alias("entry"), file_row(cells).alias("line"), F.lit(0).alias("first_"), F.col("id").cast("string").alias("key_"))
+        head = rows.sparkSession.createDataFrame([("\t".join(names), -1)], "line string, first_ int").select(entry.alias("entry"), "line", "first_", F.lit(None).cast("string").alias("key_"))
+        both = head.unionByName(body)
+        made = both if made is None else made.unionByName(both)
+    write_entries(made, path, ["first_", "key_", "line"])
 
 
 def write_extract(parts: dict[str, DataFrame], path: str) -> None:
@@ -94,7 +107,11 @@ def write_extract(parts: dict[str, DataFrame], path: str) -> None:
 
 
 def write_document(document: DataFrame, path: str) -> None:
-    document.orderBy("place").select("line").write.mode("overwrite").text(path)
+    """The document's lines in order: one file if the path ends in .owl or .ofn, else a folder of text files."""
+    if path.endswith((".owl", ".ofn")):
+        write_entries(document.select(F.lit("").alias("entry"), "line", "place"), path, ["place"], packed=False)
+    else:
+        document.orderBy("place").select("line").write.mode("overwrite").text(path)
 
 
 def dialects(spark: SparkSession, path: str) -> dict[int, str]:
