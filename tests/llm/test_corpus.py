@@ -368,6 +368,49 @@ def test_scores_against_plain_counts(spark, small_batches, monkeypatch):
     assert language_model.score(empty(spark)).count() == 0
 
 
+def test_held_out_texts_change_no_other_score(spark, small_batches):
+    made = [(i, " ".join(t.split()[:3000]) if t else t) for i, t, *_ in rows() if i is not None]
+    held = {i for i, _ in made if language_model.held_out(i)}
+    assert held
+    score = lambda some: {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    one, other = score(made), score([(i, "zzz qqq" if i in held else t) for i, t in made])
+    assert {i for i in one if not math.isclose(one[i], other[i])} <= held
+    assert any(not math.isclose(one[i], other[i]) for i in held)
+
+
+def test_weights_are_those_of_counts_without_the_tuning_documents(spark, small_batches, monkeypatch):
+    kept, learn = {}, language_model.learn_weights
+    monkeypatch.setattr(language_model, "learn_weights", lambda h, n, v: kept.setdefault("all", (h, learn(h, n, v), n, v))[1])
+    rng = random.Random(8)
+    made = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xy") * (rng.random() < 0.1) for _ in range(40))) for i in range(60)]
+    language_model.score(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    histogram, weights, n, v = kept["all"]
+    tokens = {i: [*t.encode().split(), b" end"] for i, t in made}
+    pairs = lambda t: zip([b" end", *t[:-1]], t, strict=True)
+    train = [i for i in tokens if not language_model.held_out(i)]
+    one, two, want = Counter(x for i in train for x in tokens[i]), Counter(p for i in train for p in pairs(tokens[i])), Counter()
+    none, step = -(1 << 20), language_model.STEPS
+    tuned = [i for i in train if language_model.fold(i) == language_model.TUNING]
+    for i in tuned:
+        ones, twos = one - Counter(tokens[i]), two - Counter(pairs(tokens[i]))
+        for u, x in pairs(tokens[i]):
+            bucket = min(1 + int(math.log2(ones[u])), language_model.BUCKETS - 1) if ones[u] else 0
+            want[bucket, round(step * math.log2(twos[u, x] / ones[u])) if twos[u, x] else none, round(step * math.log2(ones[x])) if ones[x] else none] += 1
+    assert tuned
+    assert {tuple(h[:3]): h[3] for h in histogram.tolist()} == want
+    # plain expectation-maximisation of one bucket on the same rounded ratios
+    bucket = max({b for b, *_ in want}, key=lambda b: sum(c for k, c in want.items() if k[0] == b))
+    w = [1 / 3] * 3
+    for _ in range(language_model.ITERATIONS):
+        share = [1.0] * 3
+        for (b, pair, word), c in want.items():
+            if b == bucket:
+                p = [w[0] * (2 ** (pair / step) if pair != none else 0), w[1] * (2 ** (word / step) / n if word != none else 0), w[2] / (v + 1)]
+                share = [s + c * x / sum(p) for s, x in zip(share, p, strict=True)]
+        w = [s / sum(share) for s in share]
+    assert np.allclose(weights[bucket], w)
+
+
 def test_weights_sum_to_one_and_leave_room_for_the_unknown():
     histogram = np.array([[3, -4, 20, 50], [3, -(1 << 20), 8, 10], [5, -(1 << 20), -(1 << 20), 7]], np.int64)
     w = language_model.learn_weights(histogram, 1000, 200)

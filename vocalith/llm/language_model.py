@@ -3,10 +3,12 @@
     P(w | u) = a * c(u w) / c(u) + b * c(w) / N + d / (V + 1)
 
 The weights (a, b, d) belong to buckets of the context's frequency c(u), by powers of two, and are learned by
-expectation-maximisation on the documents that are held out: one pass counts their tokens by bucket and by the two
-ratios in quarter octaves, a table whose size doesn't depend on the input, and the iterations run on that table.
+expectation-maximisation on counts that are deleted from training: each tuning document, those of one remainder of the
+training documents' hash, is predicted from the counts of all other training documents.  One pass counts their tokens by bucket
+and by the two ratios in quarter octaves, a table whose size doesn't depend on the input, and the iterations run on that table.
+Documents that are held out for the test, those of another remainder, are only scored.
 
-Counts cover all training documents.  A batch of documents asks once for each distinct word, then for each distinct
+Counts cover all training documents, tuning ones too.  A batch of documents asks once for each distinct word, then for each distinct
 pair, unless only held-out documents have it here and no other batch trains on its word or its context.  Scores are sums over whole texts.
 
 Cases: a null, empty or blank text is its end token; without training documents every token is unknown, with
@@ -25,20 +27,24 @@ from pyspark.sql import functions as F
 from vocalith.llm.batches import batched, bucket_bits, by_bucket, by_buckets, pack_keys, size_of, texts_of, unpack, unpack_keys
 from vocalith.llm.common import stored
 
-FOLDS, HELD_OUT = 7, 2
+FOLDS, HELD_OUT, TUNING = 7, 2, 3
 #: Names that no word can have: words have no spaces.
 END, START = b" end", b" start"
 BUCKETS = 32
 STEPS = 4
 ITERATIONS = 60
-ASK = "bucket int, batch int, kind int, keys binary, counts binary, held binary, contexts binary, words binary"
+ASK = "bucket int, batch int, kind int, keys binary, counts binary, many binary, tuning binary, contexts binary, words binary"
 ANSWER = "batch int, kind int, bucket int, blob binary"
 QUESTION, EARLIER, HISTOGRAM, TOTALS = range(4)
 NOWHERE = -1
 
 
+def fold(doc_id) -> int:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
+
+
 def held_out(doc_id) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
+    return fold(doc_id) == HELD_OUT
 
 
 def pack_counts(x: np.ndarray) -> bytes:
@@ -61,7 +67,7 @@ def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """Tokens of a batch: distinct words, distinct pairs, and their counts in its training and held-out documents."""
+    """Tokens of a batch: distinct words and pairs, their counts in its training documents, and in each tuning document."""
 
     def __init__(self, group):
         import xxhash
@@ -69,7 +75,8 @@ class Batch:
         digest = xxhash.xxh64_intdigest
         self.rows = unpack(group)
         self.ids = self.rows.column("doc_id").to_pylist()
-        self.held = np.array([held_out(i) for i in self.ids], bool)
+        folds = np.array([fold(i) for i in self.ids], np.int64)
+        self.held = folds == HELD_OUT
         hashes, sizes = [], []
         end = np.array([digest(END)], np.uint64)
         for text in texts_of(self.rows):
@@ -83,7 +90,7 @@ class Batch:
         context[1:] = token[:-1]
         first = np.cumsum(self.size) - self.size
         context[first] = digest(START)
-        train = ~self.held[self.doc]
+        train, tuning = ~self.held[self.doc], (folds == TUNING)[self.doc]
         self.words, self.word = np.unique(token, return_inverse=True)
         self.word_count = np.bincount(self.word[train], minlength=len(self.words))
         # the start is a context as often as the end is a word
@@ -94,7 +101,13 @@ class Batch:
         self.pairs, at, self.pair = np.unique(pair_keys(context, token), return_index=True, return_inverse=True)
         self.pair_word, self.pair_context = self.word[at], self.context[at]
         self.pair_count = np.bincount(self.pair[train], minlength=len(self.pairs))
-        self.pair_held = np.bincount(self.pair[~train], minlength=len(self.pairs))
+        # by pair, then document: what each tuning document has of a pair, of its context and of its word
+        docs, doc = len(sizes), self.doc[tuning]
+        of_pair, self.tuned_count = np.unique(self.pair[tuning] * docs + doc, return_counts=True)
+        of_word, times = np.unique(self.word[tuning] * docs + doc, return_counts=True)
+        self.tuned_pair, doc = of_pair // max(1, docs), of_pair % max(1, docs)
+        own = lambda word: times[np.searchsorted(of_word, word * docs + doc)] if len(doc) else times[:0]
+        self.tuned_context, self.tuned_word = own(self.pair_context[self.tuned_pair]), own(self.pair_word[self.tuned_pair])
 
     def open(self, totals: np.ndarray) -> np.ndarray:
         """Pairs to ask about: this batch trains on them, or others may, as they train on both word and context."""
@@ -118,7 +131,7 @@ def _table(rows: list, schema: str):
 def _ask_words(bits: int):
     def ask(group):
         batch, number = Batch(group), group.column("batch")[0].as_py()
-        rows = [(b, number, QUESTION, pack_keys(batch.words[p], bits), pack_counts(batch.word_count[p]), None, None, None) for b, p in by_bucket(batch.words, bits)]
+        rows = [(b, number, QUESTION, pack_keys(batch.words[p], bits), pack_counts(batch.word_count[p]), None, None, None, None) for b, p in by_bucket(batch.words, bits)]
         return _table(rows, ASK)
 
     return ask
@@ -165,31 +178,29 @@ def _counted(rows: np.ndarray, n: np.ndarray) -> bytes:
 
 
 def _ask_pairs(bits: int):
-    """Open pairs by bucket; a histogram of the held-out tokens of the others; and answers that travel along."""
+    """Open pairs by bucket, with what tuning documents have of them; and answers that travel along."""
 
     def ask(group, answered):
         kinds = answered.column("kind").to_pylist() if len(answered) else []
         blobs = answered.column("blob").to_pylist() if len(answered) else []
         buckets = answered.column("bucket").to_pylist() if len(answered) else []
         if not len(group):
-            return _table([(b, NOWHERE, TOTALS, x, None, None, None, None) for b, x in zip(buckets, blobs, strict=True)], ASK)
+            return _table([(b, NOWHERE, TOTALS, x, None, None, None, None, None) for b, x in zip(buckets, blobs, strict=True)], ASK)
         batch, number = Batch(group), group.column("batch")[0].as_py()
         answers = {b: x for k, b, x in zip(kinds, buckets, blobs, strict=True) if k == QUESTION}
         totals = batch.totals(bits, answers)
         open_ = batch.open(totals)
-        own = ~open_ & (batch.pair_held > 0)
-        home = number % (1 << bits)
-        rows = [(home, number, EARLIER, pack_counts(totals), None, None, None, None)]
-        if own.any():
-            seen = bins(batch.pair_count[own], totals[batch.pair_context[own]], totals[batch.pair_word[own]])
-            rows.append((home, NOWHERE, HISTOGRAM, _counted(seen, batch.pair_held[own]), None, None, None, None))
+        rows = [(number % (1 << bits), number, EARLIER, pack_counts(totals), None, None, None, None, None)]
+        context = totals[batch.pair_context[batch.tuned_pair]] - batch.tuned_context
+        word = totals[batch.pair_word[batch.tuned_pair]] - batch.tuned_word
         at = np.flatnonzero(open_)
         for b, p in by_bucket(batch.pairs[at], bits):
             i = at[p]
-            h = i[batch.pair_held[i] > 0]
+            tuned = slice(*np.searchsorted(batch.tuned_pair, [i[0], i[-1] + 1]))
+            many = np.bincount(np.searchsorted(i, batch.tuned_pair[tuned]), minlength=len(i))
             rows.append((
-                b, number, QUESTION, pack_keys(batch.pairs[i], bits), pack_counts(batch.pair_count[i]), pack_counts(batch.pair_held[i]),
-                pack_counts(totals[batch.pair_context[h]]), pack_counts(totals[batch.pair_word[h]]),
+                b, number, QUESTION, pack_keys(batch.pairs[i], bits), pack_counts(batch.pair_count[i]), pack_counts(many),
+                pack_counts(batch.tuned_count[tuned]), pack_counts(context[tuned]), pack_counts(word[tuned]),
             ))
         return _table(rows, ASK)
 
@@ -206,11 +217,11 @@ def _pair_totals(bits: int):
         if len(asked):
             questions, parts, _ = _sum_up(asked, bits)
             rows += [(r[0], QUESTION, r[1], pack_counts(p)) for r, p in zip(questions, parts, strict=True)]
-            held = [unpack_counts(x) for x in asked.column("held").to_pylist()]
-            some = np.concatenate([p[h > 0] for p, h in zip(parts, held, strict=True)])
+            each = lambda c: [unpack_counts(x) for x in asked.column(c).to_pylist()]
+            n = np.concatenate(each("tuning"))
+            some = np.concatenate([np.repeat(p, m) for p, m in zip(parts, each("many"), strict=True)]) - n
             if len(some):
-                context, word = (np.concatenate([unpack_counts(x) for x in asked.column(c).to_pylist()]) for c in ("contexts", "words"))
-                n = np.concatenate([h[h > 0] for h in held])
+                context, word = (np.concatenate(each(c)) for c in ("contexts", "words"))
                 rows.append((NOWHERE, HISTOGRAM, questions[0][1], _counted(bins(some, context, word), n)))
         return _table(rows, ANSWER)
 
@@ -294,7 +305,7 @@ def _two_sums(batches):
 
 
 def counted(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """Answers for all batches, with the histogram of held-out tokens and the totals: written once, read twice."""
+    """Answers for all batches, with the histogram of tuning tokens and the totals: written once, read twice."""
     batches = batched(docs, size)
     words = by_buckets(batches.groupBy("batch").applyInArrow(_ask_words(bits), ASK), size).applyInArrow(_word_totals(bits), ANSWER)
     pairs = batches.groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(_ask_pairs(bits), ASK)
@@ -310,6 +321,6 @@ def score(docs: DataFrame) -> DataFrame:
     n, v = int(row[0] or 0), int(row[1] or 0)
     histogram = answers.filter(F.col("kind") == HISTOGRAM).mapInArrow(_unpacked, "b long, two long, one long, n long")
     table = histogram.groupBy("b", "two", "one").agg(F.sum("n").alias("n")).collect()  # at most one row for each bin
-    weights = learn_weights(np.array([tuple(r) for r in table], np.int64).reshape(-1, 4), n, v)
+    weights = learn_weights(np.array(sorted(tuple(r) for r in table), np.int64).reshape(-1, 4), n, v)
     own_answers = answers.filter(F.col("batch") != NOWHERE)
     return batched(own, size).groupBy("batch").cogroup(own_answers.groupBy("batch")).applyInArrow(_scores(bits, n, v, weights), RESULT)
