@@ -210,6 +210,25 @@ def test_urls_are_judged_by_the_longest_rule_then_the_list(spark):
                 assert r.verdict == ("block" if host.endswith("casino.example.org") and path in ("/p.html", "/p/") else "allow"), url
 
 
+def test_only_possible_hits_are_shuffled(spark, tmp_path):
+    spark.range(500).selectExpr("id as page_id", "concat('http://h', id % 50, '.org/', id) as url").write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    listed = urls.parsed(pages.filter("page_id % 100 = 0")).select("canonical")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        judged = urls.judge(pages, listed)
+        missed, possible = (p.toString() for p in (judged._jdf.queryExecution().executedPlan().children().apply(i) for i in (0, 1)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    of_pages = lambda plan: plan[: plan.index("BroadcastExchange")] if "BroadcastExchange" in plan else plan
+    assert "Exchange hashpartitioning" not in of_pages(missed)
+    assert "Exchange hashpartitioning(canonical" in possible
+    assert judged.filter("verdict = 'block'").count() == 5
+
+
 def test_empty_lists_and_tables(spark):
     none = spark.createDataFrame([], "canonical string")
     pages = spark.createDataFrame([], "page_id long, url string")

@@ -2,8 +2,8 @@
 
 The list's canonical URLs are hashed into blocks of four 64-bit words, one bit in each word.  A page whose block
 misses a bit isn't listed; the others, a few false positives among them, meet the list in an exact equi-join.  The
-filter is sent to all executors only if its size, which follows from the list's, is under a bound; beyond it the
-pages join the blocks by number.
+filter is sent to all executors only if its size, which follows from the list's, is under a bound, and then nothing but
+possible hits is shuffled; beyond it the pages that no rule settles join the blocks by number.
 
 Cases: a null url, or one without "://", has empty host and path, no rule and no canonical form, and is allowed;
 repeated pages are judged one by one; a list with repeated or null entries counts each once, null never; empty
@@ -102,27 +102,30 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """pages with host, path, rule, verdict and listed (null where a rule decided)."""
-    clashing = {"host", "path", "rule", "verdict", "listed", "canonical", "best_", "block_", "maybe_", "key_", "hit_", *(f"w{i}" for i in range(WORDS))}
+    clashing = {"host", "path", "rule", "verdict", "listed", "canonical", "best_", "block_", "maybe_", "hit_", *(f"w{i}" for i in range(WORDS))}
     own = [c for c in pages.columns if c not in clashing]
     rows = parsed(pages.select(*own), rules)
     listing = stored(listed.select("canonical").filter("canonical is not null").distinct(), "listed")
     blocks = max(1, -(-listing.count() * BITS_PER_URL // (WORDS * WORD_BITS)))
     filter_ = bloom(listing, blocks)
-    if blocks * (WORDS + 1) * 8 <= broadcast_bytes:
-        filter_ = F.broadcast(filter_)
     open_ = F.col("best_").isNull() & F.col("canonical").isNotNull()
-    anywhere = F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
-    probed = rows.withColumn("block_", F.when(open_, _block(F.col("canonical"), blocks)).otherwise(anywhere)).join(filter_, "block_", "left")
     set_ = reduce(
         lambda a, b: a & b,
         [F.getbit(F.coalesce(F.col(f"w{i}"), F.lit(0).cast("long")), b) == 1 for i, b in enumerate(_bits(F.col("canonical")))],
     )
-    # pages that can't be listed have keys of their own, so that they don't meet in one task
-    maybe = F.coalesce(open_ & set_, F.lit(False))
-    own_key = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
-    probed = probed.withColumn("maybe_", maybe).withColumn("key_", F.when(F.col("maybe_"), F.col("canonical")).otherwise(own_key))
-    exact = probed.join(listing.select(F.col("canonical").alias("key_"), F.lit(True).alias("hit_")), "key_", "left")
-    hit = F.coalesce(F.col("maybe_") & F.col("hit_"), F.lit(False))
+    block = F.when(open_, _block(F.col("canonical"), blocks))
+    if blocks * (WORDS + 1) * 8 <= broadcast_bytes:
+        probed, settled = rows.withColumn("block_", block).join(F.broadcast(filter_), "block_", "left"), None
+    else:  # only pages that no rule settles meet the blocks
+        probed, settled = rows.filter(open_).withColumn("block_", block).join(filter_, "block_", "left"), rows.filter(~open_)
+    probed = probed.withColumn("maybe_", F.coalesce(open_ & set_, F.lit(False)))
+    plain = [*own, "host", "path", "canonical", "best_"]
+    # what the filter rules out stays where it is, and only possible hits meet the list
+    missed = probed.filter(~F.col("maybe_")).select(*plain)
+    possible = probed.filter("maybe_").select(*plain).join(listing.withColumn("hit_", F.lit(True)), "canonical", "left").select(*plain, "hit_")
+    rest = missed if settled is None else missed.unionByName(settled.select(*plain))
+    exact = rest.withColumn("hit_", F.lit(None).cast("boolean")).unionByName(possible)
+    hit = F.coalesce("hit_", F.lit(False))
     return exact.select(
         *own, "host", "path",
         F.col("best_.rule").alias("rule"),
