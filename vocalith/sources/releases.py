@@ -1,7 +1,7 @@
 """Release archives as DataFrames: folders or zip files of tab-separated rows, snapshots and an optional delta.
 
 Folders are read by Spark's text source, which opens the files of a kind by their names and splits them like any text.
-The entries of a zip file are partitions (archives); only those of the kind are inflated.  Only line feeds end a line.  Rows are
+The entries of a zip file are partitions (archives); those of the profile's kinds are inflated, once.  Only line feeds end a line.  Rows are
 typed by position, comment and header lines go.
 """
 
@@ -20,6 +20,7 @@ from vocalith import schema
 from vocalith.operators import state
 from vocalith.schema import ADDITIONAL, FILES, HEADER_ROW, IS_A, NAMESPACE_ROW, PROFILES, UNIVERSAL
 from vocalith.sources.archives import archive_lines
+from vocalith.sources.shared import stored
 
 
 def named(kind: str) -> str:
@@ -50,7 +51,9 @@ def read_raw(spark: SparkSession, paths: Sequence[str], profile: str = "base") -
     kinds = PROFILES[profile]
     if not paths:
         return {k: spark.createDataFrame([], schema.struct(k)) for k in kinds}
-    of = lambda p, k: archive_lines(spark, p, {k: FILES[k][0]}).select("line") if p.endswith(".zip") else folder_lines(spark, p, k)
+    # an archive is inflated once, all its entries beside each other, to a table with a folder for each kind
+    zips = {p: stored(archive_lines(spark, p, {k: FILES[k][0] for k in kinds}), "archive", "kind") for p in paths if p.endswith(".zip")}
+    of = lambda p, k: zips[p].filter(F.col("kind") == k).select("line") if p in zips else folder_lines(spark, p, k)
     return {k: typed(reduce(DataFrame.unionByName, [of(p, k) for p in paths]), k) for k in kinds}
 
 
