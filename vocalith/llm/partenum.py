@@ -14,6 +14,7 @@ empty table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -40,27 +41,34 @@ def band_tops(num: int = NUM, den: int = DEN, largest: int = 1 << 40) -> list[in
 
 
 _TOPS = band_tops()
+#: Which parts a subset has: a column for each.
+_SUBSETS = np.array([[i in subset for subset in combinations(range(PARTS), PARTS - MISSED)] for i in range(PARTS)], np.uint64)
 
 
-def signatures(h: np.ndarray, tops: list[int] = _TOPS, num: int = NUM, den: int = DEN) -> np.ndarray:
+@lru_cache(maxsize=None)
+def _instance(number: int) -> tuple[int, np.ndarray]:
+    """Cells of an instance, PARTS for each part of the first level, and a number for each signature; no cells where equal sets alone are alike."""
+    k = 2 * _TOPS[number] * (DEN - NUM) // (DEN + NUM)
+    first = k // (MISSED + 1) + 1 if k else 0
+    place = np.arange(first * _SUBSETS.shape[1], dtype=np.uint64) + np.uint64(number << 40)
+    return first * PARTS, set_links.mixed(place).reshape(first, _SUBSETS.shape[1])
+
+
+def signatures(h: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit signatures of a set of hashes; none where equal sets alone are alike."""
     out = [np.zeros(0, np.uint64)]
     if not len(h):
         return out[0]
-    band = bisect_left(tops, len(h))
+    band = bisect_left(_TOPS, len(h))
     spread = set_links.mixed(h)
-    for instance in (band, band + 1):
-        k = 2 * tops[instance] * (den - num) // (den + num)
-        if k == 0:
-            continue
-        first = np.uint64(k // (MISSED + 1) + 1)
-        cell = (h % first) * np.uint64(PARTS) + h // first % np.uint64(PARTS)
-        sums = np.zeros(int(first) * PARTS, np.uint64)
-        np.add.at(sums, cell.astype(np.int64), spread)
-        sums = sums.reshape(-1, PARTS)
-        for number, subset in enumerate(combinations(range(PARTS), PARTS - MISSED)):
-            place = np.arange(len(sums), dtype=np.uint64) + np.uint64(number << 40 | instance << 48)
-            out.append(set_links.mixed(sums[:, subset].sum(axis=1, dtype=np.uint64) + set_links.mixed(place)))
+    low, high = (spread & np.uint64(0xFFFFFFFF)).astype(np.float64), (spread >> np.uint64(32)).astype(np.float64)
+    for cells, place in map(_instance, (band, band + 1)):
+        if cells:
+            cell = (h % np.uint64(cells)).astype(np.int64)
+            # sums of halves are whole numbers that a double holds
+            halves = [np.bincount(cell, half, cells).astype(np.uint64) for half in (low, high)]
+            sums = (halves[0] + (halves[1] << np.uint64(32))).reshape(-1, PARTS)
+            out.append(set_links.mixed(sums @ _SUBSETS + place).ravel())
     return np.concatenate(out)
 
 
