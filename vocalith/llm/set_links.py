@@ -25,6 +25,8 @@ from vocalith.llm.simhash import SEED, components
 #: Nodes that a task compares at once, and bytes of sketches at a time.
 PART = 4096
 SLICE_BYTES = 8 << 20
+#: Rows of buckets that one call takes; small buckets share one.
+ROWS = 1 << 13
 #: Closest pairs of a node in the second turn.
 CLOSEST = 2
 #: Members that one copy of a star's centre is compared with.
@@ -131,6 +133,25 @@ def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter((num + den) * common >= num * (F.size("ids") + F.size("others"))).select("a", "b")
 
 
+def _each_part(solve):
+    """solve for each part of a bucket that the rows of a call hold."""
+
+    def solved(rows):
+        import pyarrow as pa
+
+        rows = rows.sort_by([("key", "ascending"), ("part", "ascending")])
+        key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(key)]
+        return pa.concat_tables([solve(rows.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+    return solved
+
+
+def _by_part(placed: DataFrame, solve, schema: str) -> DataFrame:
+    calls = max(1, placed.count() // ROWS)
+    return placed.groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(calls))).applyInArrow(_each_part(solve), schema)
+
+
 def _admitted(group, num: int, den: int):
     """Row numbers (asking, other) and distances of the pairs of a part that sizes and sketches admit, across components."""
     n, root, home = (group.column(c).to_numpy(zero_copy_only=False) for c in ("n", "root", "home"))
@@ -238,14 +259,14 @@ def links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     pairs = stars.groupBy("node").agg(F.max_by("first", F.struct("times", "first")).alias("a")).select("a", F.col("node").alias("b"))
     found = stored(similar(pairs, sets, num, den), "similar")
     placed = stored(_placed(buckets, found, sets), "placed")
-    asked = placed.groupBy("key", "part").applyInArrow(_closest(num, den), "a long, b long, away long")
+    asked = _by_part(placed, _closest(num, den), "a long, b long, away long")
     near = asked.groupBy("a", "b").agg(F.min("away").alias("away"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy("away", "b"))
     near = near.withColumn("rank", rank).filter(F.col("rank") <= CLOSEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = stored(found.unionByName(similar(near, sets, num, den)), "similar")
     discard(placed)
     placed = stored(_placed(buckets, found, sets), "placed")
-    rest = stored(placed.groupBy("key", "part").applyInArrow(_rest(num, den), "a long, b long, key long, part int"), "rest")
+    rest = stored(_by_part(placed, _rest(num, den), "a long, b long, key long, part int"), "rest")
     few = similar(rest.filter("b is not null").select("a", "b").distinct(), sets, num, den)
     dense = rest.filter("b is null").select("key", "part", F.col("a").alias("node")).distinct()
     whole = placed.join(dense, ["key", "part", "node"]).join(sets.select("node", "ids"), "node")
