@@ -3,10 +3,11 @@
 Words are counted over all documents.  Bigrams are ordered by how many places of the vocabulary they have.  A word's prefix
 is its three rarest bigrams (and those equal to the third); of them two disjoint ones of least total frequency, found by
 dynamic programming, are its pivots.  One edit can't break both: of two words one edit apart, the one whose prefix ends
-earlier in that order has a pivot that the other's prefix holds, at a place within one.  And the edit lies on one side of it:
-right of the later pivot (what precedes it is whole), left of it (what follows is), or in it (the earlier pivot is whole, with
-all before it).  So pivots are indexed with the part of the word that must be whole, words look up all grams of their
-prefixes, and what they meet is verified.  Nothing is missed.
+earlier in that order has a pivot that the other's prefix holds, at a place within one.  And the edit lies right of the later
+pivot (all up to its end is whole), in it (all before and after it is whole, and so the earlier one), between the two or in
+the earlier (all from the later one on is whole, and all before the earlier), or left of both (all from the earlier one on is).  So a word
+is indexed by these four parts, with two letters of the other end where that must be whole too; words look up what starts
+or ends with a gram of their prefixes; and what they meet is verified.  Nothing is missed.
 
 A word's form is the near word of largest count, if that is FACTOR times the word's or more; counts grow along forms, so there
 are no cycles, and the last form is found by doubling.
@@ -32,6 +33,8 @@ DAMAGED = 199
 LEAST_LENGTH, LEAST_COUNT, FACTOR = 6, 5, 5
 #: Places of a word's prefix: two for the gram's length, one more.
 PREFIX = 3
+#: Letters of the other end in a key.
+ENDS = 2
 #: Words that look up a key in one task.
 SPLIT = 1024
 
@@ -64,21 +67,29 @@ def pivotal(places: list[int], costs: list[int], count: int = 2) -> tuple[int, .
 
 
 def keys(word: str, frequency: dict[str, int]) -> tuple[list[int], list[int]]:
-    """(indexed, looked up): numbers of the whole parts of a word, up to the end of a gram or from its start."""
+    """(indexed, looked up): numbers of parts of a word from its start or to its end."""
     grams = sorted((frequency[word[i : i + 2]], word[i : i + 2], i) for i in range(len(word) - 1))
     last = grams[min(PREFIX, len(grams)) - 1][:2]
     cost = {i: f for f, g, i in grams if (f, g) <= last}
     prefix = sorted(cost)
     pivots = pivotal(prefix, [cost[i] for i in prefix])
-    left, right = {}, {}
-    for whole, letters in ((left, word), (right, word[::-1])):
-        h = 0
-        for n, c in enumerate(letters, 1):
-            h = zlib.crc32(c.encode(), h)
-            whole[n] = n << 33 | h << 1 | (whole is right)
-    before = lambda i: left[i + 2]
-    after = lambda i: right[len(word) - i]
-    return [before(pivots[1]), after(pivots[1]), before(pivots[0])], [k for i in prefix for k in (before(i), after(i))]
+    size = len(word)
+    left, right = [0], [0]
+    for crcs, letters in ((left, word), (right, word[::-1])):
+        for c in letters:
+            crcs.append(zlib.crc32(c.encode(), crcs[-1]))
+
+    def start(n: int, t: int) -> int:
+        """The first n letters and the last t."""
+        return n << 35 | t << 33 | zlib.crc32(word[size - t :].encode(), left[n]) << 1
+
+    def end(n: int, t: int) -> int:
+        return n << 35 | t << 33 | zlib.crc32(word[:t].encode(), right[n]) << 1 | 1
+
+    a, b = pivots
+    indexed = [start(b + 2, 0), start(b, min(ENDS, size - b - 2)), end(size - b, min(ENDS, a)), end(size - a, 0)]
+    starts = [start(n, t) for n in range(prefix[0] + 2, size + 1) for t in range(min(ENDS, size - n) + 1)]
+    return indexed, [*starts, *(end(size - i, t) for i in prefix for t in range(min(ENDS, i) + 1))]
 
 
 def _keyed(words: DataFrame) -> DataFrame:
