@@ -1,42 +1,60 @@
 """Inferred attributes in normal form: own ones and the parents', without what others imply.
 
-Concepts are taken level by level of the inferred hierarchy, so that parents are done first; a level is a few joins
-over all of its concepts.  Redundancy is decided by equi-joins on closures (operators.groups).  A second pass looks again
-at concepts with an attribute that starts a property chain, with the graph of the first pass complete.
-
-The graph isn't used in the first pass, whose own rows it would have been built from piece by piece.
+Concepts are taken level by level of the inferred hierarchy, so that parents are done first.  What a concept has is a set of
+groups, kept once under an id that follows from its rows.  A concept's set follows from its own rows and its parents' sets,
+so a level reduces each distinct combination of these once, however many concepts have it, and a concept that adds nothing
+to one set shares it.  Redundancy is decided by equi-joins on closures (operators.groups).  A second pass looks again at
+concepts with an attribute that starts a property chain, with the graph of the first pass complete.
+
+Rows with the universal modifier mean all values, and are compared with their like only.  The graph isn't used in the first
+pass, whose own rows it would have been built from piece by piece.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalith.operators import graph, groups
 from vocalith.schema import CORE_MODULE
 from vocalith.sources.shared import stored
 
-ROW = ["typeId", "destinationId", "value"]
+ROW = ["typeId", "destinationId", "value", "universal"]
 
 
-def _candidates(own: DataFrame, results: DataFrame | None, parents: DataFrame, level: DataFrame) -> DataFrame:
-    """Rows of a level's concepts by group: their own, and those of their parents' results.
+def with_universal(rows: DataFrame) -> DataFrame:
+    """rows whose universal flag is false where they have none."""
+    return rows if "universal" in rows.columns else rows.withColumn("universal", F.lit(False))
+
+
+def _text(columns: Sequence[str]) -> Column:
+    return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+
+def _content_id(rows: DataFrame, key: str) -> DataFrame:
+    """(key, set_id) of rows (key, grp, ROW): equal sets of rows have equal ids."""
+    return rows.groupBy(key).agg(F.md5(F.concat_ws(";", F.array_sort(F.collect_set(_text(["grp", *ROW]))))).alias("set_id"))
 
-    Each row of group 0 is a group of its own. ord: own groups first, then by parent and number.
-    """
-    key = lambda origin: F.concat_ws(":", origin, F.col("grp").cast("string"), F.when(F.col("grp") == 0, F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ROW])).otherwise(""))
-    mine = own.join(level, own.conceptId == level.node, "left_semi").select("conceptId", F.lit(0).cast("long").alias("from_"), "grp", *ROW)
-    if results is not None:
-        up = parents.join(level, parents.child == level.node, "left_semi")
-        theirs = up.join(results.withColumnRenamed("conceptId", "parent"), "parent").select(F.col("child").alias("conceptId"), F.col("parent").alias("from_"), "grp", *ROW)
-        mine = mine.unionByName(theirs)
-    rows = mine.distinct().withColumn("gkey", key(F.col("from_").cast("string")))
-    return rows.withColumn("ord", F.struct("from_", (F.col("grp") == 0).alias("zero_"), "grp", F.col("gkey")))
 
+def _candidates(rows: DataFrame) -> DataFrame:
+    """rows (conceptId, from_, grp, ROW) by group: each row of group 0 is one of its own. ord: own groups first, then by parent and number."""
+    single = F.when(F.col("grp") == 0, _text(ROW)).otherwise("")
+    keyed = rows.distinct().withColumn("gkey", F.concat_ws(":", F.col("from_").cast("string"), F.col("grp").cast("string"), single))
+    return keyed.withColumn("ord", F.struct("from_", (F.col("grp") == 0).alias("zero_"), "grp", F.col("gkey")))
 
-def reduce_groups(rows: DataFrame, types: DataFrame, is_a: DataFrame, chains: DataFrame | None = None, reach: DataFrame | None = None) -> DataFrame:
+
+def _reflexive(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What is above each node (child): itself, too, whether pairs know it or not."""
+    known = pairs.join(nodes, "child", "left_semi").select("child", "ancestor")
+    return known.unionByName(nodes.select("child", F.col("child").alias("ancestor"))).distinct()
+
+
+def reduce_groups(rows: DataFrame, types: DataFrame, near: DataFrame, chains: DataFrame | None = None, reach: DataFrame | None = None) -> DataFrame:
     """(conceptId, grp, ROW): the antichain of groups, numbered from 1 in order; single rows of group 0 stay there.
 
+    rows: see _candidates. types, near: reflexive closures over all types and destinations of the rows.
     chains: first, second, whole. reach: property, child, ancestor along the graph of `second`.
     """
     # a row's number is its place among the concept's: of rows that imply each other the first stays
@@ -44,18 +62,14 @@ def reduce_groups(rows: DataFrame, types: DataFrame, is_a: DataFrame, chains: Da
     named = rows.withColumn("row", place).withColumnRenamed("grp", "number").withColumnRenamed("gkey", "grp")
     named = stored(named, "candidates")
     plain, concrete = named.filter("value is null"), named.filter("value is not null")
-    # a type or destination that no closure knows is still as strong as itself
-    self_types = named.select(F.col("typeId").alias("child"), F.col("typeId").alias("ancestor")).distinct()
-    types = stored(types.unionByName(self_types).distinct(), "types")
-    self_dest = plain.select(F.col("destinationId").alias("child"), F.col("destinationId").alias("ancestor")).distinct()
-    near = is_a.join(self_dest.select("child"), "child", "left_semi").unionByName(self_dest).distinct()
-    pairs = groups.stronger_pairs(plain, plain, ["conceptId"], types, near).unionByName(groups.same_value_pairs(concrete, concrete, ["conceptId"], types))
+    alike = ["conceptId", "universal"]
+    pairs = groups.stronger_pairs(plain, plain, alike, types, near).unionByName(groups.same_value_pairs(concrete, concrete, alike, types)).drop("universal")
     if chains is not None and reach is not None:
         up = plain.join(types.withColumnsRenamed({"child": "typeId", "ancestor": "first"}), "typeId").join(chains, "first")
         far = up.join(reach.withColumnsRenamed({"property": "second", "child": "destinationId", "ancestor": "far_"}), ["second", "destinationId"])
-        left = far.select("conceptId", F.col("row").alias("row_l"), F.col("grp").alias("group_l"), F.col("whole").alias("typeId"), F.col("far_").alias("destinationId"))
-        right = plain.select("conceptId", F.col("row").alias("row_r"), F.col("grp").alias("group_r"), "typeId", "destinationId")
-        pairs = pairs.unionByName(left.join(right, ["conceptId", "typeId", "destinationId"]).select("conceptId", "row_l", "group_l", "row_r", "group_r")).distinct()
+        left = far.select(*alike, F.col("row").alias("row_l"), F.col("grp").alias("group_l"), F.col("whole").alias("typeId"), F.col("far_").alias("destinationId"))
+        right = plain.select(*alike, F.col("row").alias("row_r"), F.col("grp").alias("group_r"), "typeId", "destinationId")
+        pairs = pairs.unionByName(left.join(right, [*alike, "typeId", "destinationId"]).select("conceptId", "row_l", "group_l", "row_r", "group_r")).distinct()
     pairs = stored(pairs, "pairs")
     inside = pairs.filter("group_l = group_r and row_l <> row_r").select("conceptId", F.col("group_l").alias("grp"), "row_l", "row_r")
     back = inside.select("conceptId", "grp", F.col("row_r").alias("row_l"), F.col("row_l").alias("row_r"), F.lit(True).alias("back_"))
@@ -70,20 +84,56 @@ def reduce_groups(rows: DataFrame, types: DataFrame, is_a: DataFrame, chains: Da
     return rows.select("conceptId", F.when(F.col("number") == 0, 0).otherwise(rank).cast("int").alias("grp"), *ROW).distinct()
 
 
+def _first_pass(own: DataFrame, parents: DataFrame, level: DataFrame, types: DataFrame, near: DataFrame) -> DataFrame:
+    """(conceptId, grp, ROW), level by level."""
+    mine = stored(_content_id(own.select("conceptId", "grp", *ROW), "conceptId").withColumnRenamed("set_id", "own_id"), "own-sets")
+    first = mine.groupBy("own_id").agg(F.min("conceptId").alias("conceptId"))
+    own_rows = stored(own.join(first, "conceptId").select("own_id", "grp", *ROW).distinct(), "own-rows")
+    has = sets = None  # (conceptId, set_id) and (set_id, grp, ROW)
+    for n in range(int(level.agg(F.max("level")).first()[0] or 0) + 1):
+        here = level.filter(F.col("level") == n).select(F.col("node").alias("conceptId"))
+        keyed = here.join(mine, "conceptId", "left").withColumn("above", F.array().cast("array<string>"))
+        if has is not None:
+            up = parents.withColumnRenamed("child", "conceptId").join(here, "conceptId", "left_semi").join(has.withColumnRenamed("conceptId", "parent"), "parent")
+            listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("parent", "set_id"))), lambda x: x["set_id"]))
+            above = up.groupBy("conceptId").agg(listed.alias("above"))
+            keyed = here.join(mine, "conceptId", "left").join(above, "conceptId", "left").withColumn("above", F.coalesce("above", F.array().cast("array<string>")))
+        keyed = keyed.filter(F.col("own_id").isNotNull() | (F.size("above") > 0))
+        shares = F.col("own_id").isNull() & (F.size("above") == 1)
+        keyed = stored(keyed.withColumn("key", F.when(~shares, F.md5(F.concat_ws("|", F.coalesce("own_id", F.lit("")), F.concat_ws(",", "above"))))), "keys")
+        found = keyed.filter("key is null").select("conceptId", F.element_at("above", 1).alias("set_id"))
+        work = stored(keyed.filter("key is not null").groupBy("key").agg(F.first("own_id").alias("own_id"), F.first("above").alias("above")), "work")
+        if not work.isEmpty():
+            rows = work.join(own_rows, "own_id").select(F.col("key").alias("conceptId"), F.lit(0).alias("from_"), "grp", *ROW)
+            if sets is not None:
+                theirs = work.select("key", F.posexplode("above").alias("i", "set_id")).join(sets, "set_id")
+                rows = rows.unionByName(theirs.select(F.col("key").alias("conceptId"), (F.col("i") + 1).alias("from_"), "grp", *ROW))
+            reduced = stored(reduce_groups(_candidates(rows), types, near), "reduced")
+            ids = stored(_content_id(reduced, "conceptId").withColumnRenamed("conceptId", "key"), "ids")
+            found = found.unionByName(keyed.filter("key is not null").join(ids, "key").select("conceptId", "set_id"))
+            one = ids.groupBy("set_id").agg(F.min("key").alias("conceptId"))
+            new = reduced.join(one, "conceptId").select("set_id", "grp", *ROW)
+            sets = stored(new, "sets") if sets is None else sets.unionByName(stored(new.join(sets.select("set_id").distinct(), "set_id", "left_anti"), "sets"))
+        found = stored(found, "has")
+        has = found if has is None else has.unionByName(found)
+        if n % graph.MERGED == graph.MERGED - 1:
+            has, sets = stored(has, "has"), sets if sets is None else stored(sets, "sets")
+    if sets is None:
+        return own.select("conceptId", "grp", *ROW).limit(0)
+    return stored(has.join(sets, "set_id").select("conceptId", "grp", *ROW), "first")
+
+
 def inferred_attributes(own: DataFrame, parents: DataFrame, types: DataFrame, is_a: DataFrame, chains: DataFrame | None = None) -> DataFrame:
     """(conceptId, grp, ROW) of all concepts. own: conceptId, grp, ROW. types and is_a: closures, child to ancestor."""
-    own, parents, types, is_a = (stored(x, "nf") for x in (own, parents, types, is_a))
+    own, parents = stored(with_universal(own), "nf"), stored(parents, "nf")
+    types = stored(_reflexive(types, own.select(F.col("typeId").alias("child")).distinct()), "types")
+    near = stored(_reflexive(is_a, own.select(F.col("destinationId").alias("child")).filter("child is not null").distinct()), "near")
     level = stored(graph.levels(parents).unionByName(
         own.select(F.col("conceptId").alias("node"), F.lit(0).alias("level")).distinct()
     ).groupBy("node").agg(F.max("level").alias("level")), "levels")
-    results: DataFrame | None = None
-    for n in range(int(level.agg(F.max("level")).first()[0] or 0) + 1):
-        here = level.filter(F.col("level") == n).select("node")
-        done = stored(reduce_groups(_candidates(own, results, parents, here), types, is_a), "level")
-        results = done if results is None else results.unionByName(done)
+    first = _first_pass(own, parents, level, types, near)
     if chains is None or chains.isEmpty():
-        return results
-    first = results
+        return first
     reach = None
     for p in [r.second for r in chains.select("second").distinct().collect()]:  # properties of chains are few
         edges = first.filter(F.col("typeId") == p).filter("destinationId is not null").select(F.col("conceptId").alias("child"), F.col("destinationId").alias("parent"))
@@ -93,9 +143,11 @@ def inferred_attributes(own: DataFrame, parents: DataFrame, types: DataFrame, is
         up = along.withColumnRenamed("ancestor", "mid").join(is_a.withColumnRenamed("child", "mid"), "mid").select("child", "ancestor")
         one = along.unionByName(up).distinct().withColumn("property", F.lit(p).cast("long"))
         reach = one if reach is None else reach.unionByName(one)
-    again = first.join(chains.select(F.col("first").alias("typeId")).distinct(), "typeId", "left_semi").select(F.col("conceptId").alias("node")).distinct()
-    second = stored(reduce_groups(_candidates(own, first, parents, again), types, is_a, chains, reach), "second")
-    return first.join(again.withColumnRenamed("node", "conceptId"), "conceptId", "left_anti").unionByName(second)
+    again = first.join(chains.select(F.col("first").alias("typeId")).distinct(), "typeId", "left_semi").select(F.col("conceptId").alias("child")).distinct()
+    mine = own.withColumnRenamed("conceptId", "child").join(again, "child", "left_semi").select(F.col("child").alias("conceptId"), F.lit(0).cast("long").alias("from_"), "grp", *ROW)
+    theirs = parents.join(again, "child", "left_semi").join(first.withColumnRenamed("conceptId", "parent"), "parent").select(F.col("child").alias("conceptId"), F.col("parent").alias("from_"), "grp", *ROW)
+    second = stored(reduce_groups(_candidates(mine.unionByName(theirs)), types, near, chains, reach), "second")
+    return first.join(again.withColumnRenamed("child", "conceptId"), "conceptId", "left_anti").unionByName(second)
 
 
 def stable_numbers(new: DataFrame, published: DataFrame, core: int = CORE_MODULE) -> DataFrame:
@@ -105,7 +157,8 @@ def stable_numbers(new: DataFrame, published: DataFrame, core: int = CORE_MODULE
     and moduleId if modules are known.  Only concepts with published groups are renumbered, each by itself, since the
     exchanges follow one another: a fold over the concept's groups.
     """
-    item = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ROW])
+    new, published = with_universal(new), with_universal(published)
+    item = _text(ROW)
     # a row of group 0 is a group of its own
     part = F.when(F.col("grp") == 0, item).otherwise(F.lit(""))
     items = F.concat_ws(";", F.array_sort(F.collect_set("item"))).alias("items")

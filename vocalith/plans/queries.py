@@ -484,7 +484,32 @@ def normal_form_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = edges.select(F.col("child").alias("n")).unionByName(edges.select(F.col("parent").alias("n"))).distinct()
     types = spark.createDataFrame([(1, 1), (2, 2), (2, 1), (3, 3), (4, 4)], "child long, ancestor long")
     found = normal_form.inferred_attributes(own, edges, types, graph.reflexive(graph.closure(edges), nodes))
-    return found.select("conceptId", F.col("grp").cast(long).alias("grp"), *normal_form.ROW)
+    return found.select("conceptId", F.col("grp").cast(long).alias("grp"), "typeId", "destinationId", "value")
+
+
+def chain_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes with a chain and a transitive property, and universal rows beside existential ones.
+
+    Nations are part (3) of their region.  Suppliers and customers are located (1) in their nation and in its region, which the chain
+    "located in what is part of a place" implies; customers are part of both, which transitivity implies.  Builders are
+    also located in their region universally, which no existential row implies.
+    """
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    row = lambda df, c, grp, type_, dest, universal=False: df.select(
+        c.alias("conceptId"), F.lit(grp).alias("grp"), F.lit(type_).cast(long).alias("typeId"), dest.alias("destinationId"), F.lit(None).cast("string").alias("value"), F.lit(universal).alias("universal")
+    )
+    near, far = _long("n_nationkey", t.NATION), _long("n_regionkey", t.REGION)
+    supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    own = row(nation, near, 0, 3, far)
+    for df, c in ((supplier, _long("s_suppkey", t.SUPPLIER)), (customer, _long("c_custkey", t.CUSTOMER))):
+        own = own.unionByName(row(df, c, 1, 1, near)).unionByName(row(df, c, 2, 1, far))
+    own = own.unionByName(row(customer, _long("c_custkey", t.CUSTOMER), 3, 3, near)).unionByName(row(customer, _long("c_custkey", t.CUSTOMER), 4, 3, far))
+    own = own.unionByName(row(customer.filter("c_mktsegment = 'BUILDING'"), _long("c_custkey", t.CUSTOMER), 5, 1, far, True))
+    chains = spark.createDataFrame([(1, 3, 1), (3, 3, 3)], "first long, second long, whole long")
+    none, parents = spark.createDataFrame([], "child long, ancestor long"), spark.createDataFrame([], "child long, parent long")
+    found = normal_form.inferred_attributes(own, parents, none, none, chains)
+    return found.select("conceptId", F.col("grp").cast(long).alias("grp"), "typeId", "destinationId", "universal")
 
 
 def stable_group_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,5 +567,5 @@ QUERIES = {f.__name__: f for f in (
     inherited_attributes, relationship_diff, group_zero_move, retired_id_reuse, inactivation_retirement, change_counts, class_axiom_text,
     axiom_signature, axiom_round_trip, property_flags_merge, description_annotations, acceptability_map, el_classification,
     stated_retirement_rows, reconcile_axioms, concept_extract, classification_delta, el_roles_and_chains, normal_form_attributes,
-    stable_group_numbers, generated_axioms, release_delta, streamed_states, archive_round_trip,
+    stable_group_numbers, generated_axioms, release_delta, streamed_states, archive_round_trip, chain_normal_form,
 )}

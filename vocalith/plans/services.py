@@ -25,7 +25,7 @@ REASONERS: dict[str, Callable[[DataFrame], DataFrame]] = {"el": el.saturate}
 
 @dataclass
 class Classification:
-    delta: DataFrame  # action, id, sourceId, grp, typeId, destinationId, value
+    delta: DataFrame  # action, id, sourceId, grp, typeId, destinationId, value, universal
     equivalents: DataFrame  # set_id, member
     parents: DataFrame  # child, parent
     axioms: DataFrame
@@ -53,19 +53,19 @@ def classify_release(spark: SparkSession, release: Release, infer: Callable[[Dat
     types = graph.closure(roles).unionByName(same(attributes)).distinct()
     own = own_attributes(release, every).join(attributes.withColumnRenamed("node", "conceptId"), "conceptId", "left_anti")
     nf = normal_form.inferred_attributes(own, parents, types, is_a, stored(ontology.property_chains(normal), "chains"))
-    published = release.inferred.select(
-        "id", "moduleId", F.col("sourceId"), "typeId", "destinationId", "value", F.col("relationshipGroup").alias("grp")
+    published = normal_form.with_universal(release.inferred).select(
+        "id", "moduleId", F.col("sourceId"), *normal_form.ROW, F.col("relationshipGroup").alias("grp")
     )
     before = published.filter(F.col("typeId") != IS_A).select(F.col("sourceId").alias("conceptId"), "grp", *normal_form.ROW, "moduleId")
     nf = stored(normal_form.stable_numbers(nf, before), "normal-form")
     new = parents.select(
-        F.col("child").alias("sourceId"), F.lit(0).alias("grp"), F.lit(IS_A).cast("long").alias("typeId"), F.col("parent").alias("destinationId"), F.lit(None).cast("string").alias("value")
+        F.col("child").alias("sourceId"), F.lit(0).alias("grp"), F.lit(IS_A).cast("long").alias("typeId"), F.col("parent").alias("destinationId"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("universal")
     ).unionByName(nf.withColumnRenamed("conceptId", "sourceId"))
     # what is not walked stays as published, and what is inactivated goes altogether
     walked = published.join(node.withColumnRenamed("node", "sourceId"), "sourceId", "left_semi")
-    changes = diff.compare(walked, new, "sourceId", ["typeId", "destinationId", "value"], "grp", IS_A)
+    changes = diff.compare(walked, new, "sourceId", normal_form.ROW, "grp", IS_A)
     dead = release.inactive.select(F.col("id").alias("sourceId"))
-    gone = state.retired(published, "sourceId", dead).select(F.lit("remove").alias("action"), "id", "sourceId", "typeId", "destinationId", "value", "grp")
+    gone = state.retired(published, "sourceId", dead).select(F.lit("remove").alias("action"), "id", "sourceId", *normal_form.ROW, "grp")
     kept = changes.filter("action <> 'remove'").unionByName(changes.filter("action = 'remove'").join(dead, "sourceId", "left_anti").select(changes.columns))
     delta = reuse(kept.unionByName(gone.select(changes.columns)), release.pool)
     return Classification(stored(delta, "delta"), sets, parents, every)
@@ -88,16 +88,16 @@ def _with_members(strict: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def own_attributes(release: Release, every: DataFrame) -> DataFrame:
-    """(conceptId, grp, typeId, destinationId, value): stated attributes, and those of axioms about their own component."""
-    stated = release.stated.filter(F.col("typeId") != IS_A).select(
-        F.col("sourceId").alias("conceptId"), F.col("relationshipGroup").alias("grp"), "typeId", "destinationId", F.lit(None).cast("string").alias("value")
+    """(conceptId, grp, typeId, destinationId, value, universal): stated attributes, and those of axioms about their own component."""
+    stated = normal_form.with_universal(release.stated).filter(F.col("typeId") != IS_A).select(
+        F.col("sourceId").alias("conceptId"), F.col("relationshipGroup").alias("grp"), "typeId", "destinationId", F.lit(None).cast("string").alias("value"), "universal"
     )
     rows = ax.relationships(every.join(release.axioms.select("axiom_id"), "axiom_id", "left_semi"), skip_gci=True)
     if not (bad := rows.filter("error is not null").select("axiom_id", "error").limit(1).collect()) == []:
         raise ValueError(f"axiom {bad[0].axiom_id}: {bad[0].error}")
     mine = rows.filter("side = 'right' and left_concept = component").filter(F.col("typeId") != IS_A).select(
         F.col("left_concept").alias("conceptId"), "grp", "typeId", "destinationId",
-        F.when(F.col("text").isNotNull(), values.concrete_text(F.col("kind"), F.col("text"))).alias("value"),
+        F.when(F.col("text").isNotNull(), values.concrete_text(F.col("kind"), F.col("text"))).alias("value"), F.lit(False).alias("universal"),
     )
     return stored(stated.unionByName(mine).distinct(), "own")
 

@@ -166,6 +166,11 @@ x(id, grp, typ, dest, v) AS (SELECT r_regionkey + {t.REGION}, 0, 1, r_regionkey
   UNION ALL SELECT id, 1, 3, NULL, v FROM c WHERE rich
   UNION ALL SELECT id, 2, 4, {t.BRAND} + length(m), NULL FROM c WHERE rich AND m = 'BUILDING')
 SELECT id::BIGINT AS "conceptId", grp::BIGINT AS grp, typ::BIGINT AS "typeId", dest::BIGINT AS "destinationId", v AS value FROM x""",
+    "chain_normal_form": f"""
+SELECT n_nationkey + {t.NATION} AS "conceptId", 0::BIGINT AS grp, 3::BIGINT AS "typeId", n_regionkey + {t.REGION} AS "destinationId", false AS universal FROM nation
+UNION ALL SELECT s_suppkey + {t.SUPPLIER}, 1, 1, s_nationkey + {t.NATION}, false FROM supplier
+UNION ALL SELECT c_custkey + {t.CUSTOMER}, unnest([1, 2]), unnest([1, 3]), c_nationkey + {t.NATION}, false FROM customer
+UNION ALL SELECT c_custkey + {t.CUSTOMER}, 3, 1, n_regionkey + {t.REGION}, true FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'""",
     "stable_group_numbers": f"""
 SELECT DISTINCT l_orderkey + {t.ORDER} AS "conceptId", (50 - l_linenumber)::BIGINT AS grp, l_linenumber::BIGINT AS "typeId", l_partkey + {t.PART} AS "destinationId" FROM lineitem""",
     "generated_axioms": f"""
