@@ -104,6 +104,38 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   (fail_mask & {quality.mask(quality.POLICIES[quality.CURRENT])}) = 0 AS kept,
   CASE fail_mask & {quality.mask(quality.POLICIES[quality.CURRENT])} {_SOLE} END AS sole_rule
 FROM k""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE tab(i, c, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM tab WHERE k = 8),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{spellings.LETTERS}')) AS run FROM documents),
+d AS (SELECT id, run, count(*) AS times FROM r GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+    ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END)) AS bytes FROM d),
+h AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS h FROM b, crc),
+w AS (SELECT CASE WHEN h % {spellings.DAMAGED} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= {spellings.LEAST_LENGTH} AND sum(times) >= {spellings.LEAST_COUNT}),
+cut AS (SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS part FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w) UNION ALL SELECT word, n, -1, word FROM w),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.part = b.part AND a.word <> b.word AND (a.i = b.i OR a.i = -1 OR b.i = -1)),
+best AS (SELECT word, n, count(*) AS n_near, min((-other_n, other)) AS k FROM near GROUP BY ALL),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -k[1] >= {spellings.FACTOR} * w.n THEN k[2] END AS form, CASE WHEN -k[1] >= {spellings.FACTOR} * w.n THEN -k[1] END AS form_n FROM w LEFT JOIN best USING (word)),
+up(word, root, last) AS (SELECT word, word, form FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.last)
+SELECT f.word, form, root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN up ON f.word = up.word AND up.last IS NULL""",
+    "op12_partenum_jaccard": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+m AS (SELECT a.r AS a, b.r AS b, count(*) AS met FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT a, b FROM m JOIN z x ON a = x.r JOIN z y ON b = y.r WHERE 100 * met >= 90 * (x.n + y.n - met)),
+c(r, o) AS (SELECT r, r FROM d UNION SELECT c.r, e.b FROM c JOIN e ON c.o = e.a)
+SELECT d.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(other.doc_id) AS component_id FROM d LEFT JOIN z USING (r) JOIN c USING (r) JOIN d other ON c.o = other.r GROUP BY d.r, d.doc_id""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor, a.label = b.label AS same, b.vec_id AS other, list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor, p.other AS positive, p.score AS p, s.other AS negative, s.score AS n, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS r
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, r::INTEGER AS rank, negative AS negative_id, p AS positive_score, n AS negative_score FROM n WHERE r <= 10""",
     "op8_mix_sources": rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
