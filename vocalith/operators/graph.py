@@ -103,7 +103,9 @@ def levels(edges: DataFrame) -> DataFrame:
         ready = stored(left.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)), "levels")
         if ready.isEmpty():
             if not left.isEmpty():
-                raise ValueError("the hierarchy has a cycle")
+                inner = step.join(left.withColumnRenamed("node", "child"), "child", "left_semi").join(left.withColumnRenamed("node", "parent"), "parent", "left_semi")
+                some = strong_components(inner).orderBy("set_id", "member").limit(5).collect()
+                raise ValueError(f"the hierarchy has a cycle: {', '.join(str(r.member) for r in some)}")
             return done if done is not None else ready
         left = stored(left.join(ready, "node", "left_anti"), "levels")
         done, level = ready if done is None else done.unionByName(ready), level + 1
@@ -119,6 +121,61 @@ def equivalents(subsumed: DataFrame) -> DataFrame:
     return sets.select(F.least("child", "m_").alias("set_id"), F.col("child").alias("member"))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges without those of nodes that nothing leads to or from: they are in no cycle."""
+    for _ in range(MERGED):
+        before = edges.count()
+        below, above = edges.select(F.col("child").alias("node")).distinct(), edges.select(F.col("parent").alias("node")).distinct()
+        inner = edges.join(above.withColumnRenamed("node", "child"), "child", "left_semi").join(below.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        edges = stored(inner.select("child", "parent"), "trimmed")
+        if edges.count() == before:
+            break
+    return edges
+
+
+def _smallest_below(edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node from which each is reached. What a node's colour has as colour reaches the node, too, so steps double."""
+    nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
+    colours = stored(nodes.withColumn("colour", F.col("node")), "colours")
+    while True:
+        along = edges.join(colours.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node"), "colour")
+        jump = colours.join(colours.select(F.col("node").alias("colour"), F.col("colour").alias("next")), "colour").select("node", F.col("next").alias("colour"))
+        least = colours.unionByName(along).unionByName(jump).groupBy("node").agg(F.min("colour").alias("colour"))
+        changed = stored(least.join(colours.withColumnRenamed("colour", "was"), "node").withColumn("moved", F.col("colour") < F.col("was")), "colours")
+        discard(colours)
+        colours = changed.select("node", "colour")
+        if changed.filter("moved").isEmpty():
+            return colours
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(set_id, member) of the nodes (child, parent) that reach each other, sets of two or more; set_id is the smallest.
+
+    Colouring after Orzan: what no cycle can hold is trimmed; each node takes the smallest node that reaches it as its colour;
+    and of a colour's nodes those that reach it are its set.  These go, and so do edges between colours; the rest is coloured again.
+    No closure is built: a round is as large as the edges that are left.
+    """
+    left = stored(edges.select("child", "parent").filter("child <> parent").distinct(), "edges")
+    found = left.select(F.col("child").alias("set_id"), F.col("child").alias("member")).limit(0)
+    while not (left := _trimmed(left)).isEmpty():
+        colours = _smallest_below(left)
+        same = left.join(colours.select(F.col("node").alias("child"), F.col("colour").alias("mine")), "child").join(colours.select(F.col("node").alias("parent"), "colour"), "parent").filter("mine = colour")
+        same = stored(same.select("child", "parent", "colour"), "same")
+        reached = front = stored(colours.filter("node = colour"), "reached")
+        while True:
+            back = same.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), "colour").distinct()
+            front = stored(back.join(reached, ["node", "colour"], "left_anti"), "reached")
+            if front.isEmpty():
+                break
+            reached = stored(reached.unionByName(front), "reached")
+        several = reached.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = found.unionByName(reached.join(several, "colour").select(F.col("colour").alias("set_id"), F.col("node").alias("member")))
+        gone = reached.select("node")
+        rest = same.join(gone.withColumnRenamed("node", "child"), "child", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti")
+        left = stored(rest.select("child", "parent"), "edges")
+    return found
+
+
 def chain_closure(edges: DataFrame, is_a: DataFrame) -> DataFrame:
     """(child, ancestor): along one property's edges, and then up the is-a closure of what is reached."""
     reached = closure(edges)

@@ -69,11 +69,20 @@ def item_sets(rows: DataFrame, owner: Sequence[str]) -> tuple[DataFrame, DataFra
 
 
 def set_containment(sets: DataFrame, owner: Sequence[str]) -> DataFrame:
-    """(owner, strong, weak) of distinct sets: the strong one has all items of the weak one, and more."""
-    items = lambda name: sets.select(*owner, F.col("grp").alias(name), F.explode("items").alias("row_r"))
-    pairs = items("group_l").join(items("group_r"), [*owner, "row_r"])
-    sizes = sets.select(*owner, "grp", F.size("items").alias("n"))
-    return contained(pairs, sizes, owner).filter("strong <> weak")
+    """(owner, strong, weak) of distinct sets: the strong one has all items of the weak one, and more.
+
+    A set that holds another holds its rarest item too, so each set meets only those of its owner with that item that are
+    larger, and these are compared whole.
+    """
+    items = sets.select(*owner, "grp", F.explode("items").alias("item_"))
+    seen = items.groupBy(*owner, "item_").agg(F.count(F.lit(1)).alias("seen_"))
+    rarest = items.join(seen, [*owner, "item_"]).groupBy(*owner, "grp").agg(F.min_by("item_", F.struct("seen_", "item_")).alias("item_"))
+    weak = sets.join(rarest, [*owner, "grp"]).select(*owner, "item_", F.col("grp").alias("weak"), F.col("items").alias("less_"))
+    strong = items.join(sets, [*owner, "grp"]).select(*owner, "item_", F.col("grp").alias("strong"), F.col("items").alias("more_"))
+    holds = (F.size("more_") > F.size("less_")) & (F.size(F.array_except("less_", "more_")) == 0)
+    empty = sets.filter(F.size("items") == 0).select(*owner, F.col("grp").alias("weak"))
+    below = empty.join(sets.filter(F.size("items") > 0).select(*owner, F.col("grp").alias("strong")), list(owner))
+    return strong.join(weak, [*owner, "item_"]).filter(holds).select(*owner, "strong", "weak").unionByName(below.select(*owner, "strong", "weak"))
 
 
 def antichain(groups: DataFrame, containment: DataFrame, owner: Sequence[str], order: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalith.functions import axioms, values
-from vocalith.operators import classify, diff, graph, groups, normal_form, state
+from vocalith.operators import classify, diff, graph, groups, identifiers, normal_form, state
 from vocalith.plans import ontology, services
 from vocalith.plans import tables as t
 from vocalith.plans.tables import is_a, table
@@ -122,6 +122,20 @@ def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(_with_shortcuts(spark, sf_dir)).select("node", F.col("level").cast(long).alias("level"))
 
 
+def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of urgent orders lead to the customer of the next such order of 25; who reaches each other is one set."""
+    some = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus <> 'F'").select("o_orderkey", _long("o_custkey", t.CUSTOMER).alias("child"))
+    numbered = identifiers.dense_numbers(some, ["o_orderkey"], "n")
+    after = numbered.select((F.col("n") - 1).alias("n"), F.col("child").alias("parent"))
+    return graph.strong_components(numbered.join(after, "n").filter("n % 25 <> 0").select("child", "parent"))
+
+
+def numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that have no clerk's number get the next ones: by date and key, behind a supplier that adds a check digit."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey") * 10).cast(long).alias("id"))
+    return identifiers.supplied(orders, "id", ["o_orderdate", "o_orderkey"], lambda n: -(n * 10 + n % 7)).select("o_orderkey", "id")
+
+
 def equivalent_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders of one priority and status subsume their neighbours by number, both ways; so the set is one class."""
     ordered = Window.partitionBy("o_custkey", "o_orderpriority", "o_orderstatus").orderBy("o_orderkey")
@@ -567,5 +581,5 @@ QUERIES = {f.__name__: f for f in (
     inherited_attributes, relationship_diff, group_zero_move, retired_id_reuse, inactivation_retirement, change_counts, class_axiom_text,
     axiom_signature, axiom_round_trip, property_flags_merge, description_annotations, acceptability_map, el_classification,
     stated_retirement_rows, reconcile_axioms, concept_extract, classification_delta, el_roles_and_chains, normal_form_attributes,
-    stable_group_numbers, generated_axioms, release_delta, streamed_states, archive_round_trip, chain_normal_form,
+    stable_group_numbers, generated_axioms, release_delta, streamed_states, archive_round_trip, chain_normal_form, cycle_members, numbered_orders,
 )}

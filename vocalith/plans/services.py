@@ -25,13 +25,11 @@ REASONERS: dict[str, Callable[[DataFrame], DataFrame]] = {"el": el.saturate}
 
 @dataclass
 class Classification:
-    delta: DataFrame  # action, id, sourceId, grp, typeId, destinationId, value, universal
+    delta: DataFrame  # action, id, sourceId, grp, typeId, destinationId, value, universal, inactivated
     equivalents: DataFrame  # set_id, member
     parents: DataFrame  # child, parent
     axioms: DataFrame
-
-    def counts(self) -> DataFrame:
-        return diff.change_counts(self.delta)
+    counts: dict[str, int]  # added, moved, removed, inactivated
 
 
 def classify(spark: SparkSession, snapshots: Sequence[str], delta: str | None = None, reasoner: str = "el", today: int | None = None) -> Classification:
@@ -65,10 +63,11 @@ def classify_release(spark: SparkSession, release: Release, infer: Callable[[Dat
     walked = published.join(node.withColumnRenamed("node", "sourceId"), "sourceId", "left_semi")
     changes = diff.compare(walked, new, "sourceId", normal_form.ROW, "grp", IS_A)
     dead = release.inactive.select(F.col("id").alias("sourceId"))
-    gone = state.retired(published, "sourceId", dead).select(F.lit("remove").alias("action"), "id", "sourceId", *normal_form.ROW, "grp")
+    changes = changes.withColumn("inactivated", F.lit(False))
+    gone = state.retired(published, "sourceId", dead).select(F.lit("remove").alias("action"), "id", "sourceId", *normal_form.ROW, "grp", F.lit(True).alias("inactivated"))
     kept = changes.filter("action <> 'remove'").unionByName(changes.filter("action = 'remove'").join(dead, "sourceId", "left_anti").select(changes.columns))
-    delta = reuse(kept.unionByName(gone.select(changes.columns)), release.pool)
-    return Classification(stored(delta, "delta"), sets, parents, every)
+    delta, counts = diff.counted(reuse(kept.unionByName(gone.select(changes.columns)), release.pool))
+    return Classification(stored(delta, "delta"), sets, parents, every, counts.get)
 
 
 def _walked(normal: DataFrame) -> DataFrame:
@@ -163,7 +162,8 @@ def reconcile(spark: SparkSession, authoring: str, delta: str | None, published:
     known = old.axioms.join(now.axioms.select("axiom_id"), "axiom_id", "left_anti")
     first = known.groupBy("component").agg(F.min_by(F.struct("axiom_id", "axiom", "moduleId"), "axiom_id").alias("p"))
     mine = made.groupBy("component").agg(F.min("axiom").alias("axiom"))
-    compared = mine.join(first, "component", "left").filter("p is null or p.axiom <> axiom")
+    told = diff.reconcile(first.select("component", F.col("p.axiom").alias("axiom")), mine, "component", "axiom")
+    compared = told.filter("status in ('new', 'modified')").select("component", F.col("current").alias("axiom")).join(first, "component", "left")
     modules = now.modules.select(F.col("id").alias("component"), "moduleId")
     changed = compared.join(modules, "component", "left").select(F.col("p.axiom_id").alias("axiom_id"), "component", "moduleId", "axiom", F.lit(True).alias("active"))
     gone, back = state.newly_inactive(old.inactive, now.inactive)

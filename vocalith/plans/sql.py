@@ -166,6 +166,14 @@ x(id, grp, typ, dest, v) AS (SELECT r_regionkey + {t.REGION}, 0, 1, r_regionkey
   UNION ALL SELECT id, 1, 3, NULL, v FROM c WHERE rich
   UNION ALL SELECT id, 2, 4, {t.BRAND} + length(m), NULL FROM c WHERE rich AND m = 'BUILDING')
 SELECT id::BIGINT AS "conceptId", grp::BIGINT AS grp, typ::BIGINT AS "typeId", dest::BIGINT AS "destinationId", v AS value FROM x""",
+    "cycle_members": f"""
+WITH RECURSIVE o AS (SELECT o_custkey + {t.CUSTOMER} AS c, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'),
+e(child, parent) AS (SELECT DISTINCT a.c, b.c FROM o a JOIN o b ON b.n = a.n + 1 WHERE a.n % 25 <> 0 AND a.c <> b.c),
+x(a, b) AS (SELECT child, parent FROM e UNION SELECT x.a, e.parent FROM x JOIN e ON x.b = e.child)
+SELECT least(x.a, min(x.b))::BIGINT AS set_id, x.a::BIGINT AS member FROM x WHERE a <> b AND EXISTS (SELECT 1 FROM x y WHERE y.a = x.b AND y.b = x.a) GROUP BY x.a""",
+    "numbered_orders": """
+SELECT o_orderkey, o_orderkey * 10 AS id FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT o_orderkey, -(n * 10 + n % 7) FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderpriority <> '1-URGENT')""",
     "chain_normal_form": f"""
 SELECT n_nationkey + {t.NATION} AS "conceptId", 0::BIGINT AS grp, 3::BIGINT AS "typeId", n_regionkey + {t.REGION} AS "destinationId", false AS universal FROM nation
 UNION ALL SELECT s_suppkey + {t.SUPPLIER}, 1, 1, s_nationkey + {t.NATION}, false FROM supplier
