@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocalith.functions import axioms, values
-from vocalith.operators import classify, diff, graph, groups, state
+from vocalith.operators import classify, diff, graph, groups, identifiers, normal_form, state
 from vocalith.schema import IS_A, ROLE_GROUP
 
 
@@ -152,3 +152,129 @@ def test_classification_against_plain_rules(spark, seed):
     found = pairs(classify.saturate(normal), "child", "ancestor")
     names = set(range(1, 13))
     assert {(a, b) for a, b in found if a in names and b in names} == {(a, b) for a, b in entailed(rules) if a in names and b in names}
+
+
+def reach(edges):
+    """All pairs along edges, by search."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = set()
+    for a in after:
+        seen, todo = set(), [a]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        out |= {(a, b) for b in seen}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_are_what_reaches_each_other(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(80), rng.randrange(80)) for _ in range(85)} | {(100 + i, 100 + (i + 1) % 9) for i in range(9)} | {(7, 100), (200, 201), (5, 5)}
+    pairs_ = reach(edges)
+    want = {(min(y for y in {x, *{b for a, b in pairs_ if a == x and (b, x) in pairs_}}), x) for x in {a for e in edges for a in e} if any(a == x and b != x and (b, x) in pairs_ for a, b in pairs_)}
+    df = spark.createDataFrame(sorted(edges), "child long, parent long")
+    assert pairs(graph.strong_components(df), "set_id", "member") == want
+    assert {x for s, x in want if s == 100} == set(range(100, 109))
+    assert graph.strong_components(df.limit(0)).isEmpty()
+    with pytest.raises(ValueError, match="cycle: "):
+        graph.levels(df)
+
+
+@pytest.mark.parametrize("told", [False, True])
+def test_direct_parents_of_nodes_with_many(spark, told):
+    rng = random.Random(4)
+    edges = {(a, b) for a in range(1, 60) for b in range(a) if rng.random() < 0.06} | {(70, b) for b in range(0, 60, 4)} | {(71, 70), (71, 8)}
+    closed_ = reach(edges)
+    want = {(a, b) for a, b in closed_ if not any((a, m) in closed_ and (m, b) in closed_ for m in range(80))}
+    assert max(sum(a == x for a, _ in want) for x in range(80)) > graph.ROUNDS
+    found = graph.direct_parents(spark.createDataFrame(sorted(closed_), "child long, ancestor long"), spark.createDataFrame(sorted(edges), "child long, parent long") if told else None)
+    assert pairs(found, "child", "parent") == want
+
+
+def test_intersections_with_shared_prefixes(spark):
+    rng = random.Random(6)
+    names = [f":{i}" for i in range(1, 9)]
+    texts = [f"SubClassOf(:{20 + i} ObjectIntersectionOf({' '.join(rng.sample(names, rng.randrange(2, 7)))}))" for i in range(12)]
+    texts += [f"EquivalentClasses(:{40 + i} ObjectIntersectionOf({' '.join(rng.sample(names, rng.randrange(1, 5)))} :1))" for i in range(12)]
+    texts += [f"SubClassOf(ObjectIntersectionOf(:{40 + i} :{rng.randrange(1, 9)}) :{60 + i})" for i in range(8)]
+    normal = axioms.normalised(spark.createDataFrame([(t,) for t in texts], "axiom string"))
+    rules = {r for t in texts for r in axioms.normal_rows(t)}
+    found = pairs(classify.saturate(normal), "child", "ancestor")
+    keep = lambda found: {(a, b) for a, b in found if 20 <= a and 40 <= b}
+    assert keep(found) == keep(entailed(rules))
+    assert keep(found)
+
+
+def test_sets_hold_others_by_their_rarest_item(spark):
+    rng = random.Random(9)
+    made = {(o, g): sorted(set(rng.choices("abcdefg", k=rng.randrange(6)))) for o in range(3) for g in range(14)}
+    distinct = {}
+    for (o, g), items in sorted(made.items()):
+        distinct.setdefault((o, tuple(items)), g)
+    rows = [(o, g, list(items)) for (o, items), g in distinct.items()]
+    found = groups.set_containment(spark.createDataFrame(rows, "owner int, grp int, items array<string>"), ["owner"])
+    want = {(o, g, h) for o, g, a in rows for p, h, b in rows if o == p and set(b) < set(a)}
+    assert pairs(found, "owner", "strong", "weak") == want
+
+
+def test_numbers_have_no_gaps(spark):
+    rows = spark.range(0, 1000, 1, 7).select(((F.col("id") * 37) % 1000).alias("k"), F.when(F.col("id") % 4 == 0, F.col("id") + 5000).alias("id"))
+    assert [r.number for r in identifiers.dense_numbers(rows, ["k"], first=5).orderBy("k").collect()] == list(range(5, 1005))
+    assert identifiers.dense_numbers(rows.limit(0), ["k"]).isEmpty()
+    made = {r.k: r.id for r in identifiers.supplied(rows, "id", ["k"], lambda n: -n).collect()}
+    given = {r.k: r.id for r in rows.collect()}
+    missing = sorted(k for k, i in given.items() if i is None)
+    assert made == given | {k: -n for n, k in enumerate(missing, 1)}
+
+
+def test_counts_are_taken_while_the_delta_is_written(spark, tmp_path):
+    rows = [("add", None), ("add", False), ("move", False), ("remove", False), ("remove", True), ("remove", True)]
+    delta, counts = diff.counted(spark.createDataFrame(rows, "action string, inactivated boolean"))
+    delta.write.parquet(str(tmp_path / "delta"))
+    assert counts.get == {"added": 2, "moved": 1, "removed": 1, "inactivated": 2}
+
+
+def test_universal_rows_are_compared_with_their_like(spark):
+    row = "conceptId long, grp int, typeId long, destinationId long, value string, universal boolean"
+    own = spark.createDataFrame([(1, 0, 5, 11, None, False), (2, 1, 5, 10, None, False), (2, 2, 5, 10, None, True), (2, 3, 5, 11, None, True), (3, 0, 5, 11, None, True)], row)
+    parents = spark.createDataFrame([(2, 1), (3, 1)], "child long, parent long")
+    is_a = spark.createDataFrame([(10, 11)], "child long, ancestor long")
+    found = normal_form.inferred_attributes(own, parents, spark.createDataFrame([], "child long, ancestor long"), is_a)
+    assert pairs(found, "conceptId", "grp", "destinationId", "universal") == {(1, 0, 11, False), (2, 1, 10, False), (2, 2, 10, True), (3, 0, 11, False), (3, 0, 11, True)}
+    schema = "id long, moduleId long, s long, typeId long, universal boolean, g int"
+    old = spark.createDataFrame([(1, 5, 1, 7, True, 1)], schema)
+    changes = diff.compare(old, spark.createDataFrame([(1, 7, False, 1)], "s long, typeId long, universal boolean, g int"), "s", ["typeId", "universal"], "g", IS_A)
+    assert pairs(changes, "action", "id", "universal") == {("remove", 1, True), ("add", None, False)}
+
+
+def test_concepts_that_add_nothing_share_their_parents_set(spark):
+    """Against each concept by itself: shared combinations, parents in other orders, and parents without rows."""
+    rng = random.Random(12)
+    row = "conceptId long, grp int, typeId long, destinationId long, value string"
+    parents = {(c, p) for c in range(4, 40) for p in rng.sample(range(c if c < 12 else 12), 1 + (c % 3 == 0))}
+    own = [(c, g, rng.choice([5, 6]), rng.randrange(50, 54), None) for c in range(0, 40, 3) for g in range(rng.randrange(3))]
+    frames = spark.createDataFrame(own, row), spark.createDataFrame(sorted(parents), "child long, parent long")
+    closures = spark.createDataFrame([(6, 5)], "child long, ancestor long"), spark.createDataFrame([(50, 51), (52, 53)], "child long, ancestor long")
+    found = {}
+    for r in normal_form.inferred_attributes(*frames, *closures).collect():
+        found.setdefault(r.conceptId, set()).add((r.grp, r.typeId, r.destinationId))
+    stronger = lambda a, b: (a[0] == b[0] or a == (6, a[1]) and b[0] == 5) and (a[1] == b[1] or (a[1], b[1]) in {(50, 51), (52, 53)})
+    done = {}
+    for c in range(40):
+        sources = [(0, {(g, t, d) for o, g, t, d, _ in own if o == c})] + [(p + 1, done[p]) for p in sorted(p for x, p in parents if x == c)]
+        units = []
+        for _, rows in sources:
+            for g in sorted({g for g, *_ in rows}, key=lambda g: (g == 0, g)):
+                inside = [{(t, d)} for _, t, d in sorted(r for r in rows if r[0] == 0)] if g == 0 else [{(t, d) for n, t, d in rows if n == g}]
+                units += [(g, x) for x in inside]
+        units = [(g, {a for a in x if not any(b != a and stronger(b, a) for b in x)}) for g, x in units]
+        holds = lambda a, b: all(any(stronger(x, y) for x in a) for y in b)
+        kept = [u for i, u in enumerate(units) if not any(holds(v[1], u[1]) and (not holds(u[1], v[1]) or j < i) for j, v in enumerate(units) if j != i)]
+        numbers = iter(range(1, 99))
+        done[c] = {(n, *x) for g, u in kept for n in [0 if g == 0 else next(numbers)] for x in u}
+    assert found == {c: rows for c, rows in done.items() if rows}
