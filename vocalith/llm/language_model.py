@@ -37,6 +37,8 @@ ASK = "bucket int, batch int, kind int, keys binary, counts binary, many binary,
 ANSWER = "batch int, kind int, bucket int, blob binary"
 QUESTION, EARLIER, HISTOGRAM, TOTALS = range(4)
 NOWHERE = -1
+#: In place of a ratio whose count is zero.
+NO_RATIO = -(1 << 20)
 
 
 def fold(doc_id) -> int:
@@ -157,13 +159,16 @@ def _word_totals(bits: int):
     return totals
 
 
+#: Where the numbers of a bin stand in its code, and what is added to ratios so that they are positive.
+_TWO, _ONE, _PLUS = 12, 24, 2048
+
+
 def bins(pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """(bucket of the context, quarter octaves of c(uw)/c(u) and of c(w)); -1 and below: none."""
-    none = -(1 << 20)
+    """A code of (bucket of the context, quarter octaves of c(uw)/c(u) and of c(w)); zero in place of a ratio: none."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        two = np.where(pair > 0, np.round(STEPS * np.log2(pair / context)), none)
-        one = np.where(word > 0, np.round(STEPS * np.log2(word)), none)
-    return np.stack([context_bucket(context), two.astype(np.int64), one.astype(np.int64)], axis=1)
+        two = np.where(pair > 0, np.round(STEPS * np.log2(pair / context)) + _PLUS, 0)
+        one = np.where(word > 0, np.round(STEPS * np.log2(word)) + _PLUS, 0)
+    return context_bucket(context) << _ONE | two.astype(np.int64) << _TWO | one.astype(np.int64)
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -171,10 +176,16 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.minimum(1 + np.log2(np.maximum(count, 1)).astype(np.int64), BUCKETS - 1), 0)
 
 
-def _counted(rows: np.ndarray, n: np.ndarray) -> bytes:
-    unique, at = np.unique(rows, axis=0, return_inverse=True)
-    total = np.bincount(at.ravel(), n, len(unique)).astype(np.int64)
-    return np.concatenate([unique, total[:, None]], axis=1).astype("<i8").tobytes()
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unique, at = np.unique(code, return_inverse=True)
+    return unique, np.bincount(at, n, len(unique)).astype(np.int64)
+
+
+def _histogram(code: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows (bucket, two, one, tokens); a ratio that isn't there is far below all others."""
+    code, n = _summed(code, n)
+    ratio = lambda x: np.where(x > 0, x - _PLUS, NO_RATIO)
+    return np.stack([code >> _ONE, ratio(code >> _TWO & 4095), ratio(code & 4095), n], axis=1).astype("<i8").tobytes()
 
 
 def _ask_pairs(bits: int):
@@ -217,12 +228,14 @@ def _pair_totals(bits: int):
         if len(asked):
             questions, parts, _ = _sum_up(asked, bits)
             rows += [(r[0], QUESTION, r[1], pack_counts(p)) for r, p in zip(questions, parts, strict=True)]
-            each = lambda c: [unpack_counts(x) for x in asked.column(c).to_pylist()]
-            n = np.concatenate(each("tuning"))
-            some = np.concatenate([np.repeat(p, m) for p, m in zip(parts, each("many"), strict=True)]) - n
-            if len(some):
-                context, word = (np.concatenate(each(c)) for c in ("contexts", "words"))
-                rows.append((NOWHERE, HISTOGRAM, questions[0][1], _counted(bins(some, context, word), n)))
+            found = []  # a batch at a time
+            columns = [asked.column(c) for c in ("many", "tuning", "contexts", "words")]
+            for p, *row in zip(parts, *columns, strict=True):
+                many, n, context, word = (unpack_counts(x.as_py()) for x in row)
+                if len(n):
+                    found.append(_summed(bins(np.repeat(p, many) - n, context, word), n))
+            if found:
+                rows.append((NOWHERE, HISTOGRAM, questions[0][1], _histogram(*map(np.concatenate, zip(*found, strict=True)))))
         return _table(rows, ANSWER)
 
     return totals
