@@ -150,9 +150,42 @@ def test_generated_axioms_give_the_document_of_stated_rows(spark, names, tmp_pat
         *[f"Declaration(Class(:{c}))" for c in sorted(map(str, (ROOT, 11, 12, 13, ATTRIBUTE, OBJECT)))],
         *[f"Declaration(ObjectProperty(:{c}))" for c in sorted(map(str, (SITE, OBJECT, 609096000)))],
         f"SubObjectPropertyOf(:{SITE} :{OBJECT})",
-        *sorted(x for x in body if x.startswith(("SubClassOf", "EquivalentClasses"))),
+        # classes by id as text, each with its axiom
+        f"SubClassOf(:11 :{ROOT})", f"SubClassOf(:12 :{ROOT})", f"EquivalentClasses(:13 ObjectIntersectionOf(:12 {group(some(SITE, 11))}))",
+        f"SubClassOf(:{ATTRIBUTE} :{ROOT})", f"SubClassOf(:{OBJECT} :{ATTRIBUTE})",
         ")",
-    ] or sorted(body[:-1]) == sorted(set(body[:-1]))
+    ]
+
+
+@pytest.mark.parametrize("rows", [[], [("h", 20200101, 1, M, 762103008, 734147008, "no address")], [("h", 20200101, 1, M, 762103008, 734147008, "Ontology(<http://o.org/x>)"), ("i", 20200101, 1, M, 762103008, 734147008, "Ontology(<http://o.org/y>)")]])
+def test_documents_need_one_address_and_some_axioms(spark, names, tmp_path, rows):
+    base = write(tmp_path / "base", {**BASE, "ontology": rows})
+    with pytest.raises(ValueError, match="address"):
+        services.to_owl(spark, [base], labels=False)
+    bare = write(tmp_path / "bare", {**BASE, "stated": [], "axiom": []})
+    with pytest.raises(ValueError, match="no stated relationships and no axioms"):
+        services.to_owl(spark, [bare], labels=False)
+
+
+def test_axioms_of_stated_rows_keep_ids_when_a_row_leaves_group_0(spark, names, tmp_path):
+    """Stated rows are converted, and the release is classified from its axioms alone: a role of group 0 gets a group, and keeps its id."""
+    base = write(tmp_path / "base", BASE)
+    rows = [r.row.split("\t") for r in services.stated_to_owl(spark, base)[1].collect()]
+    converted = {**BASE, "stated": [], "axiom": [(r[0], 20200101, *r[2:]) for r in rows]}
+    result = services.classify(spark, [write(tmp_path / "converted", converted)])
+    assert [(r.action, r.id, r.sourceId, r.grp, r.typeId, r.destinationId) for r in result.delta.collect()] == [("move", 290, 13, 1, SITE, 11)]
+    assert result.counts == {"added": 0, "moved": 1, "removed": 0, "inactivated": 0}
+
+
+def test_inactive_concepts_have_no_attributes(spark, names, tmp_path):
+    base = write(tmp_path / "base", BASE)
+    gone = services.classify(spark, [base], write(tmp_path / "gone", {"concept": [concept(13, DEFINED_, 0)]}))
+    assert {(r.action, r.id, r.sourceId) for r in gone.delta.collect()} == {("remove", 202, 13), ("remove", 290, 13)}
+    assert gone.counts == {"added": 0, "moved": 0, "removed": 0, "inactivated": 2}
+    # and is active again: nothing is to be done
+    before = write(tmp_path / "before", {**BASE, "concept": [(*c[:2], 0 if c[0] == 13 else 1, *c[3:]) for c in CONCEPTS]})
+    back = services.classify(spark, [before], write(tmp_path / "back", {"concept": [concept(13, DEFINED_)]}))
+    assert back.delta.isEmpty()
 
 
 def test_an_extension_converts_its_own_concepts(spark, names, tmp_path):

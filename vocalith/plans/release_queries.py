@@ -1,7 +1,7 @@
 """Queries that write the driver's tables as files of a release, and run the services on these files; and their SQL.
 
 International release: a top concept, regions, nations and customers below each other by stated is-a rows, and a role MARKET of
-customers with money to their nation; customers of the segment MACHINERY are defined.  Suppliers with money have concepts of their
+customers with money to their nation; of these the ones of the segment MACHINERY are defined.  Suppliers with money have concepts of their
 own in an extension's module; those without are named by relationships alone.
 """
 
@@ -49,11 +49,11 @@ def archive(spark: SparkSession, kinds: Kinds) -> str:
 
 def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, status, segment (of customers)."""
-    customer = table(spark, sf_dir, "customer").select(_long("c_custkey", t.CUSTOMER).alias("id"), F.col("c_mktsegment").alias("segment"))
+    defined = (F.col("c_mktsegment") == "MACHINERY") & (F.col("c_acctbal") >= 0)
+    customer = table(spark, sf_dir, "customer").select(_long("c_custkey", t.CUSTOMER).alias("id"), F.col("c_mktsegment").alias("segment"), F.when(defined, DEFINED).otherwise(PRIMITIVE).alias("status"))
     rest = is_a(spark, sf_dir).filter(F.col("child") < t.SUPPLIER).select(F.explode(F.array("child", "parent")).alias("id")).distinct()
     model = spark.createDataFrame([(TOP,), (MODEL_ATTRIBUTE,), (OBJECT_ATTRIBUTE,), (MARKET,)], "id long")
-    every = customer.unionByName(rest.unionByName(model).withColumn("segment", F.lit(None).cast("string")))
-    return every.withColumn("status", F.when(F.col("segment") == "MACHINERY", DEFINED).otherwise(PRIMITIVE))
+    return customer.unionByName(rest.unionByName(model).withColumns({"segment": F.lit(None).cast("string"), "status": F.lit(PRIMITIVE)}))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +141,28 @@ def extension_to_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(made, "axiom").unionByName(of(retired, "stated")).unionByName(of(left, "not converted"))
 
 
+def extension_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delta and equivalence sets of two archives and a delta.
+
+    Defined customers of a nation are one class, and all others with money are below it; builders are inactivated with all their rows;
+    roles of furniture customers are active again under their ids; the extension's suppliers are new, and its copies of
+    rows that the core module has go; rows of suppliers without concepts go.
+    """
+    rich = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0")
+    supplier = rich.select(_long("s_suppkey", t.SUPPLIER).alias("child"), F.lit(IS_A).cast("long").alias("type"), _long("s_nationkey", t.NATION).alias("parent"), F.lit(0).alias("grp"))
+    copies = table(spark, sf_dir, "nation").select((_long("n_nationkey", t.NATION) * 10 + 7).alias("id"), _long("n_nationkey", t.NATION).alias("child"), _long("n_regionkey", t.REGION).alias("parent"))
+    own = {
+        "concept": _row(supplier, F.col("child"), DAY, "1", EXTENSION, PRIMITIVE),
+        "stated": _edge_rows(supplier, STATED, module=EXTENSION),
+        "relationship": _row(copies, F.col("id"), DAY, "1", EXTENSION, F.col("child"), F.col("parent"), 0, IS_A, INFERRED, EXISTENTIAL),
+    }
+    found = services.classify(spark, [archive(spark, base(spark, sf_dir)), archive(spark, own)], archive(spark, delta(spark, sf_dir)))
+    columns = ["id", F.col("sourceId").alias("source_id"), F.col("typeId").alias("type_id"), F.col("destinationId").alias("destination_id"), F.col("grp").cast("long").alias("grp")]
+    none = F.lit(None).cast("long")
+    sets = found.equivalents.select(F.lit("equivalent").alias("action"), none.alias("id"), F.col("member").alias("source_id"), none.alias("type_id"), F.col("set_id").alias("destination_id"), none.alias("grp"))
+    return found.delta.select("action", *columns).unionByName(sets)
+
+
 def _published(spark: SparkSession, sf_dir: str) -> Kinds:
     """Axioms as they were published: none of regions, other ones of nations; builders were inactive then and households active now weren't known."""
     kinds = base(spark, sf_dir)
@@ -178,7 +200,7 @@ def extracted_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (release_states, owl_document, stated_to_axioms, extension_to_axioms, reconciled_release, axioms_to_stated, extracted_release)}
+QUERIES = {f.__name__: f for f in (extension_classification, release_states, owl_document, stated_to_axioms, extension_to_axioms, reconciled_release, axioms_to_stated, extracted_release)}
 
 _E = f"""c AS (SELECT c_custkey + {t.CUSTOMER} AS id, c_nationkey + {t.NATION} AS nation, c_mktsegment AS segment, c_acctbal >= 0 AS rich FROM customer),
 n AS (SELECT n_nationkey + {t.NATION} AS id, n_nationkey AS k, n_name AS name, n_regionkey + {t.REGION} AS region FROM nation),
@@ -187,7 +209,7 @@ up(child, parent) AS (SELECT id, nation FROM c UNION ALL SELECT id, region FROM
 ids(id) AS (SELECT child FROM up UNION ALL SELECT {TOP}),
 edges(child, type, parent, grp) AS (SELECT child, {IS_A}, parent, 0 FROM up UNION ALL SELECT id, {MARKET}, nation, 1 FROM c WHERE rich),
 ax(component, axiom) AS (
-  SELECT id, CASE WHEN segment = 'MACHINERY' THEN 'EquivalentClasses(:' ELSE 'SubClassOf(:' END || id || CASE WHEN rich
+  SELECT id, CASE WHEN segment = 'MACHINERY' AND rich THEN 'EquivalentClasses(:' ELSE 'SubClassOf(:' END || id || CASE WHEN rich
     THEN ' ObjectIntersectionOf(:' || nation || ' ObjectSomeValuesFrom(:{ROLE_GROUP} ObjectSomeValuesFrom(:{MARKET} :' || nation || '))))' ELSE ' :' || nation || ')' END FROM c
   UNION ALL SELECT child, CASE WHEN child = {MARKET} THEN 'SubObjectPropertyOf(:' ELSE 'SubClassOf(:' END || child || ' :' || parent || ')' FROM up WHERE child NOT IN (SELECT id FROM c))"""
 _UUID = lambda x: f"substr(md5({x}), 1, 8) || '-' || substr(md5({x}), 9, 4) || '-3' || substr(md5({x}), 14, 3) || '-8' || substr(md5({x}), 18, 3) || '-' || substr(md5({x}), 21, 12)"
@@ -200,7 +222,7 @@ _AXIOM_ROW = lambda id_, active, text, module=CORE_MODULE: _TAB(id_, "''", activ
 
 SQL = {
     "release_states": f"""
-WITH {_E} SELECT 'concept' AS what, ids.id::BIGINT AS id, coalesce(segment = 'MACHINERY', false)::BIGINT AS other FROM ids LEFT JOIN c USING (id) WHERE segment IS DISTINCT FROM 'BUILDING'
+WITH {_E} SELECT 'concept' AS what, ids.id::BIGINT AS id, coalesce(segment = 'MACHINERY' AND rich, false)::BIGINT AS other FROM ids LEFT JOIN c USING (id) WHERE segment IS DISTINCT FROM 'BUILDING'
 UNION ALL SELECT 'inactive', id, NULL FROM c WHERE segment = 'BUILDING' UNION ALL SELECT 'inactive', s_suppkey + {t.SUPPLIER}, NULL FROM supplier WHERE s_acctbal < 0
 UNION ALL SELECT 'stated', child * 10 + grp, parent FROM edges
 UNION ALL SELECT 'inferred', child * 10 + grp, parent FROM edges LEFT JOIN c ON child = id WHERE grp = 0 OR segment <> 'FURNITURE'
@@ -228,6 +250,19 @@ WITH s AS (SELECT s_suppkey + {t.SUPPLIER} AS component, 'SubClassOf(:' || (s_su
 e(child, type, parent, grp, file, active) AS (SELECT component, {IS_A}, parent, 0, 'stated', '0' FROM s UNION ALL SELECT n_nationkey + {t.NATION}, {IS_A}, {TOP}, 5, 'not converted', '1' FROM nation)
 SELECT 'axiom' AS file, {_AXIOM_ROW(_NEW, "'1'", "axiom", EXTENSION)} AS row FROM s
 UNION ALL SELECT file, {_TAB("e.child * 10 + e.grp", "''", "active", str(EXTENSION), "e.child", "e.parent", "e.grp", "e.type", str(STATED), str(EXISTENTIAL))} FROM e""",
+    "extension_classification": f"""
+WITH {_E}, top AS (SELECT nation, min(id) AS first FROM c WHERE rich AND segment = 'MACHINERY' GROUP BY nation),
+s AS (SELECT s_suppkey + {t.SUPPLIER} AS id, s_nationkey + {t.NATION} AS nation, s_acctbal >= 0 AS rich FROM supplier),
+moved AS (SELECT c.* , first FROM c JOIN top USING (nation) WHERE rich AND id <> first AND segment <> 'BUILDING')
+SELECT 'remove' AS action, id * 10 AS id, id AS source_id, {IS_A}::BIGINT AS type_id, nation::BIGINT AS destination_id, 0::BIGINT AS grp FROM c WHERE segment = 'BUILDING'
+UNION ALL SELECT 'remove', id * 10 + 1, id, {MARKET}, nation, 1 FROM c WHERE segment = 'BUILDING' AND rich
+UNION ALL SELECT 'remove', id * 10, id, {IS_A}, nation, 0 FROM s WHERE NOT rich
+UNION ALL SELECT 'add', NULL, id, {IS_A}, nation, 0 FROM s WHERE rich
+UNION ALL SELECT 'remove', id * 10 + 7, id, {IS_A}, region, 0 FROM n
+UNION ALL SELECT 'add', id * 10 + 1, id, {MARKET}, nation, 1 FROM c WHERE segment = 'FURNITURE' AND rich
+UNION ALL SELECT 'remove', id * 10, id, {IS_A}, nation, 0 FROM moved UNION ALL SELECT 'add', NULL, id, {IS_A}, first, 0 FROM moved
+UNION ALL SELECT 'equivalent', NULL, id, NULL, first, NULL FROM c JOIN top USING (nation) WHERE rich AND segment = 'MACHINERY'
+  AND nation IN (SELECT nation FROM c WHERE rich AND segment = 'MACHINERY' GROUP BY nation HAVING count(*) > 1)""",
     "reconciled_release": f"""
 WITH {_E}, {_PUBLISHED}
 SELECT component::BIGINT AS component, {_AXIOM_ROW("'p' || component", "'1'", "axiom")} AS row FROM ax WHERE component BETWEEN {t.NATION} AND {t.NATION + 999}

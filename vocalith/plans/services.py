@@ -49,7 +49,9 @@ def classify_release(spark: SparkSession, release: Release, infer: Callable[[Dat
     same = lambda df: df.select(F.col("node").alias("child"), F.col("node").alias("ancestor"))
     is_a = _with_members(strict, sets).unionByName(same(node)).distinct()
     types = graph.closure(roles).unionByName(same(attributes)).distinct()
-    own = own_attributes(release, every).join(attributes.withColumnRenamed("node", "conceptId"), "conceptId", "left_anti")
+    # what is inactive or an attribute has none
+    walked_ids = node.withColumnRenamed("node", "conceptId")
+    own = own_attributes(release, every).join(walked_ids, "conceptId", "left_semi").join(attributes.withColumnRenamed("node", "conceptId"), "conceptId", "left_anti")
     nf = normal_form.inferred_attributes(own, parents, types, is_a, stored(ontology.property_chains(normal), "chains"))
     published = normal_form.with_universal(release.inferred).select(
         "id", "moduleId", F.col("sourceId"), *normal_form.ROW, F.col("relationshipGroup").alias("grp")
