@@ -102,14 +102,14 @@ def _first_pass(own: DataFrame, parents: DataFrame, level: DataFrame, types: Dat
         shares = F.col("own_id").isNull() & (F.size("above") == 1)
         keyed = stored(keyed.withColumn("key", F.when(~shares, F.md5(F.concat_ws("|", F.coalesce("own_id", F.lit("")), F.concat_ws(",", "above"))))), "keys")
         found = keyed.filter("key is null").select("conceptId", F.element_at("above", 1).alias("set_id"))
-        work = stored(keyed.filter("key is not null").groupBy("key").agg(F.first("own_id").alias("own_id"), F.first("above").alias("above")), "work")
-        if not work.isEmpty():
+        work = keyed.filter("key is not null").groupBy("key").agg(F.min("own_id").alias("own_id"), F.min("above").alias("above"))
+        if not keyed.filter("key is not null").isEmpty():
             rows = work.join(own_rows, "own_id").select(F.col("key").alias("conceptId"), F.lit(0).alias("from_"), "grp", *ROW)
             if sets is not None:
                 theirs = work.select("key", F.posexplode("above").alias("i", "set_id")).join(sets, "set_id")
                 rows = rows.unionByName(theirs.select(F.col("key").alias("conceptId"), (F.col("i") + 1).alias("from_"), "grp", *ROW))
             reduced = stored(reduce_groups(_candidates(rows), types, near), "reduced")
-            ids = stored(_content_id(reduced, "conceptId").withColumnRenamed("conceptId", "key"), "ids")
+            ids = _content_id(reduced, "conceptId").withColumnRenamed("conceptId", "key")
             found = found.unionByName(keyed.filter("key is not null").join(ids, "key").select("conceptId", "set_id"))
             one = ids.groupBy("set_id").agg(F.min("key").alias("conceptId"))
             new = reduced.join(one, "conceptId").select("set_id", "grp", *ROW)
