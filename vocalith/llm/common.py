@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalith.sources.shared import discard, fresh_path, shared_dir, stored
+
+__all__ = ["A_Z", "discard", "fresh_path", "lower_ascii", "shared_dir", "stored", "table", "total_bytes", "utf8", "words"]
+
 A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,35 +25,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, A_Z, A_Z.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only in local mode, where all tasks run on it."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"file://{tempfile.gettempdir()}/checkpoints"
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage through a table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    df.write.parquet(path := fresh_path(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes the files of stored tables that nothing reads any more."""
-    for table in tables:
-        context = table.sparkSession.sparkContext
-        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def total_bytes(docs: DataFrame, column: str) -> tuple[int, int]:
     """Rows, and UTF-8 bytes of a column: two sums, to choose the number of shards."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(column)))).first()
