@@ -27,6 +27,7 @@ def stored(df: DataFrame, what: str = "round", by: str | None = None) -> DataFra
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of stored tables that nothing reads any more."""
     for table in tables:
