@@ -5,6 +5,7 @@ import os
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,36 @@ def test_states_survive_a_restart_and_write_what_changes(spark, tmp_path):
     assert changed == {(7, 2, "later", True), (8, 1, "a8", True), (9, 1, "b", False), (9000, 1, "new", True)}
     assert written(tmp_path / "cp") - before < before / 10
     assert run() == now
+
+
+def test_an_entry_is_read_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "PIECE", 200)
+    monkeypatch.setattr(archives, "LINES", 5)
+    writer = archives.ArchiveWriter(str(path := tmp_path / "pieces.zip"), True)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Context", (), {"partitionId": lambda self: 0})())
+    texts = [f"{i} {'x' * (i % 40)} ä" for i in range(100)]
+    rows = pa.table({"entry": ["a/row_1.txt"] * 60 + ["b/row_2.txt"] * 40, "line": texts})
+    writer.commit([writer.write(iter(rows.to_batches()))])
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None
+        assert z.read("a/row_1.txt").decode() == "".join(f"{x}\n" for x in texts[:60])
+    reader = archives.ArchiveReader(str(path), {"row": "row_"})
+    parts = reader.partitions()
+    assert len(parts) > 10
+    assert [x for p in parts for b in reader.read(p) for x in b.column(1).to_pylist()] == texts
+    monkeypatch.setattr(archives, "MOST", 3)
+    few = archives.ArchiveWriter(str(path), True)
+    few.commit([few.write(iter(rows.to_batches()))])
+    parts = reader.partitions()
+    assert len(parts) <= 6
+    assert [x for p in parts for b in reader.read(p) for x in b.column(1).to_pylist()] == texts
+
+
+def test_no_task_sorts_an_archive(spark, tmp_path):
+    """A table with a folder for each kind is written from a sort of each task's rows, that is of a whole entry."""
+    from vocalith.sources import releases
+
+    archives.write_entries(spark.createDataFrame([("sct2_Concept_Snapshot.txt", "1\t20200101\t1\t2\t3")], "entry string, line string"), path := f"{tmp_path}/r.zip", ["line"])
+    raw = releases.read_raw(spark, [path])
+    assert [r.id for r in raw["concept"].collect()] == [1] and raw["relationship"].isEmpty()
+    assert all("kind=" not in f for f in raw["concept"].inputFiles())

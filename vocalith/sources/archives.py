@@ -1,7 +1,9 @@
 """Zip archives as a data source and a sink of Spark's Python data source interface.
 
 Reading: the driver reads the central directory alone, and each entry of a wanted kind is one partition, which seeks to its
-entry and inflates it as a stream.  So an archive of n files is n tasks, and no task holds an archive or an entry.
+entry and inflates it as a stream.  So an archive of n files is n tasks, and no task holds an archive or an entry.  An archive that
+was written here names the places in an entry where a stream can start (in a field of the directory that others skip); there
+each piece is a partition.
 
 Writing: rows come sorted by entry and place, and each task writes what it has of an entry as a segment of its own beside the
 target: deflated, and ended such that the next one's can follow.  The commit puts the segments behind each other, an entry
@@ -29,6 +31,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 #: Rows of a batch that is read, and bytes that are written or copied at a time.
 LINES, CHUNK = 50_000, 4 << 20
+#: Packed bytes that are inflated at a time; bytes of lines from which a piece ends; the field that names pieces, and how many it holds.
+INFLATED, PIECE = 1 << 18, 32 << 20
+FIELD, MOST = 0x4B56, 5000
 FORMAT = "release_archive"
 
 
@@ -44,6 +49,9 @@ class Entry(InputPartition):
     path: str
     name: str
     kind: str
+    start: int = 0  # of a piece in the archive; its packed bytes, if it isn't a whole entry, and its checksum
+    packed: int = 0
+    crc: int = 0
 
 
 class ArchiveReader(DataSourceReader):
@@ -54,10 +62,21 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         files, path = opened(self.path)
-        with files.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            names = z.namelist()
         kind = lambda name: next((k for k, p in self.patterns.items() if re.match(p, posixpath.basename(name))), None)
-        return [Entry(self.path, n, k) for n in names if (k := kind(n))]
+        out = []
+        with files.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+            for info in z.infolist():
+                if not (k := kind(info.filename)):
+                    continue
+                if not (found := pieces_of(info.extra)):
+                    out.append(Entry(self.path, info.filename, k))
+                    continue
+                f.seek(info.header_offset + 26)
+                at = info.header_offset + 30 + sum(struct.unpack("<HH", f.read(4)))
+                for packed, crc in found:
+                    out.append(Entry(self.path, info.filename, k, at, packed, crc))
+                    at += packed
+        return out
 
     def read(self, partition: Entry | None) -> Iterator:
         import pyarrow as pa
@@ -65,14 +84,52 @@ class ArchiveReader(DataSourceReader):
         if partition is None:  # an archive without such entries
             return
         files, path = opened(partition.path)
-        with files.open_input_file(path) as f, zipfile.ZipFile(f) as z, z.open(partition.name) as entry:
-            lines: list[str] = []
-            for line in entry:
-                lines.append(line.rstrip(b"\n").removesuffix(b"\r").decode())
-                if len(lines) == LINES:
-                    yield _batch(pa, partition.kind, lines)
-                    lines = []
-            yield _batch(pa, partition.kind, lines)
+        with files.open_input_file(path) as f:
+            if partition.packed:
+                f.seek(partition.start)
+                yield from _batches(pa, partition.kind, _inflated(f, partition))
+            else:
+                with zipfile.ZipFile(f) as z, z.open(partition.name) as entry:
+                    yield from _batches(pa, partition.kind, (line.rstrip(b"\n") for line in entry))
+
+
+def pieces_of(extra: bytes) -> list[tuple[int, int]]:
+    """(packed bytes, checksum) of the pieces that an entry's extra fields name."""
+    at = 0
+    while at + 4 <= len(extra):
+        field, size = struct.unpack_from("<HH", extra, at)
+        if field == FIELD and at + 4 + size <= len(extra):
+            return list(struct.iter_unpack("<II", extra[at + 4 : at + 4 + size]))
+        at += 4 + size
+    return []
+
+
+def _inflated(f, piece: Entry) -> Iterator[bytes]:
+    """Lines of a piece, which ends with one."""
+    inflate, left, rest, crc = zlib.decompressobj(-15), piece.packed, b"", 0
+    while left:
+        data = f.read(min(left, INFLATED))
+        if not data:
+            raise zipfile.BadZipFile(f"{piece.name} is cut off")
+        left -= len(data)
+        raw = inflate.decompress(data)
+        crc = zlib.crc32(raw, crc)
+        *lines, rest = (rest + raw).split(b"\n")
+        yield from lines
+    if crc != piece.crc:
+        raise zipfile.BadZipFile(f"bad checksum of a piece of {piece.name}")
+    if rest:
+        yield rest
+
+
+def _batches(pa, kind: str, every: Iterator[bytes]) -> Iterator:
+    lines: list[str] = []
+    for line in every:
+        lines.append(line.removesuffix(b"\r").decode())
+        if len(lines) == LINES:
+            yield _batch(pa, kind, lines)
+            lines = []
+    yield _batch(pa, kind, lines)
 
 
 def _batch(pa, kind: str, lines: list[str]):
@@ -89,6 +146,7 @@ class Segment:
     packed: int
     raw: int
     crc: int
+    pieces: list[list[int]]  # packed, raw, checksum of what can be inflated by itself
 
 
 @dataclass
@@ -136,10 +194,12 @@ class ArchiveWriter(DataSourceArrowWriter):
         out, deflate = None, None
 
         def close() -> None:
-            if segments:
+            """The end of a piece, from which another stream can follow."""
+            if segments and segments[-1].pieces:
                 last = deflate.flush(zlib.Z_FULL_FLUSH) if self.packed else b""
                 out.write(last)
                 segments[-1].packed += len(last)
+                segments[-1].pieces[-1][0] += len(last)
 
         for batch in iterator:
             if out is None:
@@ -152,13 +212,19 @@ class ArchiveWriter(DataSourceArrowWriter):
                 for a, b in zip(edges, [*edges[1:], len(names)], strict=True):
                     if not segments or segments[-1].entry != names[a]:
                         close()
-                        segments.append(Segment(names[a], name, sum(s.packed for s in segments), 0, 0, 0))
+                        segments.append(Segment(names[a], name, sum(s.packed for s in segments), 0, 0, 0, []))
+                    elif segments[-1].pieces[-1][1] >= PIECE:
+                        close()
+                    if not segments[-1].pieces or segments[-1].pieces[-1][1] >= PIECE:
+                        segments[-1].pieces.append([0, 0, 0])
                         deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
                     raw = "".join(f"{x}\n" for x in some[a:b]).encode()
                     data = deflate.compress(raw) if self.packed else raw
                     out.write(data)
                     s = segments[-1]
                     s.packed, s.raw, s.crc = s.packed + len(data), s.raw + len(raw), zlib.crc32(raw, s.crc)
+                    p = s.pieces[-1]
+                    p[0], p[1], p[2] = p[0] + len(data), p[1] + len(raw), zlib.crc32(raw, p[2])
         close()
         if out is not None:
             out.close()
@@ -198,6 +264,18 @@ def _copy(s: Segment, files, out) -> None:
             left -= len(data)
 
 
+def _named(segments: list[Segment]) -> bytes:
+    """The field of an entry's pieces; none if one of them is too large for it."""
+    pieces = [tuple(p) for s in segments for p in s.pieces]
+    while len(pieces) > MOST:
+        pairs = [pieces[i : i + 2] for i in range(0, len(pieces), 2)]
+        pieces = [(a[0] + b[0][0], a[1] + b[0][1], combined_crc(a[2], b[0][2], b[0][1])) if b else a for a, *b in pairs]
+    if any(p[0] >> 32 for p in pieces):
+        return b""
+    data = b"".join(struct.pack("<II", packed, crc) for packed, _, crc in pieces)
+    return struct.pack("<HH", FIELD, len(data)) + data
+
+
 def _write_archive(out, segments: list[Segment], files) -> None:
     """Local headers, joined segments and the central directory of a zip file, in its 64-bit form throughout; times are the format's first."""
     entries: dict[str, list[Segment]] = {}
@@ -217,7 +295,7 @@ def _write_archive(out, segments: list[Segment], files) -> None:
         for s in own:
             _copy(s, files, out)
         out.write(end)
-        extra = struct.pack("<HHQQQ", 1, 24, raw, packed, at)
+        extra = struct.pack("<HHQQQ", 1, 24, raw, packed, at) + _named(own)
         directory.append(b"PK\x01\x02" + struct.pack("<H", 45) + common + struct.pack("<HHHHII", len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + name + extra)
         at += len(head) + packed
     size = sum(map(len, directory))
@@ -246,7 +324,7 @@ class ArchiveSource(DataSource):
 
 
 def archive_lines(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
-    """(kind, line) of a zip file's entries of these kinds, one partition for each."""
+    """(kind, line) of a zip file's entries of these kinds, one partition for each entry, or piece if these are known."""
     spark.dataSource.register(ArchiveSource)
     return spark.read.format(FORMAT).option("kinds", json.dumps(patterns)).load(path)
 

@@ -51,8 +51,9 @@ def read_raw(spark: SparkSession, paths: Sequence[str], profile: str = "base") -
     kinds = PROFILES[profile]
     if not paths:
         return {k: spark.createDataFrame([], schema.struct(k)) for k in kinds}
-    # an archive is inflated once, all its entries beside each other, to a table with a folder for each kind
-    zips = {p: stored(archive_lines(spark, p, {k: FILES[k][0] for k in kinds}), "archive", "kind") for p in paths if p.endswith(".zip")}
+    # an archive is inflated once, all its entries beside each other; a file of the table has one kind, so a filter skips
+    # the others, and no task sorts an entry by kind, as folders would have it
+    zips = {p: stored(archive_lines(spark, p, {k: FILES[k][0] for k in kinds}), "archive") for p in paths if p.endswith(".zip")}
     of = lambda p, k: zips[p].filter(F.col("kind") == k).select("line") if p in zips else folder_lines(spark, p, k)
     return {k: typed(reduce(DataFrame.unionByName, [of(p, k) for p in paths]), k) for k in kinds}
 
