@@ -267,3 +267,19 @@ def test_what_nothing_can_be(spark):
     assert {r.concept for r in classify.unsatisfiable(subsumed).collect()} == {1, 4}
     parents, _, _ = classify.taxonomy(subsumed, None)
     assert {(r.child, r.parent) for r in parents.collect()} == {(5, 2)}
+
+
+def test_concepts_with_one_definition_cost_what_one_does(spark):
+    many = range(1, 31)
+    texts = [f"EquivalentClasses(:{i} ObjectIntersectionOf(:100 ObjectSomeValuesFrom(:9 :101)))" for i in many]
+    texts += ["EquivalentClasses(:1 ObjectIntersectionOf(:102 :103))", "SubClassOf(:50 :102)", "SubClassOf(:50 :103)", "EquivalentClasses(:60 owl:Nothing)", "SubClassOf(:61 :60)"]
+    rules = axioms.normalised(spark.createDataFrame([(t,) for t in texts], "axiom string"))
+    found, same = classify.saturated(rules)
+    assert found.count() < 20
+    every = classify.saturate(rules)
+    pairs = {(r.child, r.ancestor) for r in every.filter("ancestor > 0 and child < 60").collect()}
+    assert pairs == {(i, j) for i in many for j in (*many, 100, 102, 103) if i != j} | {(50, j) for j in (*many, 100, 102, 103)}
+    assert {r.concept for r in classify.unsatisfiable(every).collect()} == {60, 61}
+    parents, sets, _ = classify.taxonomy(found, None, same)
+    assert {(r.set_id, r.member) for r in sets.collect()} == {(1, i) for i in many}
+    assert {(r.child, r.parent) for r in parents.collect()} == {(i, 1) for i in many if i > 1} | {(1, 100), (1, 102), (1, 103), (50, 1)}

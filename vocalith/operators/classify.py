@@ -93,12 +93,57 @@ class Intersections:
         self.known = stored(self.known, "sides")
 
 
+def collapsed(rules: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rules in which one number stands for all classes that are told to be below each other; and (member, rep) of these, if there are any.
+
+    So n concepts with one definition cost each round what one costs, and not n times n.  The smallest named member stands for
+    its class.  An intersection keeps its own number among members, since a class may be defined by several.
+    """
+    told = rules.filter("rule = 'told' and a <> b").select(F.col("a").alias("child"), F.col("b").alias("parent")).distinct()
+    back = told.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    mutual = stored(told.join(back, ["child", "parent"], "left_semi"), "mutual")
+    if mutual.isEmpty():
+        return rules, None
+    classes = graph.components(mutual)
+    reps = classes.groupBy("set_id").agg(F.coalesce(F.min(F.when(F.col("member") > 0, F.col("member"))), F.min("member")).alias("rep"), F.max(F.col("member") == BOTTOM).alias("none_"))
+    # what is nothing stays as it is, since nothing has a number of its own
+    same = stored(classes.join(reps.filter("not none_"), "set_id").select("member", "rep"), "same")
+    moved = same.filter("member <> rep")
+
+    def named(df: DataFrame, c: str, where) -> DataFrame:
+        met = df.join(moved.select(F.col("member").alias(c), F.col("rep").alias("rep_")), c, "left")
+        return met.withColumn(c, F.when(where, F.coalesce("rep_", c)).otherwise(F.col(c))).select(rules.columns)
+
+    rule = F.col("rule")
+    out = named(named(named(rules, "a", rule.isin("told", "member", "exists")), "b", rule == "told"), "c", rule == "exists")
+    none, null = F.lit(None).cast("long"), F.lit(None).cast("int")
+    whole = rules.filter("rule = 'member'").select(F.col("b").alias("member")).distinct().join(moved, "member")
+    ends = whole.select(F.lit("told").alias("rule"), F.col("member").alias("a"), F.col("rep").alias("b"), none.alias("c"), null.alias("n"))
+    return out.unionByName(ends.select(rules.columns)).distinct(), same.filter("member > 0")
+
+
 def saturate(rules: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(child, ancestor): strict subsumption among named concepts, and under BOTTOM those that nothing can be.
 
     rules: see functions.axioms.normalised.
     """
-    rules = stored(_with_bottom(rules), "rules")
+    found, same = saturated(rules, max_rounds)
+    if same is None:
+        return found
+    of = lambda df, c: df.join(same.select(F.col("rep").alias(c), "member"), c, "left").withColumn(c, F.coalesce("member", c)).select("child", "ancestor")
+    each = same.select("rep", F.col("member").alias("child")).join(same.select("rep", F.col("member").alias("ancestor")), "rep").filter("child <> ancestor")
+    return of(of(found, "child"), "ancestor").unionByName(each.select("child", "ancestor"))
+
+
+def saturated(rules: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame | None]:
+    """What saturate finds, with one concept for all that are told to be the same; and (member, rep) of these, if there are any."""
+    rules, same = collapsed(stored(_with_bottom(rules), "rules"))
+    if same is not None:
+        rules = stored(rules, "rules")
+    return _fixpoint(rules, max_rounds), same
+
+
+def _fixpoint(rules: DataFrame, max_rounds: int) -> DataFrame:
     pick = lambda rule, *names: rules.filter(F.col("rule") == rule).select(*[F.col(c).alias(n) for c, n in zip("abcn", names, strict=False) if n])
     exists = pick("exists", "x", "role", "filler")
     member = pick("member", "d", "x")
@@ -172,10 +217,10 @@ def _chained(new: DataFrame, known: DataFrame, chain: DataFrame) -> list[DataFra
     return [pairs(new, known), pairs(known, new)]
 
 
-def taxonomy(subsumed: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def taxonomy(subsumed: DataFrame, concepts: DataFrame, same: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(parents, equivalence sets, closure over representatives) of strict subsumption among named concepts.
 
-    In a set of equivalent concepts the smallest has the real parents; each other one has it as its only parent.
+    same: (member, rep) of concepts of which the subsumption knows one alone, see saturated.  In a set of equivalent concepts the smallest has the real parents; each other one has it as its only parent.
     Concepts that nothing can be have no place.
     """
     nothing = unsatisfiable(subsumed)
@@ -183,7 +228,14 @@ def taxonomy(subsumed: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataF
     for end in ("child", "ancestor"):
         subsumed = subsumed.join(nothing.withColumnRenamed("concept", end), end, "left_anti").select("child", "ancestor")
     subsumed = stored(subsumed, "subsumed")
-    sets = stored(graph.equivalents(subsumed), "sets")
+    sets = graph.equivalents(subsumed)
+    if same is not None:
+        own = same.join(nothing.withColumnRenamed("concept", "rep"), "rep", "left_anti")
+        known = sets.withColumnRenamed("member", "rep")
+        # a set has all members of each of its own, and the smallest of the smallest stands for it
+        sets = sets.unionByName(own.join(known, "rep", "left").select(F.coalesce("set_id", "rep").alias("set_id"), "member")).distinct()
+        sets = sets.join(sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_")).filter("n_ > 1").select("set_id"), "set_id", "left_semi")
+    sets = stored(sets, "sets")
     rep = sets.filter("member <> set_id")
     name = lambda df, c: df.join(rep.select(F.col("member").alias(c), F.col("set_id").alias("r_")), c, "left").withColumn(c, F.coalesce("r_", c)).drop("r_")
     strict = stored(name(name(subsumed, "child"), "ancestor").filter("child <> ancestor").distinct(), "strict")

@@ -148,6 +148,11 @@ def _smallest_below(edges: DataFrame) -> DataFrame:
             return colours
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(set_id, member) of all nodes of edges (child, parent) that go both ways; set_id is the smallest that a node is joined with."""
+    return _smallest_below(edges).select(F.col("colour").alias("set_id"), F.col("node").alias("member"))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(set_id, member) of the nodes (child, parent) that reach each other, sets of two or more; set_id is the smallest.
 

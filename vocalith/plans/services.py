@@ -41,17 +41,20 @@ def classify_release(spark: SparkSession, release: Release, infer: Callable[[Dat
     every = ontology.all_axioms(spark, release)
     normal = stored(ax.normalised(every), "normal")
     ax.check_names(normal)
-    parents, sets, strict = el.taxonomy(infer(normal), release.concepts)
+    # one of those that are told to be the same stands for all
+    subsumed, same_as = el.saturated(normal) if infer is el.saturate else (infer(normal), None)
+    parents, sets, strict = el.taxonomy(subsumed, release.concepts, same_as)
     roles = normal.filter("rule = 'role'").select(F.col("a").alias("child"), F.col("b").alias("parent")).distinct()
     parents = stored(parents.unionByName(roles).distinct(), "parents")
     attributes = roles.select(F.col("child").alias("node")).unionByName(roles.select(F.col("parent").alias("node"))).distinct()
     node = _walked(normal)
     same = lambda df: df.select(F.col("node").alias("child"), F.col("node").alias("ancestor"))
-    is_a = _with_members(strict, sets).unionByName(same(node)).distinct()
     types = graph.closure(roles).unionByName(same(attributes)).distinct()
     # what is inactive or an attribute has none
     walked_ids = node.withColumnRenamed("node", "conceptId")
     own = own_attributes(release, every).join(walked_ids, "conceptId", "left_semi").join(attributes.withColumnRenamed("node", "conceptId"), "conceptId", "left_anti")
+    # rows are compared by their destinations alone
+    is_a = stored(_among(own.select(F.col("destinationId").alias("node")).filter("node is not null").distinct(), strict, sets), "is-a")
     nf = normal_form.inferred_attributes(own, parents, types, is_a, stored(ontology.property_chains(normal), "chains"))
     published = normal_form.with_universal(release.inferred).select(
         "id", "moduleId", F.col("sourceId"), *normal_form.ROW, F.col("relationshipGroup").alias("grp")
@@ -79,13 +82,12 @@ def _walked(normal: DataFrame) -> DataFrame:
     return named.filter("node > 0").distinct()
 
 
-def _with_members(strict: DataFrame, sets: DataFrame) -> DataFrame:
-    """The closure for all members of equivalence sets, as sources and as ancestors."""
-    rep = sets.filter("member <> set_id")
-    down = strict.join(rep.withColumnRenamed("set_id", "child"), "child").select(F.col("member").alias("child"), "ancestor")
-    up = strict.unionByName(down).join(rep.withColumnRenamed("set_id", "ancestor"), "ancestor").select("child", F.col("member").alias("ancestor"))
-    each = sets.select("set_id", F.col("member").alias("child")).join(sets.select("set_id", F.col("member").alias("ancestor")), "set_id").select("child", "ancestor")
-    return strict.unionByName(down).unionByName(up).unionByName(each).distinct()
+def _among(nodes: DataFrame, strict: DataFrame, sets: DataFrame) -> DataFrame:
+    """(child, ancestor) of these nodes alone, members of equivalence sets included; each is below itself."""
+    named = nodes.join(sets.withColumnRenamed("member", "node"), "node", "left").select("node", F.coalesce("set_id", "node").alias("rep"))
+    low, high = named.select(F.col("rep").alias("child"), F.col("node").alias("low")), named.select(F.col("rep").alias("ancestor"), F.col("node").alias("high"))
+    below = strict.join(low, "child").join(high, "ancestor").select(F.col("low").alias("child"), F.col("high").alias("ancestor"))
+    return below.unionByName(low.join(high, F.col("child") == F.col("ancestor")).select(F.col("low").alias("child"), F.col("high").alias("ancestor")))
 
 
 def own_attributes(release: Release, every: DataFrame) -> DataFrame:
