@@ -95,25 +95,27 @@ def merge(spark: SparkSession, old: dict[str, DataFrame], new: dict[str, DataFra
     order = [F.col("source_rank"), F.col("effectiveTime"), F.col("active"), F.col("moduleId")]
     last = lambda kind, *keys: state.latest_state(ranked(kind), keys or ("id",), order)
 
-    concept = last("concept")
+    # states are merged once, and not again by each of the services' joins
+    concept = stored(last("concept"), "concepts")
     active = concept.filter("active").select("id", "moduleId", (F.col("definitionStatusId") == schema.DEFINED).alias("defined"))
     edges = ranked("relationship")
     stated_rows = ranked("stated").unionByName(edges.filter(F.col("characteristicTypeId") == schema.STATED))
     edges = edges.filter(F.col("characteristicTypeId") != schema.STATED)
     plain = F.col("characteristicTypeId") != ADDITIONAL
     universal = F.coalesce(F.col("modifierId") == UNIVERSAL, F.lit(False))
-    stated = state.latest_state(stated_rows, ["id"], order).filter("active").filter(plain)
+    stated = stored(state.latest_state(stated_rows, ["id"], order).filter("active").filter(plain), "stated")
     inferred = state.latest_state(edges, ["id"], order).filter("active").filter(plain).withColumn("value", F.lit(None).cast("string"))
     concrete = last("concrete").filter("active").withColumn("destinationId", F.lit(None).cast("long"))
+    inferred = stored(inferred.unionByName(concrete).withColumn("universal", universal), "inferred")
     pool = edges.filter(~F.col("active") | ~plain)
     named = stated_rows.select("sourceId").unionByName(edges.select("sourceId")).unionByName(ranked("concrete").select("sourceId"))
     orphaned = state.orphans(named, "sourceId", active.select(F.col("id").alias("sourceId")), "sourceId").select(F.col("sourceId").alias("id"))
-    inactive = concept.filter("not active").select("id").unionByName(orphaned).distinct()
+    inactive = stored(concept.filter("not active").select("id").unionByName(orphaned).distinct(), "inactive")
     axioms = last("axiom", "referencedComponentId", "id").filter("active")
     roles = last("mrcm").filter("active and grouped = '0'")
     release = Release(
         concepts=active, inactive=inactive, modules=concept.select("id", "moduleId"), stated=stated.withColumn("universal", universal),
-        inferred=inferred.unionByName(concrete).withColumn("universal", universal), pool=pool,
+        inferred=inferred, pool=pool,
         axioms=axioms.select(F.col("id").alias("axiom_id"), F.col("referencedComponentId").alias("component"), "moduleId", F.col("owlExpression").alias("axiom")),
         ontology=last("ontology").filter("active").select("id", F.col("referencedComponentId").alias("row"), F.col("owlExpression").alias("text")),
         ungrouped=roles.select("contentTypeId", F.col("referencedComponentId").alias("attributeId")).distinct(),
