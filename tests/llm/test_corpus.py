@@ -113,6 +113,15 @@ def test_a_window_takes_the_seeds_nearest():
     assert [(p[0], p[3]) for p in pieces[:2]] == [(0, 0), (2, 0)]
 
 
+def test_a_window_takes_those_that_share_common_terms_alone():
+    """Terms in over a tenth of a shard rank documents too, where no rarer one is left."""
+    own = [np.array([100 + i, 130 + i, 160 + i, 190 + i], np.uint16) for i in range(20)]
+    for d in (0, 9, 12):
+        own[d] = np.array([1, 2, 3, 300 + d], np.uint16)
+    pieces = packing.pack_shard(own, 8)
+    assert [p[0] for p in pieces[:2]] == [0, 9]
+
+
 def test_token_files_read_back(spark, tmp_path):
     found = token_files.checksums(token_files.token_files(docs(spark), f"file://{tmp_path}/t")).collect()
     every = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0))

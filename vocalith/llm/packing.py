@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from vocalith.llm.tokenize import BYTE_BPE, Vocabulary, tokenizer
 
 LENGTH = 1024
 END_ID = 0
-#: Tokens of a shard; BM25's own two parameters; terms in more than this share of a shard's documents weigh nothing.
+#: Tokens of a shard; BM25's own two parameters; terms in more than this share of a shard's documents
+#: rank only those that share no rarer one.
 SHARD_TOKENS = 10 << 20
 K1, B = 1.2, 0.75
 COMMON = 0.1
@@ -40,27 +42,18 @@ IDS = 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Index:
-    """Postings of one shard in order of term: documents and BM25 weights."""
+class Postings:
+    """Some terms of one shard: documents and BM25 weights in order of term."""
 
-    def __init__(self, docs: list):
+    def __init__(self, term, tf, doc, idf, length):
         import numpy as np
 
-        counted = [np.unique(d, return_counts=True) for d in docs]
-        n = np.array([len(t) for t, _ in counted])
-        term, tf = np.concatenate([t for t, _ in counted]), np.concatenate([c for _, c in counted])
-        doc, length = np.repeat(np.arange(len(docs), dtype=np.int32), n), np.array([len(d) for d in docs])
-        df = np.bincount(term, minlength=IDS)
-        idf = np.log(np.maximum((len(docs) - df + 0.5) / (df + 0.5), 1))
-        idf[df > max(2, COMMON * len(docs))] = 0
-        keep = idf[term] > 0
-        term, tf, doc = term[keep], tf[keep], doc[keep]
-        self.terms = np.split(term, np.cumsum(np.bincount(doc, minlength=len(docs)))[:-1])
+        self.size = len(length)
+        self.terms = np.split(term, np.cumsum(np.bincount(doc, minlength=self.size))[:-1])
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order].astype(np.intp), weight[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=IDS))])
-        self.size = len(docs)
 
     def scores(self, i: int):
         import numpy as np
@@ -71,9 +64,34 @@ class Index:
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.bincount(self.doc[at], self.weight[at], self.size)
 
+
+class Index:
+    """The terms of one shard that tell documents apart, and all others for documents that share no such term."""
+
+    def __init__(self, docs: list):
+        import numpy as np
+
+        counted = [np.unique(d, return_counts=True) for d in docs]
+        n = np.array([len(t) for t, _ in counted])
+        term, tf = np.concatenate([t for t, _ in counted]), np.concatenate([c for _, c in counted])
+        doc, length = np.repeat(np.arange(len(docs), dtype=np.int32), n), np.array([len(d) for d in docs])
+        df = np.bincount(term, minlength=IDS)
+        odds = (len(docs) - df + 0.5) / (df + 0.5)
+        rare = (odds > 1) & (df <= max(2, COMMON * len(docs)))
+        keep = rare[term]
+        self.rare = Postings(term[keep], tf[keep], doc[keep], np.log(np.maximum(odds, 1)), length)
+        self.common = Postings(term[~keep], tf[~keep], doc[~keep], np.log1p(odds), length)
+
     def neighbours(self, i: int, used):
-        """Unused documents that share a term with document i, best first. used: a mask that may grow meanwhile."""
-        score = self.scores(i)
+        """Unused documents that share a rare term with document i, best first. used: a mask that may grow meanwhile."""
+        return self._best(self.rare, i, used)
+
+    def others(self, i: int, used):
+        """Unused documents by the terms that neighbours leaves out, best first."""
+        return self._best(self.common, i, used)
+
+    def _best(self, postings: Postings, i: int, used):
+        score = postings.scores(i)
         score[used] = score[i] = 0
         # a window takes two or three: to look for the best again is cheaper than to sort
         while score[best := int(score.argmax())] > 0:
@@ -109,7 +127,7 @@ def pack_shard(docs: list, length: int = LENGTH) -> list[tuple[int, int, int, in
             if room == 0:
                 sequence, room = sequence + 1, length
             elif fresh:
-                candidates = index.neighbours(current, used)
+                candidates = chain(index.neighbours(current, used), index.others(current, used))
         current = None
     return _powers(pieces, sequence, length - room)
 
