@@ -266,3 +266,21 @@ def test_scores_beyond_a_double_are_exact():
     for r in block.results().to_pylist():
         out[r["key"]].append((r["score"] - 2 * big * big, r["id"]))
     assert out[0] == [(3, 6), (3, 8), (2, 7)]
+
+
+def test_stretches_of_windows_answer_like_all_of_them(monkeypatch):
+    import numpy as np
+
+    from vocalith.llm import repeats
+
+    rng = np.random.default_rng(1)
+    passage = rng.integers(97, 100, 400).astype(np.uint8)
+    data = np.concatenate([np.concatenate([rng.integers(97, 123, 300).astype(np.uint8), passage]) for _ in range(60)])
+    begin = np.arange(len(data) - repeats.SPAN + 1)
+    value = begin // 700
+    whole = repeats.longest_previous_factors(data, begin, value) >= repeats.SPAN
+    sizes, one = [], repeats.longest_previous_factors
+    monkeypatch.setattr(repeats, "SORTED", 8000)
+    monkeypatch.setattr(repeats, "longest_previous_factors", lambda d, b, v: sizes.append(len(b)) or one(d, b, v))
+    assert (repeats.whole_matches(data, begin, value) == whole).all() and whole.sum() > 10_000
+    assert len(sizes) > 5 and sum(sizes) == len(begin)

@@ -34,6 +34,8 @@ KEPT = -1
 #: An anchor with so many runs in all is hot: each of its windows goes to a bucket of its own hash.  A batch counts its
 #: runs of an anchor from the second number on; fewer count as one.
 HOT, LISTED = 4096, 16
+#: Suffixes that are sorted at a time.
+SORTED = 1 << 18
 
 
 def smaller_neighbours(value: np.ndarray, lcp: np.ndarray):
@@ -79,6 +81,24 @@ def longest_previous_factors(data: np.ndarray, begin: np.ndarray, value: np.ndar
     return out
 
 
+def whole_matches(data: np.ndarray, begin: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which suffixes at `begin` have a factor of SPAN bytes. Equal windows have equal hashes, so stretches of hashes are sorted each by itself."""
+    out = np.zeros(len(begin), bool)
+    if len(begin) <= SORTED:
+        return longest_previous_factors(data, begin, value) >= SPAN
+    # two strings of K bytes at the window's ends, which equal windows share
+    h = anchors.hashes(data)
+    key = h[begin] ^ (h[begin + SPAN - anchors.K] >> np.uint64(1))
+    del h
+    parts = -(-2 * len(begin) // SORTED)
+    part = ((key >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
+    del key
+    order = np.argsort(part, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        out[at] = longest_previous_factors(data, begin[at], value[at]) >= SPAN
+    return out
+
+
 class Batch:
     """A batch's runs, and the distinct anchors they have."""
 
@@ -217,7 +237,7 @@ def _repeated(group):
         length = count + SPAN - 1
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         begin = np.repeat(np.cumsum(length) - length, count) + nth
-        found = longest_previous_factors(data, begin, np.repeat(doc, count)) >= SPAN
+        found = whole_matches(data, begin, np.repeat(doc, count))
         parts = np.split(found, np.cumsum([c.sum() for c in counts])[:-1])
         out += [(r[0], r[1], np.packbits(p).tobytes()) for r, p in zip(asked, parts, strict=True)]
     return _table(out, ANSWER)
