@@ -278,3 +278,11 @@ def test_concepts_that_add_nothing_share_their_parents_set(spark):
         numbers = iter(range(1, 99))
         done[c] = {(n, *x) for g, u in kept for n in [0 if g == 0 else next(numbers)] for x in u}
     assert found == {c: rows for c, rows in done.items() if rows}
+
+
+def test_components_pass_no_table_of_a_round_through_the_driver(spark, monkeypatch):
+    plans, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, *a))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "child long, parent long")
+    assert {(r.set_id, r.member) for r in graph.strong_components(edges).collect()} == {(1, 1), (1, 2), (1, 3)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)

@@ -121,12 +121,17 @@ def equivalents(subsumed: DataFrame) -> DataFrame:
     return sets.select(F.least("child", "m_").alias("set_id"), F.col("child").alias("member"))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A table of nodes to be joined with, dealt by its keys: a broadcast of each round would pass all of it through the driver."""
+    return df.hint("merge")
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """edges without those of nodes that nothing leads to or from: they are in no cycle."""
     for _ in range(MERGED):
         before = edges.count()
         below, above = edges.select(F.col("child").alias("node")).distinct(), edges.select(F.col("parent").alias("node")).distinct()
-        inner = edges.join(above.withColumnRenamed("node", "child"), "child", "left_semi").join(below.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        inner = edges.join(_dealt(above.withColumnRenamed("node", "child")), "child", "left_semi").join(_dealt(below.withColumnRenamed("node", "parent")), "parent", "left_semi")
         edges = stored(inner.select("child", "parent"), "trimmed")
         if edges.count() == before:
             break
@@ -138,10 +143,10 @@ def _smallest_below(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
     colours = stored(nodes.withColumn("colour", F.col("node")), "colours")
     while True:
-        along = edges.join(colours.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node"), "colour")
-        jump = colours.join(colours.select(F.col("node").alias("colour"), F.col("colour").alias("next")), "colour").select("node", F.col("next").alias("colour"))
+        along = edges.join(_dealt(colours.withColumnRenamed("node", "child")), "child").select(F.col("parent").alias("node"), "colour")
+        jump = colours.join(_dealt(colours.select(F.col("node").alias("colour"), F.col("colour").alias("next"))), "colour").select("node", F.col("next").alias("colour"))
         least = colours.unionByName(along).unionByName(jump).groupBy("node").agg(F.min("colour").alias("colour"))
-        changed = stored(least.join(colours.withColumnRenamed("colour", "was"), "node").withColumn("moved", F.col("colour") < F.col("was")), "colours")
+        changed = stored(least.join(_dealt(colours.withColumnRenamed("colour", "was")), "node").withColumn("moved", F.col("colour") < F.col("was")), "colours")
         discard(colours)
         colours = changed.select("node", "colour")
         if changed.filter("moved").isEmpty():
@@ -164,19 +169,19 @@ def strong_components(edges: DataFrame) -> DataFrame:
     found = left.select(F.col("child").alias("set_id"), F.col("child").alias("member")).limit(0)
     while not (left := _trimmed(left)).isEmpty():
         colours = _smallest_below(left)
-        same = left.join(colours.select(F.col("node").alias("child"), F.col("colour").alias("mine")), "child").join(colours.select(F.col("node").alias("parent"), "colour"), "parent").filter("mine = colour")
+        same = left.join(_dealt(colours.select(F.col("node").alias("child"), F.col("colour").alias("mine"))), "child").join(_dealt(colours.select(F.col("node").alias("parent"), "colour")), "parent").filter("mine = colour")
         same = stored(same.select("child", "parent", "colour"), "same")
         reached = front = stored(colours.filter("node = colour"), "reached")
         while True:
-            back = same.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), "colour").distinct()
-            front = stored(back.join(reached, ["node", "colour"], "left_anti"), "reached")
+            back = same.join(_dealt(front.select(F.col("node").alias("parent"))), "parent").select(F.col("child").alias("node"), "colour").distinct()
+            front = stored(back.join(_dealt(reached), ["node", "colour"], "left_anti"), "reached")
             if front.isEmpty():
                 break
             reached = stored(reached.unionByName(front), "reached")
         several = reached.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        found = found.unionByName(reached.join(several, "colour").select(F.col("colour").alias("set_id"), F.col("node").alias("member")))
+        found = found.unionByName(reached.join(_dealt(several), "colour").select(F.col("colour").alias("set_id"), F.col("node").alias("member")))
         gone = reached.select("node")
-        rest = same.join(gone.withColumnRenamed("node", "child"), "child", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti")
+        rest = same.join(_dealt(gone.withColumnRenamed("node", "child")), "child", "left_anti").join(_dealt(gone.withColumnRenamed("node", "parent")), "parent", "left_anti")
         left = stored(rest.select("child", "parent"), "edges")
     return found
 
