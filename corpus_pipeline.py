@@ -1,7 +1,8 @@
 """A training corpus from documents: five stages, each written and read again by the next.
 
-Quality rules reject documents; of near copies (5-word shingles alike by 0.8) the one with the smallest id stays; passages that earlier documents
-have are cut; sources are mixed to their target weights; and the result is packed into sequences.  All stages but the
+Quality rules reject documents; of near copies (met by fingerprints with pivots or by minhash bands, 5-word shingles alike by 0.8)
+the one with the smallest id stays; passages that earlier documents have are cut; sources are mixed to their target weights; and
+the result is packed into sequences.  All stages but the
 last return the columns of documents.
 
 Cases: a null or blank text is rejected by the first stage; the others treat a null text as empty, and only the first of

@@ -343,6 +343,24 @@ def test_the_pipeline_finds_all_near_copies(spark, monkeypatch, part):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
+def test_the_pipeline_finds_copies_by_fingerprints_where_no_band_meets(spark):
+    """Two pairs alike by 9 of 11 shingles that share none of the minhash bands; and texts of equal fingerprints that are less alike."""
+    import corpus_pipeline
+
+    from vocalith.llm import near_copies, set_links
+
+    made = []
+    for g in (6434, 116600):
+        refrain = " ".join(f"w{g}x{i}" for i in range(9))
+        made += [(g, " ".join([refrain] * 60 + ["end"])), (g + 1, " ".join([refrain] * 60 + ["other"]))]
+        one, two = (near_copies.bands(set_links.shingles(t.encode(), 5), *near_copies._coefficients()) for _, t in made[-2:])
+        assert not set(one) & set(two)
+        made.append((g + 2, " ".join([refrain] * 60 + [f"own{i}" for i in range(9)])))
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, table, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [6434, 6436, 116600, 116602]
+
+
 # -- language model --------------------------------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by fingerprints with pivot tables, decided by the Jaccard similarity of word shingles.
 
 Two texts are linked if the sets of their 5-word shingles (64-bit hashes of the lower-case words) have a similarity of
-0.8 or more, counted exactly.  Equal sets are one node.  Candidates meet in the buckets of minhash bands: 24 bands of 5
-values each miss a pair at 0.8 with a chance of 7 in 100,000, and closer pairs with less.  How the nodes of a bucket are
-compared, without all pairs of a crowded one, is in set_links.
+0.8 or more, counted exactly.  Equal sets are one node.  Candidates meet in two kinds of buckets.  The first are operator 6's
+components: fingerprints within 2 bits, by blocks, distances to pivots and verification (simhash).  Most texts alike by 0.8
+differ by more bits, some 10, so the second are those of minhash bands: 24 bands of 5 values each miss a pair at 0.8 with a
+chance of 7 in 100,000, and closer pairs with less.  How the nodes of a bucket are compared, without all pairs of a
+crowded one, is in set_links.
 
 Cases: fewer than five words are one shingle; null, empty and blank texts are one node; a null doc_id never names a
 component unless all members are null; an empty table gives an empty result; extra columns are not read.
@@ -48,27 +50,36 @@ def bands(h, factors, terms) -> list[int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, node (stands for the set), keys."""
+    """doc_id, tkey, node (stands for the set), print (the fingerprint's bits as a signed long), keys."""
 
     def sketched(batches):
         import pyarrow as pa
 
         factors, terms = _coefficients()
         for batch in batches:
-            sets = [set_links.shingles(t, SHINGLE) for t in utf8(batch, "text")]
+            texts = utf8(batch, "text")
+            sets = [set_links.shingles(t, SHINGLE) for t in texts]
             columns = [
-                batch.column("doc_id"), batch.column("tkey"), pa.array(map(set_links.node_of, sets), pa.int64()),
+                batch.column("doc_id"), batch.column("tkey"), pa.array(map(set_links.node_of, sets), pa.int64()), pa.array(map(simhash.signed, texts), pa.int64()),
                 pa.array([bands(h, factors, terms) for h in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "node", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "node", "print", "keys"])
 
-    return set_links.with_text_key(docs).select("doc_id", "tkey", "text").mapInArrow(sketched, "doc_id long, tkey long, node long, keys array<long>")
+    return set_links.with_text_key(docs).select("doc_id", "tkey", "text").mapInArrow(sketched, "doc_id long, tkey long, node long, print long, keys array<long>")
+
+
+def dealt(marked: DataFrame) -> DataFrame:
+    """key, node: operator 6's components, and minhash bands. marked: node, print, keys."""
+    prints = stored(marked.select("node", "print").distinct(), "prints")
+    roots = simhash.components(simhash.links(prints.select(F.col("print").alias("fp")).distinct())).withColumnRenamed("node", "print")
+    linked = prints.join(roots, "print", "left").select(F.coalesce("root", "print").alias("key"), "node")
+    return marked.select(F.explode("keys").alias("key"), "node").unionByName(linked)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fp, root, component_id for each row: fp is its node, root the component's smallest node."""
     marked = stored(sketches(docs), "sketches")
-    buckets = set_links.met(marked.select("node", F.explode("keys").alias("key")))
+    buckets = set_links.met(dealt(marked))
     sets = set_links.sets_of(docs, marked, buckets.select("node").distinct(), SHINGLE)
     joined = set_links.links(buckets, sets, NUM, DEN)
     discard(buckets, sets)

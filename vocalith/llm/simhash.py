@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _members(docs).select("fp", "doc_id", "component_id")
 
 
-def _signed(text: bytes) -> int:
+def signed(text: bytes) -> int:
     fp = fingerprint(text)
     return fp - (1 << 64) if fp >> 63 else fp
 
@@ -261,7 +261,7 @@ def _with_fingerprint(docs: DataFrame, of) -> DataFrame:
     return docs.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField("fp_", T.LongType())]))
 
 
-def deduplicate(docs: DataFrame, members_of=_members, fingerprint_of=_signed) -> DataFrame:
+def deduplicate(docs: DataFrame, members_of=_members, fingerprint_of=signed) -> DataFrame:
     """Exactly one row of docs for each component: that of its smallest id (null last), then of the smallest fingerprint.
 
     An id that one row has finds it.  Rows without an id, or with a repeated one, are told apart by their fingerprints;
