@@ -286,3 +286,25 @@ def test_components_pass_no_table_of_a_round_through_the_driver(spark, monkeypat
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "child long, parent long")
     assert {(r.set_id, r.member) for r in graph.strong_components(edges).collect()} == {(1, 1), (1, 2), (1, 3)}
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_the_second_pass_reduces_equal_candidates_once(spark, monkeypatch):
+    """Ten concepts in two kinds, with a chain: three reductions, one of them of nations, and each concept has its own rows."""
+    seen, plain = [], normal_form.reduce_groups
+
+    def reduce_groups(rows, types, near, chains=None, reach=None):
+        seen.append(rows.select("conceptId").distinct().count())
+        return plain(rows, types, near, chains, reach)
+
+    monkeypatch.setattr(normal_form, "reduce_groups", reduce_groups)
+    made = [(2, 0, 3, 1), (4, 0, 3, 1)]
+    for i in range(10):
+        near = 2 if i < 6 else 4
+        made += [(100 + i, 1, 1, near), (100 + i, 2, 1, 1), (100 + i, 3, 3, near), (100 + i, 4, 3, 1)]
+    own = spark.createDataFrame([(c, g, t, d, None) for c, g, t, d in made], "conceptId long, grp int, typeId long, destinationId long, value string")
+    none, parents = spark.createDataFrame([], "child long, ancestor long"), spark.createDataFrame([], "child long, parent long")
+    chains = spark.createDataFrame([(1, 3, 1), (3, 3, 3)], "first long, second long, whole long")
+    found = normal_form.inferred_attributes(own, parents, none, none, chains)
+    want = {(2, 0, 3, 1), (4, 0, 3, 1)} | {(100 + i, g, t, 2 if i < 6 else 4) for i in range(10) for g, t in ((1, 1), (2, 3))}
+    assert pairs(found, "conceptId", "grp", "typeId", "destinationId") == want
+    assert seen[-1] == 3  # both nations have the same rows, whose role starts a chain, too

@@ -134,19 +134,26 @@ def inferred_attributes(own: DataFrame, parents: DataFrame, types: DataFrame, is
     first = _first_pass(own, parents, level, types, near)
     if chains is None or chains.isEmpty():
         return first
-    reach = None
+    reach, nodes = None, stored(first.select(F.col("destinationId").alias("child")).filter("child is not null").distinct(), "nodes")
     for p in [r.second for r in chains.select("second").distinct().collect()]:  # properties of chains are few
         edges = first.filter(F.col("typeId") == p).filter("destinationId is not null").select(F.col("conceptId").alias("child"), F.col("destinationId").alias("parent"))
-        nodes = first.select(F.col("destinationId").alias("child")).filter("child is not null").distinct()
-        # what is reached along the graph, and then up the hierarchy
-        along = graph.closure(edges).join(nodes, "child", "left_semi").unionByName(nodes.select("child", F.col("child").alias("ancestor")))
+        # what is reached along the graph, and then up the hierarchy; a path from a destination meets destinations alone
+        along = graph.closure(edges.join(nodes, "child", "left_semi")).unionByName(nodes.select("child", F.col("child").alias("ancestor")))
         up = along.withColumnRenamed("ancestor", "mid").join(is_a.withColumnRenamed("child", "mid"), "mid").select("child", "ancestor")
         one = along.unionByName(up).distinct().withColumn("property", F.lit(p).cast("long"))
         reach = one if reach is None else reach.unionByName(one)
     again = first.join(chains.select(F.col("first").alias("typeId")).distinct(), "typeId", "left_semi").select(F.col("conceptId").alias("child")).distinct()
     mine = own.withColumnRenamed("conceptId", "child").join(again, "child", "left_semi").select(F.col("child").alias("conceptId"), F.lit(0).cast("long").alias("from_"), "grp", *ROW)
     theirs = parents.join(again, "child", "left_semi").join(first.withColumnRenamed("conceptId", "parent"), "parent").select(F.col("child").alias("conceptId"), F.col("parent").alias("from_"), "grp", *ROW)
-    second = stored(reduce_groups(_candidates(mine.unionByName(theirs)), types, near, chains, reach), "second")
+    reach = stored(reach, "reach")
+    # concepts with equal candidates, their parents' included, are reduced once
+    rows = stored(_candidates(mine.unionByName(theirs)), "second-rows")
+    content = F.md5(F.concat_ws(";", F.array_sort(F.collect_set(_text(["from_", "grp", *ROW])))))
+    keys = stored(rows.groupBy("conceptId").agg(content.alias("key")), "second-keys")
+    one = stored(keys.groupBy("key").agg(F.min("conceptId").alias("conceptId")), "second-sets")
+    reduced = reduce_groups(rows.join(one, "conceptId", "left_semi"), types, near, chains, reach)
+    named = stored(reduced.join(one, "conceptId").drop("conceptId"), "second")
+    second = stored(keys.join(named, "key").select("conceptId", "grp", *ROW), "second")
     return first.join(again.withColumnRenamed("child", "conceptId"), "conceptId", "left_anti").unionByName(second)
 
 
