@@ -161,20 +161,39 @@ def stable_numbers(new: DataFrame, published: DataFrame, core: int = CORE_MODULE
     """new with the group numbers of equal published groups; a group that holds such a number takes the other's.
 
     Of equal published groups one of the core module counts, then the smallest number; published: conceptId, grp, ROW,
-    and moduleId if modules are known.  Only concepts with published groups are renumbered, each by itself, since the
-    exchanges follow one another: a fold over the concept's groups.
+    and moduleId if modules are known.  Both sides are dealt once, by concept; groups are equal if their rows' 128-bit hashes
+    are, joined without an order.  Where no two of a concept's groups claim one number each takes what it wants; only the other
+    concepts need exchanges that follow one another: a fold over the concept's groups.
     """
     new, published = with_universal(new), with_universal(published)
-    item = _text(ROW)
-    # a row of group 0 is a group of its own
-    part = F.when(F.col("grp") == 0, item).otherwise(F.lit(""))
-    items = F.concat_ws(";", F.array_sort(F.collect_set("item"))).alias("items")
     modules = published if "moduleId" in published.columns else published.withColumn("moduleId", F.lit(None).cast("long"))
-    own = F.coalesce(F.col("moduleId") == core, F.lit(False))
-    old = modules.filter("grp <> 0").withColumn("item", item).groupBy("conceptId", "grp").agg(items, F.max(~own).alias("other"))
-    best = old.groupBy("conceptId", "items").agg(F.min(F.struct("other", "grp")).alias("b")).select("conceptId", "items", F.col("b.grp").alias("wanted"))
-    mine = new.withColumns({"part": part, "item": item}).groupBy("conceptId", "grp", "part").agg(items)
-    mine = mine.join(best.select("conceptId").distinct(), "conceptId", "left_semi").join(best, ["conceptId", "items"], "left")
+    other = ~F.coalesce(F.col("moduleId") == core, F.lit(False))
+    side = lambda df, old, other_: df.select("conceptId", "grp", *ROW, F.lit(old).alias("old_"), other_.alias("other_"))
+    hashed = lambda seed: F.xxhash64(F.lit(seed), "typeId", "destinationId", F.coalesce("value", F.lit("")), "universal")
+    both = side(new, False, F.lit(False)).unionByName(side(modules.filter("grp <> 0"), True, other)).repartition("conceptId")
+    both = both.withColumns({"a_": hashed(1), "b_": hashed(2)})
+    # a row that a group has twice counts once
+    again = F.row_number().over(Window.partitionBy("conceptId", "old_", "grp", "a_", "b_").orderBy("a_"))
+    within = Window.partitionBy("conceptId", "old_", "grp")
+    once = lambda c: F.bit_xor(F.when(F.col("again_") == 1, F.col(c))).over(within)
+    # a row of group 0 is a group of its own
+    own = lambda c, whole: F.when(F.col("grp") == 0, c).otherwise(whole)
+    of_group = both.withColumn("again_", again).withColumns({
+        "x_": own(F.col("a_"), once("a_")), "y_": own(F.col("b_"), once("b_")),
+        "n_": own(F.lit(1), F.count(F.when(F.col("again_") == 1, 1)).over(within)), "other_": F.max("other_").over(within),
+    })
+    best = F.min(F.when(F.col("old_"), F.struct("other_", "grp"))).over(Window.partitionBy("conceptId", "x_", "y_", "n_"))
+    marked = stored(of_group.withColumn("wanted", best["grp"]).filter("not old_").select("conceptId", "grp", *ROW, "wanted"), "wanted")
+    # group 0's rows with one wanted number are equal, and so one group
+    claim = lambda c, asked: F.struct(F.col(c).alias("number"), F.lit(asked).alias("asked"))
+    claims = marked.select("conceptId", "grp", F.explode(F.array(claim("grp", False), claim("wanted", True))).alias("c"))
+    claimed = claims.filter("c.number is not null").groupBy("conceptId", "c.number").agg(F.max("c.asked").alias("asked"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+    crowded = stored(claimed.filter("asked and low <> high").select("conceptId").distinct(), "crowded")
+    if crowded.isEmpty():
+        return marked.select("conceptId", F.coalesce("wanted", "grp").alias("grp"), *ROW)
+    part = F.when(F.col("grp") == 0, _text(ROW)).otherwise(F.lit(""))
+    marked = marked.withColumn("part", part)
+    mine = marked.join(crowded, "conceptId", "left_semi").select("conceptId", "grp", "part", "wanted").distinct()
     group = F.struct("grp", "part", "wanted", F.col("grp").alias("to"))
     each = mine.groupBy("conceptId").agg(F.sort_array(F.collect_list(group)).alias("all"))
 
@@ -185,5 +204,5 @@ def stable_numbers(new: DataFrame, published: DataFrame, core: int = CORE_MODULE
 
     folded = F.aggregate(F.sequence(F.lit(0), F.size("all") - 1), F.col("all"), exchange)
     renumbered = each.select("conceptId", F.explode(folded).alias("g")).select("conceptId", "g.grp", "g.part", "g.to")
-    joined = new.withColumn("part", part).join(renumbered, ["conceptId", "grp", "part"], "left")
-    return joined.select("conceptId", F.coalesce("to", "grp").alias("grp"), *ROW)
+    joined = marked.join(stored(renumbered, "exchanged"), ["conceptId", "grp", "part"], "left")
+    return joined.select("conceptId", F.coalesce("to", "wanted", "grp").alias("grp"), *ROW)

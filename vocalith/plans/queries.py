@@ -532,6 +532,7 @@ def stable_group_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         _long("l_orderkey", t.ORDER).alias("conceptId"), F.col("l_linenumber").alias("grp"), F.col("l_linenumber").cast(long).alias("typeId"),
         _long("l_partkey", t.PART).alias("destinationId"), F.lit(None).cast("string").alias("value"),
     ).distinct()
+    line = stored(line, "lines")
     core = line.withColumns({"grp": F.lit(50) - F.col("grp"), "moduleId": F.lit(CORE_MODULE).cast(long)})
     other = line.withColumns({"grp": F.lit(8) - F.col("grp"), "moduleId": F.lit(1).cast(long)})
     found = normal_form.stable_numbers(line, core.unionByName(other))
