@@ -3,7 +3,8 @@
 import random
 import re
 
-from vocalith.operators import normal_form
+from vocalith.functions.axioms import object_id
+from vocalith.operators import classify, normal_form
 from vocalith.schema import CORE_MODULE
 from vocalith.sources.shared import stored
 
@@ -72,3 +73,31 @@ def test_both_sides_of_stable_numbers_are_dealt_once(spark, monkeypatch):
     assert len(re.findall(r"Exchange hashpartitioning\(conceptId", plans["wanted"])) == plans["wanted"].count("Exchange ") == 1
     assert "Aggregate" not in plans["wanted"]  # no group's rows are collected
     assert "exchanged" not in plans  # nor is a concept folded that has no number claimed twice
+
+
+RULES = "rule string, a long, b long, c long, n int"
+
+
+def test_leaves_with_the_same_parents_are_one_in_the_fixpoint(spark):
+    told = lambda *pairs: [("told", a, b, None, None) for a, b in pairs]
+    leaves = [(c, p) for c in range(100, 140) for p in ((2, -5) if c % 2 else (2,))]
+    # 5 has a child and 6 is a filler: neither is a leaf, though both have a leaf's parents; 150 and 151 are nothing
+    rest = told((2, 1), (5, 2), (6, 2), (160, 5), (-5, 3), (150, 2), (150, object_id("owl:Nothing")), (151, 2), (151, object_id("owl:Nothing")))
+    rules = spark.createDataFrame(told(*leaves) + rest + [("exists", -5, 900, 6, None)], RULES)
+    left, shared = classify.shared_leaves(rules)
+    assert sorted(tuple(r) for r in shared.collect()) == sorted([(c, 100 + c % 2) for c in range(102, 140)] + [(151, 150)])
+    found, same = classify.saturated(left)
+    assert same is None and found.filter("child between 102 and 140").isEmpty()
+    above = lambda c: {1, 2, 3} if c % 2 else {1, 2}
+    each = {(r.child, r.ancestor) for r in classify.saturate(rules).filter("child between 100 and 140").collect()}
+    assert each == {(c, x) for c in range(100, 140) for x in above(c)}
+    parents, _, strict = classify.taxonomy(found, None, same, shared)
+    got = sorted(tuple(r) for r in parents.collect())
+    assert got == sorted([(2, 1), (5, 2), (6, 2), (160, 5)] + [(c, p) for c in range(100, 140) for p in ((2, 3) if c % 2 else (2,))])
+    assert {(r.child, r.ancestor) for r in strict.filter("child between 100 and 140").collect()} == each
+
+
+def test_leaves_without_company_change_nothing(spark):
+    rules = spark.createDataFrame([("told", 7, 1, None, None), ("told", 8, 2, None, None)], RULES)
+    assert classify.shared_leaves(rules)[1] is None
+    assert sorted(tuple(r) for r in classify.saturate(rules).collect()) == [(7, 1), (8, 2)]

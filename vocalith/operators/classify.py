@@ -122,12 +122,39 @@ def collapsed(rules: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return out.unionByName(ends.select(rules.columns)).distinct(), same.filter("member > 0")
 
 
+def shared_leaves(rules: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rules with one for all named concepts that nothing is told about but the same parents; and (member, rep) of the others, if there are any.
+
+    A leaf is named as the child of told rows alone: nothing can be below it, and what it is below follows from its parents.  So
+    leaves with the same parents differ by their number alone, and the smallest goes through the fixpoint for all.
+    """
+    told = F.col("rule") == "told"
+    named = rules.select(F.explode(F.array(F.when(~told, F.col("a")), "b", "c")).alias("a")).filter("a > 0").distinct()
+    ends = rules.filter(told).filter("a > 0").select("a", "b").join(named, "a", "left_anti")
+    keyed = stored(ends.groupBy(F.col("a").alias("member")).agg(F.sort_array(F.collect_set("b")).alias("key")), "leaves")
+    reps = stored(keyed.groupBy("key").agg(F.min("member").alias("rep"), F.count(F.lit(1)).alias("n_")).filter("n_ > 1").select("key", "rep"), "leaf-sets")
+    leaves = stored(keyed.join(reps, "key").filter("member <> rep").select("member", "rep"), "leaves")
+    if leaves.isEmpty():
+        return rules, None
+    return rules.join(leaves.select(F.col("member").alias("a")), "a", "left_anti").select(rules.columns), leaves
+
+
+def with_leaves(pairs: DataFrame, leaves: DataFrame | None) -> DataFrame:
+    """pairs (child and another column), and those of leaves that a child stands for."""
+    if leaves is None:
+        return pairs
+    theirs = pairs.withColumnRenamed("child", "rep").join(leaves.withColumnRenamed("member", "child"), "rep")
+    return pairs.unionByName(theirs.select(pairs.columns))
+
+
 def saturate(rules: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(child, ancestor): strict subsumption among named concepts, and under BOTTOM those that nothing can be.
 
     rules: see functions.axioms.normalised.
     """
+    rules, leaves = shared_leaves(stored(rules, "rules"))
     found, same = saturated(rules, max_rounds)
+    found = with_leaves(found, leaves)
     if same is None:
         return found
     of = lambda df, c: df.join(same.select(F.col("rep").alias(c), "member"), c, "left").withColumn(c, F.coalesce("member", c)).select("child", "ancestor")
@@ -217,10 +244,10 @@ def _chained(new: DataFrame, known: DataFrame, chain: DataFrame) -> list[DataFra
     return [pairs(new, known), pairs(known, new)]
 
 
-def taxonomy(subsumed: DataFrame, concepts: DataFrame, same: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def taxonomy(subsumed: DataFrame, concepts: DataFrame, same: DataFrame | None = None, leaves: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(parents, equivalence sets, closure over representatives) of strict subsumption among named concepts.
 
-    same: (member, rep) of concepts of which the subsumption knows one alone, see saturated.  In a set of equivalent concepts the smallest has the real parents; each other one has it as its only parent.
+    same, leaves: (member, rep) of concepts of which the subsumption knows one alone, see saturated and shared_leaves.  In a set of equivalent concepts the smallest has the real parents; each other one has it as its only parent.
     Concepts that nothing can be have no place.
     """
     nothing = unsatisfiable(subsumed)
@@ -240,4 +267,4 @@ def taxonomy(subsumed: DataFrame, concepts: DataFrame, same: DataFrame | None =
     name = lambda df, c: df.join(rep.select(F.col("member").alias(c), F.col("set_id").alias("r_")), c, "left").withColumn(c, F.coalesce("r_", c)).drop("r_")
     strict = stored(name(name(subsumed, "child"), "ancestor").filter("child <> ancestor").distinct(), "strict")
     parents = graph.direct_parents(strict).unionByName(rep.select(F.col("member").alias("child"), F.col("set_id").alias("parent")))
-    return parents, sets, strict
+    return with_leaves(parents, leaves), sets, with_leaves(strict, leaves)

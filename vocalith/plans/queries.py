@@ -400,15 +400,25 @@ def acceptability_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- classification -------------------------------------------------------------------------------------------------------
 
 
-def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, and the numbers of its brand, type and size; once, by all tasks, since each is a digest."""
+    part = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
+    return stored(part.select(_long("p_partkey", t.PART).alias("part"), _long_code("p_brand", t.BRAND).alias("b"), _long_code("p_type", t.TYPE).alias("y"), (F.lit(t.SIZE) + F.col("p_size")).cast(long).alias("s")), "coded")
+
+
+def _wide(*c: str):
+    """The number of a class of brand, of brand and type, or of all three."""
+    return (F.lit(1 << 40) * len(c) + _digits(F.concat_ws("|", *[F.col(x).cast("string") for x in c]), 9)).cast(long)
+
+
+def _definitions(part: DataFrame) -> DataFrame:
     """(concept, attribute): classes of brand, brand and type, and brand, type and size; and the parts."""
-    part = table(spark, sf_dir, "part").withColumns({"b": _long_code("p_brand", t.BRAND), "y": _long_code("p_type", t.TYPE), "s": (F.lit(t.SIZE) + F.col("p_size")).cast(long)})
-    wide = lambda *c: (F.lit(1 << 40) * len(c) + _digits(F.concat_ws("|", *[F.col(x).cast("string") for x in c]), 9)).cast(long)
     out = []
     for cols in (("b",), ("b", "y"), ("b", "y", "s")):
-        rows = part.select(wide(*cols).alias("concept"), F.explode(F.array(*[F.col(c) for c in cols])).alias("attribute")).distinct()
+        met = part.select(*cols).distinct()
+        rows = met.select(_wide(*cols).alias("concept"), F.explode(F.array(*[F.col(c) for c in cols])).alias("attribute")).distinct()
         out.append(rows.withColumn("defined", F.lit(True)))
-    parts = part.select(_long("p_partkey", t.PART).alias("concept"), F.explode(F.array("b", "y", "s")).alias("attribute")).withColumn("defined", F.lit(False))
+    parts = part.select(F.col("part").alias("concept"), F.explode(F.array("b", "y", "s")).alias("attribute")).withColumn("defined", F.lit(False))
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(parts)
 
 
@@ -449,18 +459,19 @@ def el_roles_and_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def el_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.saturate(_rules(_definitions(spark, sf_dir)))
+    return classify.saturate(_rules(stored(_definitions(_coded(spark, sf_dir)), "definitions")))
 
 
 def classification_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classify, reduce to direct parents, and compare with the published ones: each part's class of brand and type."""
-    published = table(spark, sf_dir, "part").withColumns({"b": _long_code("p_brand", t.BRAND), "y": _long_code("p_type", t.TYPE)})
-    code = _digits(F.concat_ws("|", F.col("b").cast("string"), F.col("y").cast("string")), 9)
-    old = published.select(
-        _long("p_partkey", t.PART).alias("source_id"), F.lit(IS_A).cast(long).alias("typeId"), (F.lit(1 << 40) * 2 + code).cast(long).alias("destination_id"),
-        F.lit(0).alias("grp"), _long("p_partkey").alias("id"), F.lit(1).alias("moduleId"),
+    part = _coded(spark, sf_dir)
+    old = part.select(
+        F.col("part").alias("source_id"), F.lit(IS_A).cast(long).alias("typeId"), _wide("b", "y").alias("destination_id"),
+        F.lit(0).alias("grp"), (F.col("part") - t.PART).alias("id"), F.lit(1).alias("moduleId"),
     )
-    parents, _, _ = classify.taxonomy(el_classification(spark, sf_dir), old)
+    rules, leaves = classify.shared_leaves(stored(_rules(stored(_definitions(part), "definitions")), "rules"))
+    subsumed, same = classify.saturated(rules)
+    parents, _, _ = classify.taxonomy(subsumed, old, same, leaves)
     new = parents.filter(F.col("child").between(t.PART, t.PART + 9_999_999)).select(F.col("child").alias("source_id"), F.lit(IS_A).cast(long).alias("typeId"), F.col("parent").alias("destination_id"), F.lit(0).alias("grp"))
     return diff.compare(old, new, "source_id", ["typeId", "destination_id"], "grp", IS_A).select("action", "id", "source_id", "destination_id")
 

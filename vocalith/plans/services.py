@@ -41,9 +41,10 @@ def classify_release(spark: SparkSession, release: Release, infer: Callable[[Dat
     every = ontology.all_axioms(spark, release)
     normal = stored(ax.normalised(every), "normal")
     ax.check_names(normal)
-    # one of those that are told to be the same stands for all
-    subsumed, same_as = el.saturated(normal) if infer is el.saturate else (infer(normal), None)
-    parents, sets, strict = el.taxonomy(subsumed, release.concepts, same_as)
+    # one of those that are told to be the same stands for all, and one of the leaves with the same parents
+    rules, leaves = el.shared_leaves(normal) if infer is el.saturate else (normal, None)
+    subsumed, same_as = el.saturated(rules) if infer is el.saturate else (infer(rules), None)
+    parents, sets, strict = el.taxonomy(subsumed, release.concepts, same_as, leaves)
     roles = normal.filter("rule = 'role'").select(F.col("a").alias("child"), F.col("b").alias("parent")).distinct()
     parents = stored(parents.unionByName(roles).distinct(), "parents")
     attributes = roles.select(F.col("child").alias("node")).unionByName(roles.select(F.col("parent").alias("node"))).distinct()
