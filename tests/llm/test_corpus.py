@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -34,6 +35,20 @@ def crc(ids):
 # -- packing and token files -----------------------------------------------------------------------------------------------
 
 
+def test_index_holds_a_posting_in_few_bytes():
+    rng = np.random.default_rng(1)
+    some = [(rng.zipf(1.3, 1500) % 60000).astype(np.uint16) for _ in range(2000)]
+    postings = sum(len(np.unique(x)) for x in some)
+    tracemalloc.start()
+    try:
+        index = packing.Index(some)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(index.rare.doc) + len(index.common.doc) == postings
+    assert peak < 50 * postings  # bytes; 66 with 8-byte numbers for all postings at once
+
+
 def test_packing_places_every_token_once(spark):
     pieces = packing.pack(docs(spark), shard_tokens=20_000).collect()
     by_sequence = defaultdict(list)

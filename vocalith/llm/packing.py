@@ -39,6 +39,10 @@ SHINGLE = 5
 BROADCAST_ROWS = 1 << 17
 SEED = 42
 IDS = 1 << 16
+#: Rows whose texts are encoded together, if their bytes allow it.
+SLICE = 1024
+#: Postings that are weighed at a time.
+STRETCH = 1 << 17
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,11 +52,15 @@ class Postings:
     def __init__(self, term, tf, doc, idf, length):
         import numpy as np
 
-        self.size = len(length)
+        self.size, mean = len(length), length.mean()
         self.terms = np.split(term, np.cumsum(np.bincount(doc, minlength=self.size))[:-1])
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.intp), weight[order]
+        self.doc, self.weight = np.empty(len(term), np.int32), np.empty(len(term))
+        for at in range(0, len(order), STRETCH):  # a few stretches of 8-byte numbers, and not of all postings
+            own = order[at : at + STRETCH]
+            d, n = doc[own], tf[own]
+            self.doc[at : at + STRETCH] = d
+            self.weight[at : at + STRETCH] = idf[term[own]] * n * (K1 + 1) / (n + K1 * (1 - B + B * length[d] / mean))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=IDS))])
 
     def scores(self, i: int):
@@ -71,16 +79,23 @@ class Index:
     def __init__(self, docs: list):
         import numpy as np
 
-        counted = [np.unique(d, return_counts=True) for d in docs]
-        n = np.array([len(t) for t, _ in counted])
-        term, tf = np.concatenate([t for t, _ in counted]), np.concatenate([c for _, c in counted])
+        terms, counts = [], []
+        for d in docs:
+            t, c = np.unique(d, return_counts=True)
+            terms.append(t)
+            counts.append(c.astype(np.int32))
+        n = np.array([len(t) for t in terms])
+        term, tf = np.concatenate(terms), np.concatenate(counts)
+        del terms, counts
         doc, length = np.repeat(np.arange(len(docs), dtype=np.int32), n), np.array([len(d) for d in docs])
         df = np.bincount(term, minlength=IDS)
         odds = (len(docs) - df + 0.5) / (df + 0.5)
         rare = (odds > 1) & (df <= max(2, COMMON * len(docs)))
         keep = rare[term]
         self.rare = Postings(term[keep], tf[keep], doc[keep], np.log(np.maximum(odds, 1)), length)
-        self.common = Postings(term[~keep], tf[~keep], doc[~keep], np.log1p(odds), length)
+        keep = ~keep
+        term, tf, doc = term[keep], tf[keep], doc[keep]
+        self.common = Postings(term, tf, doc, np.log1p(odds), length)
 
     def neighbours(self, i: int, used):
         """Unused documents that share a rare term with document i, best first. used: a mask that may grow meanwhile."""
@@ -211,8 +226,8 @@ def _slices(batches, vocabulary: Vocabulary):
 
     encoder, end = tokenizer(vocabulary), np.array([END_ID], np.uint16)
     for whole in batches:
-        for at in range(0, len(whole), 2048):
-            batch = whole.slice(at, 2048)
+        for at in range(0, len(whole), SLICE):
+            batch = whole.slice(at, SLICE)
             yield batch, [np.append(x, end) for x in encoder.ids_of(utf8(batch, "text"))]
 
 
@@ -286,10 +301,14 @@ def pack(docs: DataFrame, vocabulary: Vocabulary = BYTE_BPE, shard_tokens: int =
             return
         rows = pa.Table.from_batches(parts)
         del parts
-        for number in sorted(pc.unique(rows.column("shard")).to_pylist()):
-            shard = rows.filter(pc.equal(rows.column("shard"), number)).sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-            keys = shard.column("doc_id").to_pylist()
-            ids = [np.frombuffer(x.as_buffer(), np.uint16) for x in shard.column("ids")]
+        numbers = sorted(pc.unique(rows.column("shard")).to_pylist())
+        for number in numbers:
+            shard = rows if len(numbers) == 1 else rows.filter(pc.equal(rows.column("shard"), number))
+            # the ids stay where the rows came in: their order is one of views
+            order = pc.sort_indices(shard, sort_keys=[("doc_id", "ascending"), ("ids", "ascending")])
+            keys, views = shard.column("doc_id").take(order).to_pylist(), [np.frombuffer(x.as_buffer(), np.uint16) for x in shard.column("ids")]
+            ids = [views[i] for i in order.to_pylist()]
+            del views
             found = [
                 (keys[d], start, n, zlib.crc32(ids[d][start : start + n].astype("<u4")), len(ids[d]), number << 32 | s, at)
                 for d, start, n, s, at in pack_shard(ids, length)
